@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from credence.llm import exact_dedup
+from credence.llm import exact_dedup, quality_rules, sharding
 
 QUERIES = {
+    "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_sharding": sharding.op8_sharding,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op7_quality_rules": quality_rules.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
