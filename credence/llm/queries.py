@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from credence.llm import exact_dedup, quality_rules, sharding
+from credence.llm import exact_dedup, packing, quality_rules, sharding
 
 QUERIES = {
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_sharding": sharding.op8_sharding,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
