@@ -135,8 +135,10 @@ SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
-g AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, ws FROM w),
-tri AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS c FROM g),
+e AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT r, i, word, lead(word, 1) OVER p AS second, lead(word, 2) OVER p AS third
+      FROM e WINDOW p AS (PARTITION BY r ORDER BY i)),
+tri AS (SELECT r, i, count(*) OVER (PARTITION BY r, word, second, third) AS c FROM g WHERE third IS NOT NULL),
 rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words
         FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE c >= 2) GROUP BY r),
 m AS (SELECT w.doc_id, w.source, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
