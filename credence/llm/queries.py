@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from credence.llm import exact_dedup, packing, quality_rules, sharding
+from credence.llm import bpe, exact_dedup, packing, quality_rules, sharding
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_sharding": sharding.op8_sharding,
