@@ -4,8 +4,9 @@ Documents are split by their length and leading bytes, then each group of two or
 its next bytes, and so on until a group is a single document or its texts have ended.
 A group is named by its path, so texts are equal exactly when they end in the same
 group: no digest takes part in the decision. Each round is one aggregation with map-side
-combine (how many rows have these next bytes) and one join of the rows with it, which
-Spark can split where a group of copies is hot. Singles leave after the first round, so
+combine (how many rows have these next bytes) and one join of the rows with it. The join
+key is the negated group, so that Spark deals the counts anew and may split the rows'
+side where a group of copies is hot. Singles leave after the first round, so
 later rounds carry copies and long common beginnings only; the digit grows by a factor
 each round, and a text of n bytes takes about log(n) rounds.
 """
@@ -45,10 +46,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        F.substring("body", 1, first_digit).alias("digit"))
     # the group's name: any number that no other group of this round has
     counts = (rows.select("n_bytes", "digit", F.monotonically_increasing_id().alias("row"))
-              .groupBy("n_bytes", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("group")))
+              .groupBy("n_bytes", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("group"))
+              .select("digit", "n", "group", (-F.col("n_bytes")).alias("key")))
     held = ["id", *(["carried"] if carry else [])]
     first = materialize(
-        rows.join(counts, ["n_bytes", "digit"]).select(
+        rows.withColumn("key", -F.col("n_bytes")).join(counts, ["key", "digit"]).select(
             *held, "n", "group", F.sha2("body", 256).alias("sha"),
             F.when(F.col("n") > 1, F.col("body")).alias("rest"),
             F.monotonically_increasing_id().alias("row")),
@@ -64,9 +66,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         # all rows of a group have one length, so they end together
         counts = (keyed.groupBy("group", "digit")
                   .agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("next"),
-                       F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("least")))
+                       F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("least"))
+                  .select("digit", "n", "next", "least", (-F.col("group")).alias("key")))
         split = materialize(
-            keyed.join(counts, ["group", "digit"]).select(
+            keyed.withColumn("key", -F.col("group")).join(counts, ["key", "digit"]).select(
                 *held, "sha", "row", "n", F.col("next").alias("group"), "least",
                 (F.col("ended") | (F.col("n") == 1)).alias("over"),
                 F.when(~F.col("ended") & (F.col("n") > 1), F.col("rest")).alias("rest")),
