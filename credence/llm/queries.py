@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from credence.llm import bpe, exact_dedup, packing, quality_rules, sharding
+from credence.llm import bpe, exact_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op4_secret_scan": secret_scan.op4_secret_scan,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_sharding": sharding.op8_sharding,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
 ORACLE_SQL = {
