@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from credence.llm import bpe, exact_dedup, line_dedup, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding
+from credence.llm import bpe, exact_dedup, line_dedup, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op5_suffix_dedup": substring_dedup.op5_suffix_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_sharding": sharding.op8_sharding,
