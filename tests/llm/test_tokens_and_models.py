@@ -166,7 +166,7 @@ def test_pipeline(spark, tmp_path):
     assert set(kept[0]) == {*range(8), 10, 11, 12, 13}
     assert set(kept[1]) == {*range(8), 10, 12, 13}
     assert set(kept[2]) == {*range(8), 13}
-    assert set(kept[3]) == set(kept[2]) and kept[3][13].endswith(" [assign]") and all(kept[3][i] == t for i, t in enumerate(clean))
+    assert set(kept[3]) == set(kept[2]) and kept[3][13].endswith(' [assign]"') and all(kept[3][i] == t for i, t in enumerate(clean))
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     encode = json_encoding(JSON).encode_ordinary
     want = [(i, k, s, n, zlib.crc32(np.array([*encode(t), 0], "<u4")[s : s + n].tobytes()))
