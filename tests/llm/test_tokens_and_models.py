@@ -25,15 +25,26 @@ def reference_encoding():
     return tiktoken.Encoding("own", pat_str=pattern(), mergeable_ranks=load_ranks(RANKS), special_tokens={})
 
 
-def test_bpe_equals_the_library(spark):
+@pytest.mark.parametrize("form", ["vectorized", "native"])
+def test_bpe_equals_the_library(spark, form):
     docs = [*enumerate(TEXTS), (3, "twice"), (None, "no id")]
-    got = bpe.bpe_digests(table(spark, docs), RANKS).collect()
+    got = bpe.bpe_digests(table(spark, docs), RANKS, form=form).collect()
     encode = reference_encoding().encode_ordinary
     want = sorted((i if i is not None else -1, len(ids := encode(t or "")), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in docs)
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, *tuple(r)[1:]) for r in got) == want
     assert bpe.bpe_digests(table(spark, []), RANKS).count() == 0
 
 
+def test_merged_words_equal_the_library():
+    rng = random.Random(8)
+    words = [bytes(rng.choice(b"abtheions ") for _ in range(rng.randrange(1, 40))) for _ in range(2000)]
+    words += [b"a" * k for k in range(1, 40)] + [b"ab" * 30, b"=" * 5000, bytes(rng.choice(b"etaoin") for _ in range(3000)), bytes(range(256))]
+    ids, lengths = bpe.merge_words(words, RANKS)
+    encoding = reference_encoding()
+    want = [encoding._core_bpe.encode_single_piece(w) for w in words]
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_pieces_cover_texts():
     for t in filter(None, TEXTS):
         assert "".join(bpe.pieces(t)) == t
