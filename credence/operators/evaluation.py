@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from credence.operators.prefix import running_totals
@@ -127,13 +127,15 @@ def threshold_costs(scored: DataFrame, *, cost_matrix: CostMatrix = CostMatrix()
         F.size(F.filter(F.array(*[F.lit(t) for t in steps]), lambda t: t <= value)))
     positive = F.when(flag.isNull(), F.raise_error("A label is missing.").cast("bigint")).otherwise(flag)
     buckets = scored.groupBy(reach.alias("reach")).agg(F.count(F.lit(1)).alias("rows"), F.sum(positive).alias("positives"))
+    # from here on at most one row per threshold and one more, times the thresholds it reaches
     spark = scored.sparkSession
+    none = spark.createDataFrame([(k, 0, 0) for k in range(len(steps) + 1)], "least int, rows bigint, positives bigint")
+    reached = (buckets.select(F.explode(F.sequence(F.lit(0), "reach")).alias("least"), "rows", "positives").union(none)
+               .groupBy("least").agg(F.sum("rows").alias("reach_rows"), F.sum("positives").alias("true_positives")))
+    all_rows = Window.partitionBy(F.lit(0))
+    reached = reached.withColumns({"rows": F.max("reach_rows").over(all_rows), "positives": F.max("true_positives").over(all_rows)})
     table = spark.createDataFrame([(k, t, steps.index(t) + 1) for k, t in enumerate(given)], "place int, threshold double, least int")
-    # at most one row per threshold and one more: both sides are small
-    totals = table.join(F.broadcast(buckets), F.lit(True), "left").groupBy("place", "threshold").agg(
-        F.coalesce(F.sum(F.when(F.col("reach") >= F.col("least"), F.col("positives"))), F.lit(0)).alias("true_positives"),
-        F.coalesce(F.sum(F.when(F.col("reach") >= F.col("least"), F.col("rows") - F.col("positives"))), F.lit(0)).alias("false_positives"),
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("positives"), F.lit(0)).alias("positives"))
+    totals = table.join(F.broadcast(reached), "least").withColumn("false_positives", F.col("reach_rows") - F.col("true_positives"))
     tp, fp = F.col("true_positives"), F.col("false_positives")
     fn, tn = F.col("positives") - tp, F.col("rows") - F.col("positives") - fp
     return totals.orderBy("place").select(
