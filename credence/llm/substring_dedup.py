@@ -10,15 +10,17 @@ document of smaller id or earlier in the same one.
 2. Whole runs that are equal, by 128 bits of hash, repeat from the earliest of them on. What
    is left open are anchors whose runs differ: the edges of repeated passages.
 3. The bytes of the open runs, the earliest of each kind, are a collection of short
-   strings. Their suffix order is built with all strings at once, from the last column to
-   the first: each round inserts one symbol per string into the collection's
-   Burrows-Wheeler transform, in the places that counting earlier symbols gives, and
-   updates the common prefixes of the neighbours. Neighbours that share LENGTH bytes are
-   the same window, and all but the earliest repeat.
+   strings, set so that their anchors are in one column. Their suffix order is built with
+   all strings at once, from the last column to the first: each round inserts one symbol
+   per string. The symbols in the order so far are the column's Burrows-Wheeler transform;
+   counting them gives the next order, and the common prefixes of neighbours are updated
+   along with it. Neighbours that share LENGTH bytes are the same window, and all but the
+   earliest repeat. As equal windows start in one column, only suffixes of one column
+   need an order among them, and a round costs one step a string.
 4. The repeated intervals of each document are joined back to its text.
 
-The construction reads and writes its arrays from front to back once per round, as it
-would files; a bucket of strings is sized to fit in memory, so here they stay arrays.
+The construction reads the order and writes the next one from front to back in each round,
+as it would files; a bucket of strings is sized to fit in memory, so they stay arrays.
 """
 
 from __future__ import annotations
@@ -39,7 +41,9 @@ K = 24
 #: Longest stretch of a text whose runs are taken at once; stretches overlap by LENGTH - 1.
 STRETCH = 4 << 20
 #: Strings of one bucket of the construction.
-BUCKET_STRINGS = 8_000
+BUCKET_STRINGS = 20_000
+#: Farthest that a window begins before its anchor.
+LEFT = LENGTH - K
 _PLACE = np.uint64((1 << 23) - 1)
 
 
@@ -78,90 +82,71 @@ def pack_place(first: np.ndarray, more: np.ndarray, offset: np.ndarray) -> np.nd
     return (first << 14) | (more << 7) | offset
 
 
-def unpack_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First window and how many follow it."""
-    return place >> 14, (place >> 7) & 127
+def unpack_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, how many follow it, and how far its start is before the anchor."""
+    return place >> 14, (place >> 7) & 127, place & 127
 
 
 # ---------------------------------------------------------------- suffix order, column by column
 
 
-def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The suffixes of all strings in order: string, start, common prefix with the one before.
+def columns(strings: list[bytes], offset: np.ndarray) -> np.ndarray:
+    """The strings as rows, their anchors in one column; 0 where a string has no byte."""
+    lengths = np.array([len(x) for x in strings], np.int64)
+    flat = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
+    begin = np.cumsum(lengths) - lengths
+    table = np.zeros((LEFT + LENGTH, len(strings)), np.uint16)
+    row = np.repeat(np.arange(len(strings)), lengths)
+    table[np.arange(len(flat)) - begin[row] + LEFT - offset[row], row] = flat
+    return table
+
+
+def insert_column(order: np.ndarray, common: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of all suffixes with one more symbol to the left, and their common prefixes.
 
-    Ends sort before all bytes, those of earlier strings first. One round inserts the next
-    symbol, from the right, of every string that has one.
+    `symbols` in the old order are the column's transform; a stable count by symbol gives the
+    new places. Two neighbours that begin with the same symbol share one more than the least
+    between their old places.
     """
-    n = len(strings)
-    lengths = np.array([len(s) for s in strings], np.int64)
-    flat = np.frombuffer(b"".join(strings), np.uint8)
-    begin = np.cumsum(lengths) - lengths
-    symbol = lambda who, at: np.where(at >= 0, flat[np.minimum(begin[who] + np.maximum(at, 0), max(len(flat) - 1, 0))].astype(np.int16) + 1, 0)
-    who, start = np.arange(n), lengths.copy()  # by rank: string and start of the suffix
-    bwt = symbol(who, start - 1) if len(flat) else np.zeros(n, np.int64)
-    bwt = bwt.astype(np.uint16)
-    common = np.zeros(n, np.int32)
-    place = np.arange(n)  # by string: rank of its suffix inserted last
-    active = np.flatnonzero(lengths > 0)
-    inserted = 0  # symbols so far
-    while len(active):
-        size = len(bwt)
-        # where the suffix that each symbol of the transform begins belongs: a stable count
-        order = np.argsort(bwt, kind="stable")
-        ended = int((bwt == 0).sum())
-        target = np.empty(size, np.int64)
-        target[order] = np.arange(size) - ended + n  # after the n ends
-        own = place[active]
-        to = target[own]
-        total = n + size - ended
-        fresh = np.zeros(total, bool)
-        fresh[to] = True
-        new_who, new_start = np.empty(total, np.int64), np.empty(total, np.int64)
-        new_common = np.zeros(total, np.int32)
-        new_who[~fresh], new_start[~fresh], new_common[~fresh] = who, start, common
-        new_who[to], new_start[to] = active, start[own] - 1
-        # common prefix of two neighbours that begin with the same symbol: one more than the
-        # least between the occurrences of the symbol in the transform
-        touched = np.unique(np.concatenate([to, to + 1]))
-        touched = touched[(touched > n) & (touched < total)]
-        right, left = order[touched - n + ended], order[touched - 1 - n + ended]
-        same = bwt[right] == bwt[left]
-        new_common[touched[~same]] = 0
-        pairs = np.stack([left[same] + 1, right[same] + 1], axis=1).ravel()
-        if len(pairs):
-            new_common[touched[same]] = 1 + np.minimum.reduceat(np.append(common, 0), pairs)[::2]
-        if len(to) and n < total:
-            new_common[n] = 0
-        # the inserted suffixes bring the next symbol to the left
-        symbols = np.empty(total, np.uint16)
-        symbols[~fresh] = bwt
-        symbols[to] = symbol(active, start[own] - 2)
-        bwt, who, start, common = symbols, new_who, new_start, new_common
-        place[active] = to
-        inserted += 1
-        active = active[lengths[active] > inserted]
-    return who, start, common
-
-
-def repeated_windows(strings: list[bytes], rank: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(string, start) of the windows that occur earlier; rank: order of the strings' documents,
-    first: where the string starts in its document."""
-    lengths = np.array([len(s) for s in strings])
-    who, start, common = suffix_order(strings)
-    whole = lengths[who] - start >= LENGTH
-    who, start = who[whole], start[whole]
-    # the least common prefix since the last whole window
-    group = np.cumsum(whole) - 1
-    head = np.flatnonzero(whole)
-    if not len(head):
-        return who, start
-    since = np.minimum.reduceat(common, np.append(0, head[:-1] + 1)) if len(head) > 1 else np.zeros(1, np.int32)
-    del group
-    starts = np.flatnonzero(np.append(True, since[1:] < LENGTH))
-    order = (rank[who].astype(np.int64) << 40) | (first[who] + start)
-    earliest = np.minimum.reduceat(order, starts)
-    later = order > np.repeat(earliest, np.diff(np.append(starts, len(order))))
-    return who[later], start[later]
+    transform = symbols[order]
+    moved = np.argsort(transform, kind="stable")
+    same = np.flatnonzero(transform[moved[1:]] == transform[moved[:-1]]) + 1
+    new = np.zeros(len(order), np.int32)
+    if len(same):
+        between = np.stack([moved[same - 1] + 1, moved[same] + 1], axis=1).ravel()
+        new[same] = 1 + np.minimum.reduceat(np.append(common, 0), between)[::2]
+    return order[moved], new
+
+
+def repeated_windows(strings: list[bytes], rank: np.ndarray, first: np.ndarray, more: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(string, window's start in it) of the windows that occur earlier.
+
+    rank: order of the strings' documents; first: where a string starts in its document;
+    more: how many windows follow its first; offset: the anchor's place in it. Equal windows
+    have equal anchors in equal places, so they start in one column.
+    """
+    table = columns(strings, offset)
+    order, common = np.arange(len(strings)), np.zeros(len(strings), np.int32)
+    who, where = [], []
+    for column in range(len(table) - 1, -1, -1):
+        order, common = insert_column(order, common, table[column])
+        if column > LEFT:
+            continue
+        start = column - LEFT + offset  # of a window that begins in this column, by string
+        whole = ((start >= 0) & (start <= more))[order]
+        head = np.flatnonzero(whole)
+        if len(head) < 2:
+            continue
+        since = np.minimum.reduceat(common, np.append(0, head[:-1] + 1))
+        owner = order[head]
+        groups = np.flatnonzero(np.append(True, since[1:] < LENGTH))
+        place = (rank[owner].astype(np.int64) << 40) | (first[owner] + start[owner])
+        later = place > np.repeat(np.minimum.reduceat(place, groups), np.diff(np.append(groups, len(place))))
+        who.append(owner[later])
+        where.append(start[owner[later]])
+    if not who:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(who), np.concatenate(where)
 
 
 # ---------------------------------------------------------------- Spark
@@ -194,7 +179,8 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _strings(open_runs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, id, first, string) of the open runs."""
+    """(a, id, first, more, offset, string) of the open runs; a string ends LENGTH bytes after
+    its anchor's start, or with the text."""
     wanted = open_runs.groupBy("id").agg(F.collect_list(F.struct("a", "place")).alias("open"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,13 +192,13 @@ def _strings(open_runs: DataFrame, docs: DataFrame) -> DataFrame:
                 for key, packed, wanted in zip(part.column(0).to_pylist(), part.column(1), part.column(2)):
                     text = unpack(packed.as_py())
                     own = wanted.values
-                    first, more = unpack_place(own.field("place").to_numpy())
-                    rows += [(a, key, f, text[f : f + m + LENGTH]) for a, f, m in zip(own.field("a").to_pylist(), first.tolist(), more.tolist())]
+                    places = [x.tolist() for x in unpack_place(own.field("place").to_numpy())]
+                    rows += [(a, key, f, m, o, text[f : f + o + LENGTH]) for a, f, m, o in zip(own.field("a").to_pylist(), *places)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                                                     names=["a", "id", "first", "string"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64()] * 5 + [pa.binary()])],
+                                                     names=["a", "id", "first", "more", "offset", "string"])
 
-    return _packed(docs).join(wanted, "id").mapInArrow(cut, "a bigint, id bigint, first bigint, string binary")
+    return _packed(docs).join(wanted, "id").mapInArrow(cut, "a bigint, id bigint, first bigint, more bigint, offset bigint, string binary")
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +230,7 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     def resolve(table: pa.Table) -> pa.Table:
         ids, first = table["id"].to_numpy(), table["first"].to_numpy()
         _, rank = np.unique(ids, return_inverse=True)
-        who, start = repeated_windows(table["string"].to_pylist(), rank, first)
+        who, start = repeated_windows(table["string"].to_pylist(), rank, first, table["more"].to_numpy(), table["offset"].to_numpy())
         order = np.lexsort((start, who))
         who, start = who[order], start[order]
         head = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (start[1:] != start[:-1] + 1))) if len(who) else np.zeros(0, np.int64)

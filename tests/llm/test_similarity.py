@@ -123,18 +123,19 @@ def test_substring_report(spark):
     assert kept == "a" * 10
 
 
-def test_suffix_order():
+def test_suffix_order_by_columns():
     rng = np.random.default_rng(1)
     for _ in range(40):
-        strings = [bytes(rng.integers(97, 100, rng.integers(0, 12)).tolist()) for _ in range(rng.integers(1, 8))]
-        who, start, common = substring_dedup.suffix_order(strings)
-        want = sorted(((strings[i][j:], i) for i in range(len(strings)) for j in range(len(strings[i]) + 1)), key=lambda t: (tuple(v + 1 for v in t[0]) + (0,), t[1]))
-        got = [(strings[i][j:], int(i)) for i, j in zip(who, start)]
-        assert got == want
-        for k in range(1, len(got)):
-            a, b = got[k - 1][0], got[k][0]
-            shared = next((m for m in range(min(len(a), len(b))) if a[m] != b[m]), min(len(a), len(b)))
-            assert common[k] == shared
+        n, width = int(rng.integers(1, 12)), 15
+        table = rng.integers(0, 4, (width, n)).astype(np.uint16)
+        order, common = np.arange(n), np.zeros(n, np.int32)
+        for column in range(width - 1, -1, -1):
+            order, common = substring_dedup.insert_column(order, common, table[column])
+            suffixes = [tuple(table[column:, k]) for k in range(n)]
+            assert [suffixes[k] for k in order] == sorted(suffixes)
+            for k in range(1, n):
+                a, b = suffixes[order[k - 1]], suffixes[order[k]]
+                assert common[k] == next((m for m in range(len(a)) if a[m] != b[m]), len(a))
 
 
 def test_runs_cover_every_window_once():
