@@ -133,3 +133,9 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 def utf8(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete all tables that this application has materialized; nothing may read them any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
