@@ -40,10 +40,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        wide = materialize(_stars(edges, large=True), "edges")
-        narrow = materialize(_stars(wide, large=False), "edges")
+        narrow = materialize(_stars(_stars(edges, large=True), large=False), "edges")
         drop_files(edges)
-        drop_files(wide)
         edges, last = narrow, seen
         seen = _checksum(edges)
         if seen == last:

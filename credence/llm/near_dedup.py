@@ -10,9 +10,10 @@ least four with 0.633, ten chunks), above it still likelier.
 
 Work that grows with groups of copies is kept linear: equal sets are one class; in a
 bucket of the join all members are paired with its first only; links are confirmed on the
-full sets; and where a bucket still holds several components after that, the pairs across
-components that are near by signature are confirmed too, so no link that a bucket holds
-is lost. Components are found by star contraction.
+full sets; and where a bucket still holds several components after that, its members
+outside the largest are held against the others by their sets, and the links that join
+components are confirmed and added, so no component that a bucket holds stays apart.
+Components are found by star contraction.
 """
 
 from __future__ import annotations
@@ -125,58 +126,78 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return sized.withColumn("d", _differ("sa", "sb")).filter(F.col("d") <= FARTHEST).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= 75 * union."""
+def _sets(members: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, shingles, short) of the classes that share a bucket with another one; short: 32 bits of each."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                own = [shingle_set(t.as_py()).view(np.int64) for t in part.column(1)]
-                d1 = [int(s.view(np.uint64).sum(dtype=np.uint64).view(np.int64)) for s in own]
+                own = [shingle_set(t.as_py()) for t in part.column(1)]
+                d1 = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in own]
+                short = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in own]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(d1, pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["id", "d1", "members"])
+                    [part.column(0), pa.array(d1, pa.int64()), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64())), pa.array(short, pa.binary())],
+                    names=["id", "d1", "shingles", "short"])
 
-    need = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(classes.select("rep", "d1"), "rep")
+    need = members.select("rep").distinct().join(classes.select("rep", "d1"), "rep").select(F.col("rep").alias("id"), "d1")
     texts = (docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-             .join(need.select(F.col("rep").alias("id")), "id", "left_semi"))
-    held = texts.mapInArrow(sets, "id bigint, d1 bigint, members array<bigint>")
+             .join(need.select("id"), "id", "left_semi"))
+    held = texts.mapInArrow(sets, "id bigint, d1 bigint, shingles array<bigint>, short binary")
     # an id that repeats with other texts: only the class's own set counts
-    held = materialize(held.join(need.select(F.col("rep").alias("id"), "d1"), ["id", "d1"], "left_semi")
-                       .dropDuplicates(["id"]).select("id", "members"), "sets")
-    both = (pairs.join(held.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
-            .join(held.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b"))
+    return held.join(need, ["id", "d1"], "left_semi").dropDuplicates(["id"]).select("id", "shingles", "short")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= 75 * union."""
+    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("ma")), "a")
+            .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("mb")), "b"))
     common = F.size(F.array_intersect("ma", "mb"))
     return both.filter(100 * common >= SIMILARITY * (F.size("ma") + F.size("mb") - common)).select("a", "b")
 
 
-def _across(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of near signatures within a bucket but not in one component yet."""
+def bucket_links(labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the components of one bucket: a forest, not all pairs.
+
+    Every member that is outside the largest component when its turn comes is held against
+    all others, so members that are linked end up in one component.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(sizes) - sizes
+    own = np.zeros(int(flat.max()) + 1, bool)
+    _, part = np.unique(labels, return_inverse=True)
+    found = []
+    for i in range(len(sets)):
+        if part[i] == np.bincount(part).argmax():
+            continue
+        mine = flat[begin[i] : begin[i] + sizes[i]]
+        own[mine] = True
+        common = np.add.reduceat(own[flat], begin, dtype=np.int64)
+        own[mine] = False
+        linked = np.flatnonzero((100 * common >= SIMILARITY * (sizes + sizes[i] - common)) & (part != part[i]))
+        for j in linked:
+            if part[j] != part[i]:
+                found.append((i, int(j)))
+                part[part == part[j]] = part[i]
+    return found
+
+
+def _across(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between components that share a bucket."""
     labelled = (members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
                 .withColumn("label", F.coalesce("component", "rep")).drop("component"))
     # buckets with the same members need one look
     open_buckets = (labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"),
                                                 F.bit_xor(F.xxhash64("rep")).alias("content"))
                     .filter("size > 2 and low < high").groupBy("size", "content").agg(F.min("key").alias("key")).select("key"))
-    inside = (labelled.join(open_buckets, "key").join(classes.select("rep", "n", "sig"), "rep")
-              .select("key", "rep", "label", "n", "sig"))
+    inside = (labelled.join(open_buckets, "key").join(sets.select(F.col("id").alias("rep"), "short"), "rep")
+              .select("key", "rep", "label", "short"))
 
     def across(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["label"].to_numpy(), kind="stable")
-        reps, labels, sizes = (table[c].to_numpy()[order] for c in ("rep", "label", "n"))
-        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, POSITIONS)[order]
-        _, first, times = np.unique(labels, return_index=True, return_counts=True)
-        largest = labels[first[times.argmax()]]
-        left, right = [], []
-        # each member outside the largest component against all others of other components
-        for i in np.flatnonzero(labels != largest):
-            other = (labels == largest) | (labels > labels[i])
-            fits = other & (100 * np.minimum(sizes, sizes[i]) >= SIMILARITY * np.maximum(sizes, sizes[i]))
-            at = np.flatnonzero(fits)
-            at = at[(sigs[at] != sigs[i]).sum(axis=1) <= FARTHEST]
-            left.append(np.full(len(at), reps[i]))
-            right.append(reps[at])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        reps = table["rep"].to_numpy()
+        found = bucket_links(table["label"].to_numpy(), [np.frombuffer(x.as_py(), np.uint32) for x in table["short"]])
+        i, j = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(np.minimum(reps[i], reps[j]), pa.int64()), "b": pa.array(np.maximum(reps[i], reps[j]), pa.int64())})
 
     return inside.groupBy("key").applyInArrow(across, "a bigint, b bigint").distinct()
 
@@ -197,14 +218,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = materialize(keys.withColumn("turned", F.bitwise_not("key")).join(buckets, "turned").select("key", "rep", "head"), "members")
     pairs = members.filter("rep > head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     near = materialize(_near(pairs, classes), "pairs")
-    links = materialize(_confirmed(near, docs, classes, id_col, text_col), "links")
+    sets = materialize(_sets(members, docs, classes, id_col, text_col), "sets")
+    links = materialize(_confirmed(near, sets), "links")
     labels = components(links)
-    more = materialize(_across(members.select("key", "rep"), classes, labels), "pairs")
-    more = materialize(more.join(near, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        further = materialize(_confirmed(more, docs, classes, id_col, text_col), "links")
-        if not further.isEmpty():
-            labels = components(links.union(further))
+    further = materialize(_confirmed(_across(members.select("key", "rep"), sets, labels), sets), "links")
+    if not further.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(further))
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         (-F.col("n")).alias("minus"), "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     rows = signed.select("id", "n", "d1", "d2", F.when(F.col("n") > 0, -F.col("n")).alias("minus"))
