@@ -84,7 +84,7 @@ def calibrate_scores(scored: DataFrame, *, method: str = "isotonic", label: str
     score, targets smoothed by the class sizes, each distinct score as one row per class.
     """
     if method not in ("isotonic", "sigmoid"):
-        raise ValueError("Calibration method must be `isotonic` or `sigmoid`.")
+        raise ValueError("Unknown calibration method; there are `isotonic` and `sigmoid`.")
     counts = score_counts(scored, label, score).withColumnRenamed("score", "_score")
     if method == "isotonic":
         rows = counts.select("_score", (F.col("positives") / F.col("total")).alias("rate"), F.col("total").cast("double").alias("weight"))
@@ -107,7 +107,7 @@ def calibrate_model(model: Any, rows: DataFrame, *, method: str = "isotonic", la
     The calibrator sees the margin of a logistic model and the probability of any other.
     """
     if method not in ("isotonic", "sigmoid"):
-        raise ValueError("Calibration method must be `isotonic` or `sigmoid`.")
+        raise ValueError("Unknown calibration method; there are `isotonic` and `sigmoid`.")
     if use_margin is None:
         use_margin = "LogisticRegression" in type(getattr(model, "stages", [model])[-1]).__name__
     scored = model.transform(rows).select(F.col(label).alias("label"), _raw_score(use_margin).alias("score"))

@@ -59,7 +59,7 @@ def ranked(counts: DataFrame) -> DataFrame:
 def _both_classes(counts: DataFrame, what: str) -> tuple[int, int]:
     p, n = class_totals(counts)
     if not p or not n:
-        raise ValueError(f"{what} requires both positive and negative classes.")
+        raise ValueError(f"{what} is not defined with one class only.")
     return p, n
 
 
@@ -120,7 +120,7 @@ def threshold_costs(scored: DataFrame, *, cost_matrix: CostMatrix = CostMatrix()
     """
     given = [float(t) for t in (THRESHOLDS if thresholds is None else thresholds)]
     if not given:
-        raise ValueError("At least one threshold is required.")
+        raise ValueError("No thresholds were given.")
     steps = sorted(set(given))
     value, flag = F.col(score).cast("double"), F.col(label).cast("bigint")
     reach = F.when(value.isNull() | F.isnan(value), F.lit(0)).otherwise(

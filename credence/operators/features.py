@@ -14,7 +14,7 @@ FICO_BANDS = ((0, "poor"), (580, "fair"), (670, "good"), (740, "very_good"), (80
 def _require(loans: DataFrame, *columns: str) -> None:
     missing = sorted(set(columns) - set(loans.columns))
     if missing:
-        raise KeyError(f"Missing required columns: {missing}")
+        raise KeyError(f"These columns are needed: {missing}")
 
 
 def _ratio(a, b):
@@ -37,7 +37,7 @@ def add_credit_utilization(loans: DataFrame) -> DataFrame:
     elif {"total_credit_utilized", "total_credit_limit"} <= set(loans.columns):
         used = _ratio(coerce_numeric(F.col("total_credit_utilized")), coerce_numeric(F.col("total_credit_limit")))
     else:
-        raise KeyError("Expected column `revol_util` or both `total_credit_utilized` and `total_credit_limit`.")
+        raise KeyError("Utilisation needs `revol_util`, or `total_credit_utilized` with `total_credit_limit`.")
     return loans.withColumn("credit_utilization", used)
 
 

@@ -33,7 +33,7 @@ def closed_loans(loans: DataFrame, *, closed_statuses: Iterable[str] = CLOSED_ST
 def default_target(loans: DataFrame, *, status_column: str = "loan_status", target_column: str = "default_flag") -> DataFrame:
     """Adds 1 for a default, 0 for a paid loan, null for any other status."""
     if status_column not in loans.columns:
-        raise KeyError(f"Expected status column `{status_column}` is missing.")
+        raise KeyError(f"There is no column `{status_column}` to label by.")
     status = _tidy(status_column)
     return loans.withColumn(target_column, F.when(status.isin(*_lower(DEFAULT_STATUSES)), F.lit(1))
                             .when(status.isin(*_lower(PAID_STATUSES)), F.lit(0)).cast("int"))

@@ -72,7 +72,7 @@ TRAINERS = {"logistic_regression": train_logistic_regression, "xgboost": train_b
 
 def train_model(train: DataFrame, model_type: str = "logistic_regression", **options) -> PipelineModel:
     if model_type not in TRAINERS:
-        raise ValueError("Supported model types are `logistic_regression` and `xgboost`.")
+        raise ValueError(f"Unknown model type; there are {sorted(TRAINERS)}.")
     return TRAINERS[model_type](train, **options)
 
 

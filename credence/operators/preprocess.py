@@ -49,7 +49,7 @@ def route_columns(rows: DataFrame, *, exclude: tuple[str, ...] = (), numeric: li
         is_numeric = forced.get(f.name, typed or isinstance(f.dataType, T.StringType) and counts[f"p{k}"] == counts[f"n{k}"])
         out[0 if is_numeric else 1].append(f.name)
     if not out[0] and not out[1]:
-        raise ValueError("No usable feature columns were provided.")
+        raise ValueError("No feature column has a value.")
     return Routing(*out)
 
 

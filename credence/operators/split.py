@@ -35,17 +35,17 @@ def time_split(loans: DataFrame, *, date_column: str, train_end_date: str, test_
     aggregation finds missing dates and empty sides and raises ValueError.
     """
     if date_column not in loans.columns:
-        raise KeyError(f"Date column `{date_column}` is missing from features.")
+        raise KeyError(f"There is no date column `{date_column}`.")
     if _moment(train_end_date) >= _moment(test_start_date):
-        raise ValueError("`train_end_date` must be earlier than `test_start_date`.")
+        raise ValueError("The train end must be before the test start.")
     if check:
         s = split_stats(loans, date_column=date_column, train_end_date=train_end_date, test_start_date=test_start_date).first()
         if s["missing_dates"]:
-            raise ValueError(f"Date column `{date_column}` contains invalid or missing dates.")
+            raise ValueError(f"Column `{date_column}` has rows without a valid date.")
         if not s["train_rows"] or not s["test_rows"]:
             seen = f"Available date range is {s['first_date']:%Y-%m-%d} to {s['last_date']:%Y-%m-%d}. " if s["rows"] else "There are no rows. "
-            raise ValueError(f"Time-based split produced an empty train or test set. {seen}"
-                             f"Train rows: {s['train_rows']}. Test rows: {s['test_rows']}.")
+            raise ValueError(f"One side of the split has no rows. {seen}"
+                             f"Rows by side: train {s['train_rows']}, test {s['test_rows']}.")
     date = F.col(date_column).try_cast("timestamp_ntz")
     end, start = F.lit(_moment(train_end_date)).cast("timestamp_ntz"), F.lit(_moment(test_start_date)).cast("timestamp_ntz")
     return TimeSplit(loans.filter(date <= end).drop(date_column), loans.filter(date >= start).drop(date_column))

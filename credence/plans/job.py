@@ -42,7 +42,7 @@ def run_baseline(spark: SparkSession, raw_data_path: str, *, train_end_date: str
     if schema_config is not None and not isinstance(schema_config, Mapping):
         raise ValueError("Schema configuration must be a mapping.")
     if model_type not in TRAINERS:
-        raise ValueError("Supported model types are `logistic_regression` and `xgboost`.")
+        raise ValueError(f"Unknown model type; there are {sorted(TRAINERS)}.")
     cost_matrix = cost_matrix or CostMatrix()
     loans = load_loans(spark, raw_data_path, column_aliases=(schema_config or {}).get("column_aliases"), date_column=date_column)
     curated = curate(loans).persist(StorageLevel.MEMORY_AND_DISK)

@@ -42,13 +42,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_raw_loans(spark: SparkSession, path: str) -> DataFrame:
     """By suffix, case aside: .csv, or .parquet / .pq."""
     if not _exists(spark, path):
-        raise FileNotFoundError(f"Input data file does not exist: {path}")
+        raise FileNotFoundError(f"There is no input at {path}")
     suffix = path.rstrip("/").rpartition(".")[2].lower()
     if suffix == "csv":
         return read_csv(spark, path)
     if suffix in ("parquet", "pq"):
         return spark.read.parquet(path)
-    raise ValueError("Supported raw data formats are CSV and parquet.")
+    raise ValueError("A raw loan table must end in .csv, .parquet or .pq.")
 
 
 def load_loans(spark: SparkSession, path: str, *, closed_statuses: Iterable[str] = CLOSED_STATUSES,

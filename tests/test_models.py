@@ -25,7 +25,7 @@ def test_split(spark):
     late = spark.createDataFrame([("2018-01-01", 0), ("2018-03-01", 1)], "issue_d string, default_flag int")
     with pytest.raises(ValueError, match="Available date range is 2018-01-01 to 2018-03-01"):
         time_split(late, date_column="issue_d", train_end_date="2016-12-31", test_start_date="2017-01-01")
-    with pytest.raises(ValueError, match="invalid or missing"):
+    with pytest.raises(ValueError, match="without a valid date"):
         time_split(spark.createDataFrame([("soon", 0)], "issue_d string, y int"), date_column="issue_d", train_end_date="2016-12-31", test_start_date="2017-01-01")
     with pytest.raises(ValueError):
         time_split(rows, date_column="issue_d", train_end_date="2017-01-01", test_start_date="2017-01-01")
@@ -199,5 +199,5 @@ def test_job_variants(spark, tmp_path, capsys):
     with pytest.raises(ValueError):
         job.run_baseline(spark, path, model_type="forest", **dates)
     assert job.main([str(tmp_path / "none.csv"), "--train-end-date", "2016-12-31", "--test-start-date", "2017-01-01"]) == 1
-    assert "Pipeline failed: Input data file" in capsys.readouterr().err
+    assert "Pipeline failed: There is no input" in capsys.readouterr().err
     json.dumps(job.parse_args(["x", "--train-end-date", "a", "--test-start-date", "b"]).__dict__)
