@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_near_dedup": near_dedup.SQL,
     "op7_quality_rules": quality_rules.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
