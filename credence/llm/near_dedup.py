@@ -158,8 +158,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def bucket_links(labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that join the components of one bucket: a forest, not all pairs.
 
-    Every member that is outside the largest component when its turn comes is held against
-    all others, so members that are linked end up in one component.
+    Every member that is outside the component that is largest at the start is held against
+    all others. Of two linked members in different components one is outside it, so members
+    that are linked end up in one component, in whatever order they come.
     """
     sizes = np.array([len(s) for s in sets])
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -167,9 +168,8 @@ def bucket_links(labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int,
     own = np.zeros(int(flat.max()) + 1, bool)
     _, part = np.unique(labels, return_inverse=True)
     found = []
-    for i in range(len(sets)):
-        if part[i] == np.bincount(part).argmax():
-            continue
+    # by the labels at the start: what is largest changes as links are found
+    for i in np.flatnonzero(part != np.bincount(part).argmax()).tolist():
         mine = flat[begin[i] : begin[i] + sizes[i]]
         own[mine] = True
         common = np.add.reduceat(own[flat], begin, dtype=np.int64)

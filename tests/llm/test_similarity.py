@@ -65,6 +65,52 @@ def test_chain_in_a_bucket_is_joined():
     assert len(found) == 5 and all(abs(i - j) == 1 for i, j in found)
 
 
+def brute_parts(labels, links):
+    parent = {int(x): int(x) for x in labels}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in links:
+        parent[find(int(labels[i]))] = find(int(labels[j]))
+    return [find(int(x)) for x in labels]
+
+
+def same_parts(a, b):
+    return len(set(zip(a, b))) == len(set(a)) == len(set(b))
+
+
+def linked(a, b):
+    common = len(np.intersect1d(a, b))
+    return 100 * common >= 75 * (len(a) + len(b) - common)
+
+
+def test_bucket_links_keep_the_first_largest_component():
+    # l0 and l1 are the largest at first; c2, c3 and c4 are when c3 has had its turn
+    sets = [np.arange(1000 + at, 1100 + at, dtype=np.uint32) for at in (-200, 0, 20, 10, 30)]  # l0, l1, c3, c2, c4
+    labels = np.array([0, 0, 1, 2, 3])
+    links = [(i, j) for j in range(5) for i in range(j) if linked(sets[i], sets[j])]
+    found = near_dedup.bucket_links(labels, sets)
+    assert same_parts(brute_parts(labels, found), brute_parts(labels, links))
+
+
+def test_bucket_links_equal_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(600):
+        n = int(rng.integers(2, 14))
+        sets = [np.arange(a, a + 100, dtype=np.uint32) for a in rng.permutation(n) * 10]
+        sets = [x if rng.random() < 0.8 else x + np.uint32(5000) for x in sets]
+        every = [(i, j) for j in range(n) for i in range(j) if linked(sets[i], sets[j])]
+        known = [x for x in every if rng.random() < 0.3]
+        labels = np.array(brute_parts(range(n), known))
+        found = near_dedup.bucket_links(labels, sets)
+        assert all(linked(sets[i], sets[j]) for i, j in found)
+        assert same_parts(brute_parts(labels, found), brute_parts(labels, every))
+        assert len(found) == len(set(labels.tolist())) - len(set(brute_parts(labels, every)))
+
+
 def test_pigeonhole_guarantee():
     rng = np.random.default_rng(0)
     most = near_dedup.CHUNKS * (near_dedup.ERRORS + 1) - 1
