@@ -137,7 +137,8 @@ def repeated_windows(strings: list[bytes], rank: np.ndarray, first: np.ndarray,
         head = np.flatnonzero(whole)
         if len(head) < 2:
             continue
-        since = np.minimum.reduceat(common, np.append(0, head[:-1] + 1))
+        # up to the last whole window: what is sorted after it does not part it from the one before
+        since = np.minimum.reduceat(common[: head[-1] + 1], np.append(0, head[:-1] + 1))
         owner = order[head]
         groups = np.flatnonzero(np.append(True, since[1:] < LENGTH))
         place = (rank[owner].astype(np.int64) << 40) | (first[owner] + start[owner])

@@ -191,3 +191,24 @@ def test_runs_cover_every_window_once():
     windows = collections.Counter(w for f, m in zip(first, more) for w in range(f, f + m + 1))
     assert windows == collections.Counter(range(len(text) - 99)) and offset.min() >= 0
     assert [len(x) for x in substring_dedup.runs(b"x" * 99)] == [0] * 5
+
+
+def test_repeated_windows_equal_brute_force():
+    rng = np.random.default_rng(9)
+    size = substring_dedup.LENGTH
+    for _ in range(150):
+        n = int(rng.integers(2, 9))
+        # few kinds of bytes on both sides of one anchor; a string ends `size` after the anchor's start
+        left = [bytes(rng.choice([97, 98], substring_dedup.LEFT).astype(np.uint8)) for _ in range(2)]
+        right = [b"A" * substring_dedup.K + bytes(rng.choice([97, 98], size - substring_dedup.K).astype(np.uint8)) for _ in range(2)]
+        offset = rng.choice([0, 1, 30, 75, 76], n)
+        more = np.array([int(rng.integers(0, o + 1)) for o in offset])
+        strings = [left[rng.integers(2)][substring_dedup.LEFT - o :] + right[rng.integers(2)] for o in offset]
+        rank, first = rng.permutation(n), rng.integers(0, 1000, n)
+        who, start = substring_dedup.repeated_windows(strings, rank, first, more, offset)
+        earliest = {}
+        windows = [(rank[k], first[k] + s, k, s, s - offset[k]) for k in range(n) for s in range(more[k] + 1)]
+        for r, place, k, s, column in sorted(windows):
+            earliest.setdefault((column, strings[k][s : s + size]), (k, s))
+        want = {(k, s) for _, _, k, s, column in windows if earliest[column, strings[k][s : s + size]] != (k, s)}
+        assert set(zip(who.tolist(), start.tolist())) == want
