@@ -13,7 +13,9 @@ bucket of the join all members are paired with its first only; links are confirm
 full sets; and where a bucket still holds several components after that, its members
 outside the largest are held against the others by their sets, and the links that join
 components are confirmed and added, so no component that a bucket holds stays apart.
-Components are found by star contraction.
+Buckets up to a bound are looked at whole; larger ones stay a join of further heads with
+all members, twice as many heads a round, until every member is in the bucket's largest
+component or has been a head. Components are found by star contraction.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import documents, materialize, mix, window_hashes, word_hashes, word_spans
+from credence.llm.common import documents, drop_files, materialize, mix, window_hashes, word_hashes, word_spans
 from credence.llm.components import components
 
 WIDTH = 5
@@ -37,6 +39,9 @@ BITS = 16
 #: Pairs that differ in more positions are not looked at: 4.7 deviations from 0.75.
 FARTHEST = 27
 SIMILARITY = 75
+#: A bucket with more members or shingles than these is never collected in one task.
+GROUP_ROWS = 1000
+GROUP_SHINGLES = 1 << 19
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 62, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -182,15 +187,22 @@ def bucket_links(labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int,
     return found
 
 
-def _across(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links between components that share a bucket."""
-    labelled = (members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-                .withColumn("label", F.coalesce("component", "rep")).drop("component"))
-    # buckets with the same members need one look
-    open_buckets = (labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"),
-                                                F.bit_xor(F.xxhash64("rep")).alias("content"))
-                    .filter("size > 2 and low < high").groupBy("size", "content").agg(F.min("key").alias("key")).select("key"))
-    inside = (labelled.join(open_buckets, "key").join(sets.select(F.col("id").alias("rep"), "short"), "rep")
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """`members` with the component of each."""
+    return (members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+            .withColumn("label", F.coalesce("component", "rep")).drop("component"))
+
+
+def _open_buckets(labelled: DataFrame) -> DataFrame:
+    """(key, size, shingles) of the buckets with several components; of those with the same members, one."""
+    return (labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("label").alias("low"),
+                                        F.max("label").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("content"))
+            .filter("size > 2 and low < high").groupBy("size", "shingles", "content").agg(F.min("key").alias("key")))
+
+
+def _across_small(labelled: DataFrame, small: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components that share one of the `small` buckets."""
+    inside = (labelled.join(small.select("key"), "key").join(sets.select(F.col("id").alias("rep"), "short"), "rep")
               .select("key", "rep", "label", "short"))
 
     def across(table: pa.Table) -> pa.Table:
@@ -202,7 +214,48 @@ def _across(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame
     return inside.groupBy("key").applyInArrow(across, "a bigint, b bigint").distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with further links."""
+    if links.isEmpty():
+        return labels
+    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+
+
+def _across_large(large: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """`labels` after all links inside the `large` buckets (key, rep, n).
+
+    A round links about `many` members outside a bucket's largest component to all its
+    members. Of two linked members left apart one would be outside and no head yet.
+    """
+    spark = large.sparkSession
+    tried = spark.createDataFrame([], "key bigint, rep bigint")
+    many = 1
+    while True:
+        labelled = materialize(_labelled(large, labels), "labelled")
+        largest = (labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+                   .agg(F.max_by("label", F.struct("n", "label")).alias("largest")))
+        outside = materialize(labelled.join(largest, "key").filter("label <> largest").drop("largest")
+                              .join(tried, ["key", "rep"], "left_anti"), "outside")
+        # by one hash in all buckets, so that buckets with like members take the same heads
+        hashed = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
+        least = outside.groupBy("key").agg(F.count(F.lit(1)).alias("left"), F.min(F.struct(hashed.alias("h"), "rep")).alias("least"))
+        heads = materialize(outside.join(least, "key").filter((hashed * F.col("left") < F.lit(many << 30)) | (F.col("rep") == F.col("least.rep")))
+                            .select("key", "rep", "n", "label"), "heads")
+        if heads.isEmpty():
+            return labels
+        turned = heads.select(F.bitwise_not("key").alias("turned"), F.col("rep").alias("head"), F.col("n").alias("nh"), F.col("label").alias("own"))
+        pairs = (labelled.withColumn("turned", F.bitwise_not("key")).join(turned, "turned")
+                 .filter((F.col("label") != F.col("own")) & (100 * F.least("n", "nh") >= SIMILARITY * F.greatest("n", "nh")))
+                 .select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct())
+        labels = _joined(labels, materialize(_confirmed(pairs, sets), "links"))
+        tried = tried.union(heads.select("key", "rep"))
+        drop_files(outside)
+        drop_files(labelled)
+        many *= 2
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
+                group_rows: int = GROUP_ROWS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
     Null and empty texts have no shingles and are linked with nothing. Rows that repeat an
@@ -221,9 +274,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = materialize(_sets(members, docs, classes, id_col, text_col), "sets")
     links = materialize(_confirmed(near, sets), "links")
     labels = components(links)
-    further = materialize(_confirmed(_across(members.select("key", "rep"), sets, labels), sets), "links")
-    if not further.isEmpty():
-        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(further))
+    sized = members.select("key", "rep").join(classes.select("rep", "n"), "rep")
+    labelled = _labelled(sized, labels)
+    buckets = materialize(_open_buckets(labelled), "buckets")
+    small = (F.col("size") <= group_rows) & (F.col("shingles") <= group_shingles)
+    labels = _joined(labels, materialize(_confirmed(_across_small(labelled, buckets.filter(small), sets), sets), "links"))
+    large = buckets.filter(~small)
+    if not large.isEmpty():
+        turned = large.select(F.bitwise_not("key").alias("turned"))
+        labels = _across_large(materialize(sized.withColumn("turned", F.bitwise_not("key")).join(turned, "turned", "left_semi").drop("turned"), "large"), sets, labels)
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         (-F.col("n")).alias("minus"), "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     rows = signed.select("id", "n", "d1", "d2", F.when(F.col("n") > 0, -F.col("n")).alias("minus"))

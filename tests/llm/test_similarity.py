@@ -111,6 +111,28 @@ def test_bucket_links_equal_brute_force():
         assert len(found) == len(set(labels.tolist())) - len(set(brute_parts(labels, every)))
 
 
+def test_large_buckets_are_not_collected(spark):
+    # drifting copies: neighbours are linked, the ends are not; all share buckets
+    rng = random.Random(5)
+    words = [f"v{rng.randrange(9000)}" for _ in range(300)]
+    docs = []
+    for k in range(40):
+        docs.append((k * 7 % 40, " ".join(words)))
+        for at in rng.sample(range(300), 4):
+            words[at] = f"x{k}a{at}"
+    want = brute_components(docs)
+    for rows, most in ((3, near_dedup.GROUP_SHINGLES), (near_dedup.GROUP_ROWS, 700), (near_dedup.GROUP_ROWS, near_dedup.GROUP_SHINGLES)):
+        got = near_dedup.near_groups(table(spark, docs), group_rows=rows, group_shingles=most).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+    # one bucket, no links known: the rounds alone must find the whole graph
+    sets = [(i, sorted(hash(x) >> 1 for x in shingles(t))) for i, t in docs]
+    large = spark.createDataFrame([(1, i, len(x)) for i, x in sets], "key bigint, rep bigint, n bigint")
+    none = spark.createDataFrame([], "node bigint, component bigint")
+    found = near_dedup._across_large(large, spark.createDataFrame(sets, "id bigint, shingles array<bigint>"), none)
+    parts = {r["node"]: r["component"] for r in found.collect()}
+    assert {i: parts.get(i, i) for i, _ in docs} == want
+
+
 def test_pigeonhole_guarantee():
     rng = np.random.default_rng(0)
     most = near_dedup.CHUNKS * (near_dedup.ERRORS + 1) - 1
