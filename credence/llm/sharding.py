@@ -10,9 +10,10 @@ so shard sizes differ by one row at most and slots have no gaps.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from credence.llm.common import documents, materialize, text_column
 
@@ -44,21 +45,22 @@ def shard(records: DataFrame, n_shards: int, *, seed: int = 0, size: str | None
     rows = (records.select(F.struct(*records.columns).alias("record"))
             .withColumn("key", F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
             .withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int")))
-    kind = rows.schema["record"].dataType.simpleString()
+    # with the nullability of the records' own columns, as Arrow tables carry it
+    schema = T.StructType([rows.schema["record"], T.StructField("bucket", T.IntegerType()), T.StructField("place", T.LongType())])
 
-    def shuffled(bucket: pd.DataFrame) -> pd.DataFrame:
-        bucket = bucket.sort_values("key", kind="stable")
-        order = fisher_yates(len(bucket), (seed, int(bucket["bucket"].iloc[0])))
-        bucket = bucket.iloc[order]
-        return bucket[["record", "bucket"]].assign(place=np.arange(len(bucket), dtype=np.int64))
+    def shuffled(bucket: pa.Table) -> pa.Table:
+        by_key = np.argsort(bucket["key"].to_numpy(), kind="stable")
+        order = by_key[fisher_yates(bucket.num_rows, (seed, bucket["bucket"][0].as_py()))]
+        bucket = bucket.select(["record", "bucket"]).take(pa.array(order))
+        return bucket.append_column("place", pa.array(np.arange(bucket.num_rows, dtype=np.int64)))
 
     placed = materialize(
-        rows.groupBy("bucket").applyInPandas(shuffled, f"record {kind}, bucket int, place bigint"), "buckets")
+        rows.groupBy("bucket").applyInArrow(shuffled, schema), "buckets")
     # one row per bucket of millions of bytes: a small table to sum along
     offsets = (placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
                .withColumn("before", F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).drop("n"))
     place = F.col("place") + F.col("before")
-    return placed.join(offsets, "bucket").select(
+    return placed.join(F.broadcast(offsets), "bucket").select(
         "record", (place % n_shards).cast("int").alias("shard"), F.floor(place / n_shards).alias("slot"))
 
 
@@ -70,8 +72,9 @@ def write_shards(records: DataFrame, path: str, n_shards: int, **options) -> Non
 
 
 def op8_sharding(spark, sf_dir: str, n_shards: int = 40) -> DataFrame:
-    records = documents(spark, sf_dir).select(
-        "doc_id", (F.octet_length(text_column()) + 16).cast("long").alias("size"),
-        F.crc32(F.encode(text_column(), "utf-8")).alias("text_crc32"))
-    return shard(records, n_shards, size="size").select(
-        "record.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size = (F.octet_length("text") + 16).cast("long")
+    records = documents(spark, sf_dir).select("doc_id", text_column().alias("text")).withColumn("size", size)
+    # size and checksum are those of the texts that come out
+    return shard(records, n_shards, size="size").select("record.*", "shard", "slot").select(
+        "doc_id", size.alias("size"), F.crc32(F.encode("text", "utf-8")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -83,6 +83,22 @@ def test_shards(spark):
     assert sorted(sharding.fisher_yates(50, (1, 2))) == list(range(50)) and sharding.fisher_yates(50, (1, 2)) != list(range(50))
 
 
+def test_texts_go_through_the_shards(spark, tmp_path, monkeypatch):
+    docs = [(k, f"täxt {k} " * k) for k in range(60)] + [(60, None)]
+    table(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    given, shard = [], sharding.shard
+
+    def seen(records, *args, **options):
+        given.extend(records.columns)
+        return shard(records, *args, **options, bucket_bytes=4000)
+
+    monkeypatch.setattr(sharding, "shard", seen)
+    rows = sharding.op8_sharding(spark, str(tmp_path), 7).collect()
+    assert "text" in given
+    want = {i: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in docs}
+    assert len(rows) == 61 and {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == want
+
+
 def test_written_shards(spark, tmp_path):
     sharding.write_shards(table(spark, [(k, "t") for k in range(20)]), str(tmp_path / "out"), 3)
     back = spark.read.parquet(str(tmp_path / "out"))
