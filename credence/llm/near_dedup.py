@@ -4,18 +4,21 @@ A document's set of 5-word shingles gets a signature of POSITIONS values of BITS
 sets of similarity s agree in about s of the positions. The signatures are split into
 chunks; if two differ in at most CHUNKS * (ERRORS + 1) - 1 positions, then by the pigeonhole
 principle some chunk differs in at most ERRORS of its positions, so enumerating which
-positions of a chunk may be wrong, and joining on the others, finds all such pairs. At
-similarity 0.75 a pair is found with probability 0.99995 (each chunk of five agrees in at
-least four with 0.633, ten chunks), above it still likelier.
+positions of a chunk may be wrong, and joining on the others, finds all such pairs. That
+number is also the signature distance up to which pairs are looked at: 27 of 56, where a
+pair of similarity 0.75 differs in 14 on average and in more than 27 with a probability of
+0.00003.
 
 Work that grows with groups of copies is kept linear: equal sets are one class; in a
 bucket of the join all members are paired with its first only; links are confirmed on the
-full sets; and where a bucket still holds several components after that, its members
-outside the largest are held against the others by their sets, and the links that join
-components are confirmed and added, so no component that a bucket holds stays apart.
-Buckets up to a bound are looked at whole; larger ones stay a join of further heads with
-all members, twice as many heads a round, until every member is in the bucket's largest
-component or has been a head. Components are found by star contraction.
+full sets, and components are found by star contraction. Where a bucket still holds several
+components after that, its members outside the largest are held against all its members,
+block by block: of two linked members in different components one is outside the largest,
+so no link between components is lost. A block has a bounded number of rows and shingles
+and returns only links that join components, confirmed on the full sets.
+
+Rows are the nodes of the graph: rows that share an id but not a text are linked, or not, by
+their own texts.
 """
 
 from __future__ import annotations
@@ -27,25 +30,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import documents, drop_files, materialize, mix, window_hashes, word_hashes, word_spans
+from credence.llm.common import documents, materialize, mix, window_hashes, word_hashes, word_spans
 from credence.llm.components import components
 
 WIDTH = 5
-CHUNKS = 10
-CHUNK_POSITIONS = 5
+CHUNKS = 14
+CHUNK_POSITIONS = 4
 ERRORS = 1
 POSITIONS = CHUNKS * CHUNK_POSITIONS
 BITS = 16
-#: Pairs that differ in more positions are not looked at: 4.7 deviations from 0.75.
-FARTHEST = 27
+#: The signature distance up to which every pair is found and looked at.
+FARTHEST = CHUNKS * (ERRORS + 1) - 1
 SIMILARITY = 75
-#: A bucket with more members or shingles than these is never collected in one task.
-GROUP_ROWS = 1000
-GROUP_SHINGLES = 1 << 19
+#: A block of a bucket has about this many rows and shingles at most.
+BLOCK_ROWS = 512
+BLOCK_SHINGLES = 1 << 19
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 62, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 1 << 62, POSITIONS, dtype=np.uint64)
+#: A bucket's first member is that of one of these orders, by its key, so that a group of
+#: copies that shares many buckets is held against several of its members.
+_ORDERS = [int(x) for x in _rng.integers(0, 1 << 62, 4)]
 
 
 def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -80,22 +86,28 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1).view(np.int64)
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, text): rows of one id are told apart by a hash of their texts."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.cast("binary").alias("text"))
+
+
+def _signed(texts: DataFrame) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingle_set(text.as_py())
                 with np.errstate(over="ignore"):
                     d1, d2 = s.sum(dtype=np.uint64), mix(s + np.uint64(77)).sum(dtype=np.uint64)
                 rows.append((len(s), int(d1.view(np.int64)), int(d2.view(np.int64)), signature(s).tobytes() if len(s) else None))
             n, d1, d2, sig = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())],
-                names=["id", "n", "d1", "d2", "sig"])
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())],
+                names=["id", "h", "n", "d1", "d2", "sig"])
 
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return source.mapInArrow(signed, "id bigint, n bigint, d1 bigint, d2 bigint, sig binary")
+    found = texts.mapInArrow(signed, "id bigint, h bigint, n bigint, d1 bigint, d2 bigint, sig binary")
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -131,172 +143,167 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return sized.withColumn("d", _differ("sa", "sb")).filter(F.col("d") <= FARTHEST).select("a", "b")
 
 
-def _sets(members: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, shingles, short) of the classes that share a bucket with another one; short: 32 bits of each."""
+def _sets(members: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, shingles) of the classes that share a bucket with another one."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                own = [shingle_set(t.as_py()) for t in part.column(1)]
-                d1 = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in own]
-                short = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in own]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(d1, pa.int64()), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64())), pa.array(short, pa.binary())],
-                    names=["id", "d1", "shingles", "short"])
+                own = [shingle_set(t.as_py()).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], names=["rep", "shingles"])
 
-    need = members.select("rep").distinct().join(classes.select("rep", "d1"), "rep").select(F.col("rep").alias("id"), "d1")
-    texts = (docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-             .join(need.select("id"), "id", "left_semi"))
-    held = texts.mapInArrow(sets, "id bigint, d1 bigint, shingles array<bigint>, short binary")
-    # an id that repeats with other texts: only the class's own set counts
-    return held.join(need, ["id", "d1"], "left_semi").dropDuplicates(["id"]).select("id", "shingles", "short")
+    need = members.select("rep").distinct().join(classes.select("rep", F.col("id").alias("own"), F.col("h").alias("own_h")), "rep")
+    held = texts.join(need, F.col("id").eqNullSafe(F.col("own")) & (F.col("h") == F.col("own_h"))).select("rep", "text")
+    # a row that is repeated whole is there more than once
+    return held.mapInArrow(sets, "rep bigint, shingles array<bigint>").dropDuplicates(["rep"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= 75 * union."""
-    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("ma")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("mb")), "b"))
+    both = (pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("ma")), "a")
+            .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("mb")), "b"))
     common = F.size(F.array_intersect("ma", "mb"))
     return both.filter(100 * common >= SIMILARITY * (F.size("ma") + F.size("mb") - common)).select("a", "b")
 
 
-def bucket_links(labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join the components of one bucket: a forest, not all pairs.
+def first_shared(differ: np.ndarray) -> np.ndarray:
+    """The first of all chunk keys that two signatures share, from where they differ; -1 without one."""
+    errors = differ.reshape(len(differ), CHUNKS, CHUNK_POSITIONS)
+    shared = errors.sum(axis=2) <= ERRORS
+    chunk = shared.argmax(axis=1)
+    rows = np.arange(len(differ))
+    # argmax of a chunk without an error is 0, and any of its keys is shared then
+    return np.where(shared[rows, chunk], chunk * CHUNK_POSITIONS + errors[rows, chunk].argmax(axis=1), -1)
+
+
+def block_links(labels: np.ndarray, asks: np.ndarray, answers: np.ndarray, signatures: np.ndarray, sets: list[np.ndarray], slot: int | None = None) -> list[tuple[int, int]]:
+    """Links that join components: every row of `asks` held against all of `answers`.
 
-    Every member that is outside the component that is largest at the start is held against
-    all others. Of two linked members in different components one is outside it, so members
-    that are linked end up in one component, in whatever order they come.
+    A forest over the labels, not all pairs: once two components are one, no further link
+    between them is looked for. Sets are sorted and without repeats. `slot`: which of the
+    chunk keys is the bucket's; pairs that share an earlier one are left to its bucket.
     """
-    sizes = np.array([len(s) for s in sets])
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    begin = np.cumsum(sizes) - sizes
-    own = np.zeros(int(flat.max()) + 1, bool)
     _, part = np.unique(labels, return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    held = np.flatnonzero(answers)
     found = []
-    # by the labels at the start: what is largest changes as links are found
-    for i in np.flatnonzero(part != np.bincount(part).argmax()).tolist():
-        mine = flat[begin[i] : begin[i] + sizes[i]]
-        own[mine] = True
-        common = np.add.reduceat(own[flat], begin, dtype=np.int64)
-        own[mine] = False
-        linked = np.flatnonzero((100 * common >= SIMILARITY * (sizes + sizes[i] - common)) & (part != part[i]))
-        for j in linked:
+    for i in np.flatnonzero(asks).tolist():
+        near = held[(part[held] != part[i]) & (100 * np.minimum(sizes[held], sizes[i]) >= SIMILARITY * np.maximum(sizes[held], sizes[i]))]
+        differ = signatures[near] != signatures[i]
+        close = differ.sum(axis=1) <= FARTHEST
+        near = near[close] if slot is None else near[close][first_shared(differ[close]) == slot]
+        if not len(near):
+            continue
+        flat = np.concatenate([sets[j] for j in near])
+        place = np.minimum(np.searchsorted(sets[i], flat), sizes[i] - 1)
+        common = np.add.reduceat(sets[i][place] == flat, np.cumsum(sizes[near]) - sizes[near], dtype=np.int64)
+        for j in near[100 * common >= SIMILARITY * (sizes[near] + sizes[i] - common)].tolist():
             if part[j] != part[i]:
-                found.append((i, int(j)))
+                found.append((i, j))
                 part[part == part[j]] = part[i]
     return found
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """`members` with the component of each."""
-    return (members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-            .withColumn("label", F.coalesce("component", "rep")).drop("component"))
-
-
-def _open_buckets(labelled: DataFrame) -> DataFrame:
-    """(key, size, shingles) of the buckets with several components; of those with the same members, one."""
-    return (labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("label").alias("low"),
-                                        F.max("label").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("content"))
-            .filter("size > 2 and low < high").groupBy("size", "shingles", "content").agg(F.min("key").alias("key")))
-
-
-def _across_small(labelled: DataFrame, small: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components that share one of the `small` buckets."""
-    inside = (labelled.join(small.select("key"), "key").join(sets.select(F.col("id").alias("rep"), "short"), "rep")
-              .select("key", "rep", "label", "short"))
+def _across(members: DataFrame, classes: DataFrame, labels: DataFrame, sets: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
+    """Links between components that share a bucket, confirmed on the full sets."""
+    named = labels.select(F.col("node").alias("rep"), "component")
+    labelled = materialize(members.select("key", "rep").join(classes.select("rep", "n"), "rep").join(named, "rep", "left")
+                           .select("key", "rep", "n", F.coalesce("component", "rep").alias("label")), "labelled")
+    opened = (labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+              .filter("size > 2 and low < high").select("key"))
+    inside = materialize(labelled.join(opened, "key"), "inside")
+    largest = (inside.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+               .agg(F.max_by("label", F.struct("n", "label")).alias("largest")))
+    asking = inside.join(largest, "key").withColumn("asks", F.col("label") != F.col("largest")).drop("largest")
+    blocks = lambda rows, shingles: F.greatest(F.ceil(rows / block_rows), F.ceil(shingles / block_shingles), F.lit(1)).cast("int")
+    grid = asking.groupBy("key").agg(
+        blocks(F.count_if("asks"), F.sum(F.when(F.col("asks"), F.col("n")).otherwise(0))).alias("asked"),
+        blocks(F.count(F.lit(1)), F.sum("n")).alias("answered"))
+    placed = asking.join(grid, "key")
+    dealt = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col(n)).cast("int")
+    whole = (F.col("asked") == 1) & (F.col("answered") == 1)
+    held = ["key", "rep", "label"]
+    one = placed.filter(whole).select(*held, "asks", F.lit(True).alias("answers"), F.lit(0).alias("p"), F.lit(0).alias("q"))
+    answers = placed.filter(~whole).select(*held, F.lit(False).alias("asks"), F.lit(True).alias("answers"),
+                                           F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("p"), dealt(2, "answered").alias("q"))
+    asks = placed.filter(~whole & F.col("asks")).select(*held, "asks", F.lit(False).alias("answers"), dealt(1, "asked").alias("p"),
+                                                        F.explode(F.sequence(F.lit(0), F.col("answered") - 1)).alias("q"))
+    rows = materialize(one.union(answers).union(asks), "blocks").join(classes.select("rep", "sig"), "rep").join(sets, "rep")
 
     def across(table: pa.Table) -> pa.Table:
         reps = table["rep"].to_numpy()
-        found = bucket_links(table["label"].to_numpy(), [np.frombuffer(x.as_py(), np.uint32) for x in table["short"]])
+        signatures = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, POSITIONS)
+        slot = int(np.flatnonzero(chunk_keys(signatures[:1])[0] == table["key"][0].as_py())[0])
+        found = block_links(table["label"].to_numpy(), np.array(table["asks"]), np.array(table["answers"]), signatures,
+                            [x.values.to_numpy().view(np.uint64) for x in table["shingles"]], slot)
         i, j = np.array(found, np.int64).reshape(-1, 2).T
         return pa.table({"a": pa.array(np.minimum(reps[i], reps[j]), pa.int64()), "b": pa.array(np.maximum(reps[i], reps[j]), pa.int64())})
 
-    return inside.groupBy("key").applyInArrow(across, "a bigint, b bigint").distinct()
-
-
-def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The components with further links."""
-    if links.isEmpty():
-        return labels
-    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
-
-
-def _across_large(large: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """`labels` after all links inside the `large` buckets (key, rep, n).
-
-    A round links about `many` members outside a bucket's largest component to all its
-    members. Of two linked members left apart one would be outside and no head yet.
-    """
-    spark = large.sparkSession
-    tried = spark.createDataFrame([], "key bigint, rep bigint")
-    many = 1
-    while True:
-        labelled = materialize(_labelled(large, labels), "labelled")
-        largest = (labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-                   .agg(F.max_by("label", F.struct("n", "label")).alias("largest")))
-        outside = materialize(labelled.join(largest, "key").filter("label <> largest").drop("largest")
-                              .join(tried, ["key", "rep"], "left_anti"), "outside")
-        # by one hash in all buckets, so that buckets with like members take the same heads
-        hashed = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
-        least = outside.groupBy("key").agg(F.count(F.lit(1)).alias("left"), F.min(F.struct(hashed.alias("h"), "rep")).alias("least"))
-        heads = materialize(outside.join(least, "key").filter((hashed * F.col("left") < F.lit(many << 30)) | (F.col("rep") == F.col("least.rep")))
-                            .select("key", "rep", "n", "label"), "heads")
-        if heads.isEmpty():
-            return labels
-        turned = heads.select(F.bitwise_not("key").alias("turned"), F.col("rep").alias("head"), F.col("n").alias("nh"), F.col("label").alias("own"))
-        pairs = (labelled.withColumn("turned", F.bitwise_not("key")).join(turned, "turned")
-                 .filter((F.col("label") != F.col("own")) & (100 * F.least("n", "nh") >= SIMILARITY * F.greatest("n", "nh")))
-                 .select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct())
-        labels = _joined(labels, materialize(_confirmed(pairs, sets), "links"))
-        tried = tried.union(heads.select("key", "rep"))
-        drop_files(outside)
-        drop_files(labelled)
-        many *= 2
+    return rows.groupBy("key", "p", "q").applyInArrow(across, "a bigint, b bigint").distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-                group_rows: int = GROUP_ROWS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept.
-
-    Null and empty texts have no shingles and are linked with nothing. Rows that repeat an
-    id are one node of the graph.
-    """
-    signed = materialize(_signed(docs, id_col, text_col), "signatures")
+def _verdicts(texts: DataFrame, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """One row per row of (id, h, text): id, h, n, component_id, kept."""
+    signed = materialize(_signed(texts), "signatures")
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "h")).alias("least")
     classes = materialize(
-        signed.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
-        .filter("rep IS NOT NULL").dropDuplicates(["rep"]), "classes")
+        signed.filter("n > 0").groupBy("n", "d1", "d2").agg(least, F.first("sig").alias("sig"))
+        .select("n", "d1", "d2", "sig", F.col("least.row").alias("rep"), F.col("least.id").alias("id"), F.col("least.h").alias("h")), "classes")
     keys = _keys(classes)
-    buckets = (keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last")
-               .select(F.bitwise_not("key").alias("turned"), "head"))
-    members = materialize(keys.withColumn("turned", F.bitwise_not("key")).join(buckets, "turned").select("key", "rep", "head"), "members")
-    pairs = members.filter("rep > head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    order = F.col("rep").bitwiseXOR(F.get(F.array(*map(F.lit, _ORDERS)), F.pmod("key", F.lit(len(_ORDERS))).cast("int")))
+    ends = keys.groupBy("key").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first < last")
+    members = materialize(keys.withColumn("turned", F.bitwise_not("key")).join(ends.select(F.bitwise_not("key").alias("turned"), "first"), "turned")
+                          .select("key", "rep", order.bitwiseXOR(F.col("first")).bitwiseXOR(F.col("rep")).alias("head")), "members")
+    pairs = members.filter("rep <> head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
     near = materialize(_near(pairs, classes), "pairs")
-    sets = materialize(_sets(members, docs, classes, id_col, text_col), "sets")
+    sets = materialize(_sets(members, texts, classes), "sets")
     links = materialize(_confirmed(near, sets), "links")
     labels = components(links)
-    sized = members.select("key", "rep").join(classes.select("rep", "n"), "rep")
-    labelled = _labelled(sized, labels)
-    buckets = materialize(_open_buckets(labelled), "buckets")
-    small = (F.col("size") <= group_rows) & (F.col("shingles") <= group_shingles)
-    labels = _joined(labels, materialize(_confirmed(_across_small(labelled, buckets.filter(small), sets), sets), "links"))
-    large = buckets.filter(~small)
-    if not large.isEmpty():
-        turned = large.select(F.bitwise_not("key").alias("turned"))
-        labels = _across_large(materialize(sized.withColumn("turned", F.bitwise_not("key")).join(turned, "turned", "left_semi").drop("turned"), "large"), sets, labels)
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        (-F.col("n")).alias("minus"), "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    rows = signed.select("id", "n", "d1", "d2", F.when(F.col("n") > 0, -F.col("n")).alias("minus"))
-    component = F.coalesce("component_id", "id")
+    more = materialize(_across(members, classes, labels, sets, block_rows, block_shingles), "links")
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    node = F.coalesce("component", "rep")
+    # a copy's row of all its class: the key is turned so that Spark may split a hot component
+    joined = classes.select("n", "d1", "d2", "rep", "id").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("node", node)
+    heads = joined.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", F.col("rep").alias("row"))).alias("stays"))
+    named = (joined.withColumn("turned", F.bitwise_not("node")).join(heads.select(F.bitwise_not("node").alias("turned"), "stays"), "turned")
+             .select((-F.col("n")).alias("minus"), "d1", "d2", "stays"))
+    rows = signed.select("row", "id", "h", "n", "d1", "d2", F.when(F.col("n") > 0, -F.col("n")).alias("minus"))
     return rows.join(named, ["minus", "d1", "d2"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+        "id", "h", "n", F.when(F.col("stays").isNull(), F.col("id")).otherwise(F.col("stays.id")).alias("component_id"),
+        (F.col("stays").isNull() | (F.col("row") == F.col("stays.row"))).alias("kept"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
+                block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, kept.
+
+    Null and empty texts have no shingles and are linked with nothing. Rows are nodes, also
+    those that share an id; component_id is the least id of a row's component, null ids
+    coming last. Of a component exactly one row is kept, of rows with its least id any one.
+    """
+    return _verdicts(_texts(docs, id_col, text_col), block_rows, block_shingles).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, one of each group, with their own columns."""
-    gone = near_groups(docs, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("gone_id"))
-    gone = gone.distinct()
-    return docs.join(gone, docs[id_col].cast("bigint") == gone["gone_id"], "left_anti")
+    """The rows of `docs` that stay, one of each group, with their own columns.
+
+    Rows go by id and text together, so a row that shares its id with another stays or goes
+    by its own text. Of rows that repeat both, and have words, one stays.
+    """
+    verdicts = _verdicts(_texts(docs, id_col, text_col)).groupBy("id", "h").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("stay")).filter("stay < rows")
+    verdicts = materialize(verdicts.select(F.col("id").alias("gone_id"), F.col("h").alias("gone_h"), "stay"), "verdicts")
+    held = docs.select(F.struct(*docs.columns).alias("record"), F.col(id_col).cast("bigint").alias("gone_id"),
+                       F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("gone_h"))
+    of = lambda rows: held["gone_id"].eqNullSafe(rows["gone_id"]) & (held["gone_h"] == rows["gone_h"])
+    stay = held.join(verdicts, of(verdicts), "left_anti").select("record.*")
+    repeated = verdicts.filter("stay > 0")
+    if repeated.isEmpty():
+        return stay
+    one = held.join(repeated, of(repeated), "left_semi").groupBy("gone_id", "gone_h").agg(F.first("record").alias("record"))
+    return stay.unionByName(one.select("record.*"))
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from credence.llm import near_dedup, substring_dedup
 from credence.llm.components import components
@@ -58,10 +59,16 @@ def test_near_groups(spark):
     assert near_dedup.near_groups(table(spark, [])).count() == 0
 
 
+def all_against_all(sets, labels, **more):
+    every = np.ones(len(sets), bool)
+    same = np.zeros((len(sets), near_dedup.POSITIONS), np.uint16)
+    return near_dedup.block_links(labels, every, every, same, sets, **more)
+
+
 def test_chain_in_a_bucket_is_joined():
     # the first is far from the last, and only neighbours are linked
-    sets = [np.arange(k * 10, k * 10 + 100, dtype=np.uint32) for k in range(6)]
-    found = near_dedup.bucket_links(np.arange(6), sets)
+    sets = [np.arange(k * 10, k * 10 + 100, dtype=np.uint64) for k in range(6)]
+    found = all_against_all(sets, np.arange(6))
     assert len(found) == 5 and all(abs(i - j) == 1 for i, j in found)
 
 
@@ -87,31 +94,36 @@ def linked(a, b):
     return 100 * common >= 75 * (len(a) + len(b) - common)
 
 
-def test_bucket_links_keep_the_first_largest_component():
-    # l0 and l1 are the largest at first; c2, c3 and c4 are when c3 has had its turn
-    sets = [np.arange(1000 + at, 1100 + at, dtype=np.uint32) for at in (-200, 0, 20, 10, 30)]  # l0, l1, c3, c2, c4
-    labels = np.array([0, 0, 1, 2, 3])
-    links = [(i, j) for j in range(5) for i in range(j) if linked(sets[i], sets[j])]
-    found = near_dedup.bucket_links(labels, sets)
-    assert same_parts(brute_parts(labels, found), brute_parts(labels, links))
-
-
-def test_bucket_links_equal_brute_force():
+def test_block_links_equal_brute_force():
     rng = np.random.default_rng(8)
     for _ in range(600):
         n = int(rng.integers(2, 14))
-        sets = [np.arange(a, a + 100, dtype=np.uint32) for a in rng.permutation(n) * 10]
-        sets = [x if rng.random() < 0.8 else x + np.uint32(5000) for x in sets]
+        sets = [np.arange(a, a + 100, dtype=np.uint64) for a in rng.permutation(n) * 10]
+        sets = [x if rng.random() < 0.8 else x + np.uint64(5000) for x in sets]
         every = [(i, j) for j in range(n) for i in range(j) if linked(sets[i], sets[j])]
         known = [x for x in every if rng.random() < 0.3]
         labels = np.array(brute_parts(range(n), known))
-        found = near_dedup.bucket_links(labels, sets)
+        asks = labels != np.bincount(labels).argmax()
+        # any split into blocks of askers and of members finds the same components
+        cuts = [np.arange(n) % 2 == 0, np.arange(n) % 2 == 1] if n > 6 else [np.ones(n, bool)]
+        same = np.zeros((n, near_dedup.POSITIONS), np.uint16)
+        found = [x for a in cuts for b in cuts for x in near_dedup.block_links(labels, asks & a, b, same, sets)]
         assert all(linked(sets[i], sets[j]) for i, j in found)
         assert same_parts(brute_parts(labels, found), brute_parts(labels, every))
-        assert len(found) == len(set(labels.tolist())) - len(set(brute_parts(labels, every)))
 
 
-def test_large_buckets_are_not_collected(spark):
+def test_a_pair_is_looked_at_in_its_first_bucket():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 16, (400, near_dedup.POSITIONS), dtype=np.uint16)
+    b = np.where(rng.random(a.shape) < rng.random((400, 1)), a, a ^ 1).astype(np.uint16)
+    keys_a, keys_b = near_dedup.chunk_keys(a), near_dedup.chunk_keys(b)
+    first = near_dedup.first_shared(a != b)
+    for k in range(400):
+        shared = np.flatnonzero(keys_a[k] == keys_b[k])
+        assert first[k] == (shared[0] if len(shared) else -1)
+
+
+def test_blocks_of_any_size_find_all(spark):
     # drifting copies: neighbours are linked, the ends are not; all share buckets
     rng = random.Random(5)
     words = [f"v{rng.randrange(9000)}" for _ in range(300)]
@@ -121,16 +133,47 @@ def test_large_buckets_are_not_collected(spark):
         for at in rng.sample(range(300), 4):
             words[at] = f"x{k}a{at}"
     want = brute_components(docs)
-    for rows, most in ((3, near_dedup.GROUP_SHINGLES), (near_dedup.GROUP_ROWS, 700), (near_dedup.GROUP_ROWS, near_dedup.GROUP_SHINGLES)):
-        got = near_dedup.near_groups(table(spark, docs), group_rows=rows, group_shingles=most).collect()
+    for rows, most in ((3, near_dedup.BLOCK_SHINGLES), (near_dedup.BLOCK_ROWS, 700), (near_dedup.BLOCK_ROWS, near_dedup.BLOCK_SHINGLES)):
+        got = near_dedup.near_groups(table(spark, docs), block_rows=rows, block_shingles=most).collect()
         assert {r["doc_id"]: r["component_id"] for r in got} == want
-    # one bucket, no links known: the rounds alone must find the whole graph
-    sets = [(i, sorted(hash(x) >> 1 for x in shingles(t))) for i, t in docs]
-    large = spark.createDataFrame([(1, i, len(x)) for i, x in sets], "key bigint, rep bigint, n bigint")
+    # no link known: the blocks alone must find the whole graph
+    keyed = near_dedup.chunk_keys(np.zeros((1, near_dedup.POSITIONS), np.uint16))[0]
+    members = spark.createDataFrame([(int(keyed[0]), i) for i, _ in docs], "key bigint, rep bigint")
+    sets = spark.createDataFrame([(i, sorted(hash(x) & (1 << 62) - 1 for x in shingles(t))) for i, t in docs], "rep bigint, shingles array<bigint>")
+    classes = spark.createDataFrame([(i, len(shingles(t)), bytes(2 * near_dedup.POSITIONS)) for i, t in docs], "rep bigint, n bigint, sig binary")
     none = spark.createDataFrame([], "node bigint, component bigint")
-    found = near_dedup._across_large(large, spark.createDataFrame(sets, "id bigint, shingles array<bigint>"), none)
-    parts = {r["node"]: r["component"] for r in found.collect()}
-    assert {i: parts.get(i, i) for i, _ in docs} == want
+    for rows in (1000, 7):
+        links = near_dedup._across(members, classes, none, sets, rows, near_dedup.BLOCK_SHINGLES)
+        parts = {r["node"]: r["component"] for r in components(links).collect()}
+        assert {i: parts.get(i, i) for i, _ in docs} == want
+
+
+def brute_rows(docs):
+    """Component (place of a row) of each row: rows are nodes, whatever their ids."""
+    return brute_components([(k, t) for k, (_, t) in enumerate(docs)])
+
+
+def test_ids_that_repeat_lose_nothing(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(f"v{rng.randrange(5000)}" for _ in range(40))
+    a, b, c = text(), text(), text()
+    near_c = c.replace(c.split()[20], "other", 1)
+    for docs in ([(5, a), (5, b), (9, b)], [(3, a), (5, a), (5, b), (9, b)], [(1, a), (1, a), (1, b), (None, b), (None, c), (2, None), (2, None), (2, "")],
+                 [(None, a), (None, a), (None, b)], [(7, c), (7, near_c), (8, near_c), (8, a), (7, c)]):
+        parts = brute_rows(docs)
+        least = {p: min((i is None, i) for k, (i, _) in enumerate(docs) if parts[k] == p) for p in parts.values()}
+        want = collections.Counter((i, least[parts[k]][1] if shingles(t) else i) for k, (i, t) in enumerate(docs))
+        got = near_dedup.near_groups(table(spark, docs)).collect()
+        assert collections.Counter((r["doc_id"], r["component_id"]) for r in got) == want
+        assert sum(r["kept"] for r in got) == len(set(parts.values()))
+        frame = table(spark, docs).withColumn("gone_id", F.lit(1)).withColumn("h", F.lit("x")).withColumn("record", F.lit("y"))
+        kept = near_dedup.near_dedup(frame)
+        assert kept.columns == frame.columns
+        left = collections.Counter((r["doc_id"], r["text"]) for r in kept.collect())
+        # of every component one row, the least of its ids, and no text without a near copy that stays
+        assert left.total() == len(set(parts.values())) and not left - collections.Counter(docs)
+        assert {shingles(t) for _, t in left} <= {shingles(t) for _, t in docs}
+        assert collections.Counter(i for i, _ in left.elements()) == collections.Counter(least[p][1] for p in set(parts.values()))
 
 
 def test_pigeonhole_guarantee():
