@@ -5,10 +5,17 @@ plan needs is the histogram of lengths, at most one number per length, so the pl
 on the driver at a cost that does not depend on the number of documents:
 
 1. the linear program over configurations (multisets of lengths that fit a window) is
-   solved by multiplicative weights; the best configuration under the current weights is
-   found by a knapsack dynamic program over the capacity;
-2. the fractional solution is rounded down, and what it leaves is packed by best fit,
-   again on counts: windows with equal content are one entry with a multiplicity.
+   solved by multiplicative weights. A round prices each length at its size times a weight
+   that falls exponentially with the share of its demand that is met, solves the knapsack
+   over the capacity by dynamic programming, and takes up every configuration of a length
+   with the best of what the rest of the window holds, as long as it is nearly tight. Any
+   prices bound the optimum from below: the worth of the demand over that of the best
+   configuration. Rounds go on until what is taken and what is left are within GAP of the
+   bound, or no configuration is nearly tight (where lengths do not fill windows);
+2. the solution is rounded: whole parts first, then one more window of the configurations
+   with the largest rests, as long as the demand has them; best fit packs what is left, on
+   counts: windows with equal content are one entry with a multiplicity;
+3. best fit alone is planned too, and the plan with fewer windows is used.
 
 A configuration with its multiplicity claims a range of ranks of each of its lengths.
 Pieces get their rank within their length from counts per block, so no length, however
@@ -18,7 +25,6 @@ the plan, which is as large as the set of configurations.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,73 +35,109 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from credence.llm.common import documents, materialize
-from credence.llm.tokens import json_encoding
+from credence.llm.tokens import json_encoder
 
 WINDOW = 2048
 END_ID = 0
 #: Rows numbered together within a length.
 BLOCK_ROWS = 20_000
-#: Rounds of multiplicative weights; more bring the fractional solution closer to the optimum.
-ROUNDS = 600
+#: The program is solved when its solution is at most this share above the lower bound.
+GAP = 0.001
+#: How fast a length's weight falls with the share of its demand that is met.
+RATE = 0.03
+#: The largest share of a length's demand that one configuration meets in a round.
+STEP = 0.3
+#: Configurations are taken up if they are within this share of tight under the best prices.
+NEAR_TIGHT = 0.0005
 
 
 # ---------------------------------------------------------------- the plan, on counts
 
 
-def best_configuration(value: np.ndarray, capacity: int) -> list[tuple[int, int]]:
-    """Unbounded knapsack: (length, copies) of the most valuable multiset within capacity.
+def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: the best worth within each capacity, and the length taken last there.
 
     value[l] is the worth of length l (index 0 unused); lengths of no worth are not used.
+    Where the last length is 0 the best is that of one less capacity.
     """
     lengths = np.flatnonzero(value[: capacity + 1] > 0)
-    if not len(lengths):
-        return []
     best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int32)
     worth = value[lengths]
     until = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        best[c], last[c] = best[c - 1], -1
+        best[c] = best[c - 1]
         if k := until[c]:
             total = best[c - lengths[:k]] + worth[:k]
             if total[j := int(total.argmax())] > best[c]:
                 best[c], last[c] = total[j], lengths[j]
+    return best, last
+
+
+def content(last: np.ndarray, capacity: int) -> dict[int, int]:
+    """Length -> copies of the best configuration within a capacity."""
     copies: dict[int, int] = {}
     c = capacity
     while c > 0:
-        if last[c] <= 0:
-            c -= 1
-            continue
-        copies[int(last[c])] = copies.get(int(last[c]), 0) + 1
-        c -= int(last[c])
-    return sorted(copies.items(), reverse=True)
+        if l := int(last[c]):
+            copies[l] = copies.get(l, 0) + 1
+        c -= l or 1
+    return copies
 
 
-def fractional_cover(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[list[tuple[int, int]], float]]:
-    """Configurations with fractional multiplicities that about cover the demand.
+def fractional_solution(demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[dict[tuple, float], float]:
+    """Configurations with fractional multiplicities that meet the demand, never more of it; a lower bound.
 
-    Each round prices lengths by how far they lag behind in coverage and adds the best
-    configuration by an amount that covers a share of its scarcest length.
+    Only configurations that are nearly tight under the prices of the best bound are taken
+    up, as an optimal solution has no others. Each step meets STEP of some demand or all
+    that is left of it, and a round without a step is the last, so rounds come to an end.
     """
     sizes = np.flatnonzero(demand)
-    if not len(sizes):
-        return []
-    covered = np.zeros(len(demand))
-    found: dict[tuple, float] = {}
-    rate = 8.0
-    for _ in range(rounds):
-        lag = covered[sizes] / demand[sizes]
-        weight = np.zeros(len(demand))
-        # a length is worth its size, scaled by a weight that falls as it gets covered
-        weight[sizes] = sizes * np.exp(-rate * np.clip(lag - lag.min(), 0, 60))
-        weight[covered >= demand] = 0
-        config = best_configuration(weight, capacity)
-        if not config:
+    left, found, bound, taken = demand.astype(float), {}, 0.0, 0.0
+    prices, volume = np.zeros(len(demand)), np.arange(len(demand)) / capacity
+    # any fit leaves windows half full at worst
+    while len(live := sizes[left[sizes] > 1e-9]) and taken + 2 * (volume @ left) + 1 > (1 + gap) * bound:
+        met = 1 - left[live] / demand[live]
+        value = np.zeros(len(demand))
+        value[live] = live * np.exp(-RATE * (met - met.min()))
+        best, last = knapsack(value, capacity)
+        if (own := float(value @ demand) / best[capacity]) > bound:
+            bound, prices = own, value / best[capacity]
+        before = taken
+        # the best first, then those of each length, by how far it lags behind
+        for length in [0, *live[np.argsort(met, kind="stable")].tolist()]:
+            if length and left[length] <= 1e-9:
+                continue
+            config = content(last, capacity - length)
+            if length:
+                config[length] = config.get(length, 0) + 1
+            step = min(min(left[l], STEP * demand[l]) / n for l, n in config.items())
+            if step <= 1e-9 or sum(prices[l] * n for l, n in config.items()) < 1 - NEAR_TIGHT:
+                continue
+            key = tuple(sorted(config.items(), reverse=True))
+            found[key] = found.get(key, 0.0) + step
+            taken += step
+            for l, n in config.items():
+                left[l] -= n * step
+        if taken == before:
             break
-        step = min((demand[l] - covered[l]) / n for l, n in config if demand[l] > covered[l])
-        found[tuple(config)] = found.get(tuple(config), 0.0) + step
-        for l, n in config:
-            covered[l] += step * n
-    return [(list(config), amount) for config, amount in found.items()]
+    return found, bound
+
+
+def rounded(found: dict[tuple, float], demand: np.ndarray) -> list[tuple[list[tuple[int, int]], int]]:
+    """Whole multiplicities of the solution's configurations; `demand` is lowered by what they meet."""
+    times: dict[tuple, int] = {}
+
+    def take(config: tuple, most: int) -> None:
+        if n := min(most, *(int(demand[l]) // k for l, k in config)):
+            times[config] = times.get(config, 0) + n
+            for l, k in config:
+                demand[l] -= n * k
+
+    for config, amount in sorted(found.items(), key=lambda e: (-e[1], e[0])):
+        take(config, int(amount + 1e-9))
+    for config, amount in sorted(found.items(), key=lambda e: (-(e[1] % 1), e[0])):
+        take(config, 1)
+    return [(list(config), n) for config, n in times.items()]
 
 
 def best_fit(demand: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -134,6 +176,9 @@ class Plan:
     window: dict[int, np.ndarray]
     offset: dict[int, np.ndarray]
     n_windows: int
+    #: Windows that come from the linear program, and its lower bound on all.
+    from_program: int
+    bound: float
 
     def place(self, length: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Window and offset of the pieces of one length with these ranks from 0."""
@@ -143,17 +188,17 @@ class Plan:
         return self.window[length][k] + into // copies, self.offset[length][k] + into % copies * length
 
 
-def make_plan(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> Plan:
+def make_plan(demand: np.ndarray, capacity: int, gap: float = GAP) -> Plan:
     """The windows for demand[l] pieces of each length l <= capacity."""
-    demand = np.asarray(demand, np.int64).copy()
-    entries: list[tuple[list[tuple[int, int]], int]] = []
-    for config, amount in fractional_cover(demand, capacity, rounds):
-        times = min([int(amount + 1e-9), *(int(demand[l]) // n for l, n in config)])
-        if times > 0:
-            entries.append((config, times))
-            for l, n in config:
-                demand[l] -= times * n
-    entries += best_fit(demand, capacity)
+    demand = np.asarray(demand, np.int64)
+    found, bound = fractional_solution(demand, capacity, gap)
+    left = demand.copy()
+    entries = rounded(found, left)
+    from_program = sum(times for _, times in entries)
+    entries += best_fit(left, capacity)
+    alone = best_fit(demand, capacity)
+    if sum(times for _, times in alone) < sum(times for _, times in entries):
+        entries, from_program = alone, 0
     parts: dict[int, list[tuple[int, int, int, int]]] = {}
     ranks: dict[int, int] = {}
     window = 0
@@ -165,7 +210,7 @@ def make_plan(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> Plan:
             offset += n * length
         window += times
     columns = {l: np.array(rows, np.int64).T for l, rows in parts.items()}
-    return Plan(*({l: c[k] for l, c in columns.items()} for k in range(4)), window)
+    return Plan(*({l: c[k] for l, c in columns.items()} for k in range(4)), window, from_program, bound)
 
 
 # ---------------------------------------------------------------- pieces
@@ -178,37 +223,37 @@ def cut(n: int, window: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *,
-                 window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False,
-                 carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32 and, if asked for, the ids."""
+                 window: int = WINDOW, end_id: int = END_ID, added_tokens: bool = True) -> DataFrame:
+    """One row per piece: id, piece, start, length and the ids as little-endian unsigned 32-bit numbers."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = json_encoding(tokenizer).encode_ordinary
+        encode = json_encoder(tokenizer, added_tokens)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 rows = []
                 part = batch.slice(at, 64)
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     ids = np.array([*encode(text or ""), end_id], "<u4")
-                    for k, (start, length) in enumerate(cut(len(ids), window)):
-                        own = ids[start : start + length]
-                        rows.append((key, k, start, length, zlib.crc32(own.tobytes()), *([own.astype(np.int32)] if keep_ids else [])))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                names = ["id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in rows], t) for i, t in enumerate(types[: len(names)])], names=names)
+                    rows += [(key, k, start, length, ids[start : start + length].tobytes()) for k, (start, length) in enumerate(cut(len(ids), window))]
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)],
+                                                 names=["id", "piece", "start", "length", "ids"])
 
-    return source.mapInArrow(pieces, schema)
+    return source.mapInArrow(pieces, "id bigint, piece int, start bigint, length bigint, ids binary")
 
 
-def pack(pieces: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pack(pieces: DataFrame, *, window: int = WINDOW, gap: float = GAP, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """`pieces` (any columns, with `length` from 1 to window) plus sequence_id and offset.
 
     Whole windows are sequences of their own. Of equal lengths any may take any place.
+    Columns of the names sequence_id and offset are not allowed.
     """
-    rows = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    clash = {"sequence_id", "offset"} & {c.lower() for c in pieces.columns}
+    if clash:
+        raise ValueError(f"The pieces have columns that packing adds: {sorted(clash)}")
+    rows = materialize(pieces.select(F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("record"), F.col("length").cast("long").alias("length"),
+                                     F.monotonically_increasing_id().alias("row")), "pieces")
     whole = rows.filter(F.col("length") == window)
     short = rows.filter(F.col("length") < window)
     blocks = max(1, -(-short.count() // block_rows))
@@ -217,7 +262,7 @@ def pack(pieces: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, block
     demand = np.zeros(window + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # one row per length
         demand[r["length"]] = r["n"]
-    plan = make_plan(demand, window, rounds)
+    plan = make_plan(demand, window, gap)
     offsets = counts.withColumn(
         "before", F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).drop("n")
     ranked = (short.withColumn("within", F.row_number().over(Window.partitionBy("length", "block").orderBy("row")) - 1)
@@ -233,24 +278,32 @@ def pack(pieces: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, block
             out[own, 0], out[own, 1] = plan.place(int(one), ranks[own])
         return pd.DataFrame(out, columns=["sequence_id", "offset"])
 
-    held = pieces.columns
-    placed = ranked.select(*held, place("length", "rank").alias("p")).select(*held, "p.sequence_id", "p.offset")
-    alone = whole.select(*held, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    placed = ranked.select("record", place("length", "rank").alias("p")).select("record.*", "p.sequence_id", "p.offset")
+    alone = whole.select("record.*", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.unionByName(alone)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *,
-                   window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """Tokenize, cut and pack: one row per piece of each document.
+                   window: int = WINDOW, end_id: int = END_ID, added_tokens: bool = True) -> DataFrame:
+    """Tokenize, cut and pack: one row per piece of each document, with its ids.
 
     A null or empty text is the end token alone. The offsets of a sequence have no gaps.
+    Rows that repeat an id are documents of their own; only id and text are read.
     """
-    pieces = token_pieces(docs, tokenizer, id_col, text_col, window=window, end_id=end_id, keep_ids=keep_ids)
+    pieces = token_pieces(docs, tokenizer, id_col, text_col, window=window, end_id=end_id, added_tokens=added_tokens)
     packed = pack(pieces, window=window)
     return packed.withColumnRenamed("id", id_col)
 
 
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, ids, starts): the windows' ids put together, and where their pieces begin."""
+    parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    return packed.groupBy("sequence_id").agg(parts.alias("parts")).select(
+        "sequence_id", F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"), F.col("parts.offset").alias("starts"))
+
+
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    packed = pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
