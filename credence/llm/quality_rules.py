@@ -1,10 +1,13 @@
 """Quality rules with host-level verdicts.
 
 Every document is measured in one pass. Two fixed rules reject a document outright. Further
-soft rules only count: their failures are summed by host (the `source` column), the host's
+soft rules are evidence: each has a stated ratio of how much likelier a bad document fails
+it than a good one. Soft failures are summed by host (the `source` column), the host's
 failure rate is shrunk towards the corpus rate by a beta prior whose two parameters are
-estimated from the hosts themselves (method of moments), and the host's verdict is joined
-back. On a host that is judged bad, documents that fail a soft rule go; a document that
+estimated from the hosts themselves (moments, less the variance that sampling alone gives),
+and the host's verdict is joined back: its rate is the prior of each of its documents. A
+document goes if the odds of its host times the ratios of the soft rules it fails come to
+REJECT_ODDS; so on a clean host it takes more to go than on a bad one, and a document that
 fails no rule always stays, whatever its host.
 
 The aggregation by host combines on the map side, so a host with a third of all rows is
@@ -26,8 +29,11 @@ from credence.llm.common import documents, materialize, utf8, white_space, windo
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]")
-#: A host is bad if its shrunk rate of soft failures is at least this.
-BAD_HOST_RATE = 0.5
+#: How many times likelier a bad document fails a soft rule than a good one: many symbols,
+#: many repeated lines, very short words, very long words on average.
+RATIOS = {"symbols": 40.0, "lines": 4.0, "short": 10.0, "long": 10.0}
+#: A document goes if the odds against it are at least this.
+REJECT_ODDS = 1.0
 
 
 def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -63,67 +69,66 @@ def base_failed():
     return (F.col("m.n_words") < 50) | (100 * F.col("m.n_repeat_words") > 50 * F.col("m.n_words"))
 
 
-def soft_failed():
-    """Many symbols, many repeated lines, or words of an odd mean length."""
-    return ((10 * F.col("m.n_symbols") > F.col("m.n_words"))
-            | (10 * F.col("m.n_dup_lines") > 3 * F.col("m.n_lines"))
-            | (F.col("m.word_chars") < 3 * F.col("m.n_words"))
-            | (F.col("m.word_chars") > 12 * F.col("m.n_words")))
+def soft_rules() -> dict:
+    """Whether each soft rule fails, by its name in RATIOS."""
+    return {"symbols": 10 * F.col("m.n_symbols") > F.col("m.n_words"), "lines": 10 * F.col("m.n_dup_lines") > 3 * F.col("m.n_lines"),
+            "short": F.col("m.word_chars") < 3 * F.col("m.n_words"), "long": F.col("m.word_chars") > 12 * F.col("m.n_words")}
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-             carry: tuple[str, ...] = ()) -> DataFrame:
-    extra = [F.struct(*carry).alias("carried")] if carry else []
-    found = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), *extra,
-                        _measures(F.col(text_col).cast("string")).alias("m"))
-    return found.withColumns({"base_failed": base_failed(), "soft_failed": soft_failed()})
+def measured(docs: DataFrame, text_col: str = "text", host_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """carried, host, m, base_failed and the product of the failed soft rules' ratios (1 without one)."""
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"), F.col(host_col).alias("host"), _measures(F.col(text_col).cast("string")).alias("m"))
+    evidence = F.lit(1.0)
+    for name, failed in soft_rules().items():
+        evidence = evidence * F.when(failed, RATIOS[name]).otherwise(1.0)
+    return found.withColumns({"base_failed": base_failed(), "evidence": evidence})
 
 
-def host_verdicts(rows: DataFrame, bad_host_rate: float = BAD_HOST_RATE) -> DataFrame:
-    """One row per host: rows, failures, shrunk rate, verdict.
+def host_verdicts(rows: DataFrame) -> DataFrame:
+    """One row per host: rows, failures, shrunk rate.
 
-    The prior beta(a, b) has the mean of all rows; a + b comes from the weighted variance
-    of the hosts' rates. With one host, or hosts that do not differ, the prior is so strong
-    that all hosts get the corpus rate.
+    The prior beta(a, b) has the mean of all rows. a + b comes from the correlation within
+    hosts, estimated from the weighted squares of the hosts' deviations less what sampling
+    alone would give. With one host, or hosts that differ no more than by chance, the prior
+    is so strong that all hosts get the corpus rate.
     """
-    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"),
-                                     F.count_if(F.col("soft_failed")).alias("failed"))
+    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("evidence") > 1).alias("failed"))
     rate = F.col("failed") / F.col("n")
-    sums = hosts.agg(F.sum("n").alias("n"), F.sum("failed").alias("failed"),
-                     F.sum(F.col("n") * rate * rate).alias("squares")).first()
+    sums = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("n"), F.sum("failed").alias("failed"),
+                     F.sum(F.col("n").cast("double") * F.col("n")).alias("sizes"), F.sum(F.col("n") * rate * rate).alias("squares")).first()
     n, failed = sums["n"] or 0, sums["failed"] or 0
     mean = failed / n if n else 0.0
-    spread = (sums["squares"] or 0.0) / n - mean * mean if n else 0.0
-    strength = mean * (1 - mean) / spread - 1 if spread > 1e-12 else 1e12
-    strength = min(max(strength, 1e-3), 1e12)
+    free, strength = sums["hosts"] - 1, 1e12
+    if 0 < mean < 1 and (wide := n - sums["sizes"] / n - free) > 0:
+        within = ((sums["squares"] - n * mean * mean) / (mean * (1 - mean)) - free) / wide
+        if within > 1e-12:
+            strength = max(1 / within - 1, 1e-3)
     shrunk = (F.col("failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_bad", F.col("host_rate") >= bad_host_rate)
+    return hosts.withColumn("host_rate", shrunk)
 
 
-def judge(rows: DataFrame, counted: DataFrame | None = None, bad_host_rate: float = BAD_HOST_RATE) -> DataFrame:
-    """`rows` with host_rate, host_bad and kept; `counted`: the rows for the host rates."""
-    hosts = host_verdicts(rows if counted is None else counted, bad_host_rate).select(
-        F.col("host").alias("host_name"), "host_rate", "host_bad")
+def judge(rows: DataFrame) -> DataFrame:
+    """`rows` with host_rate and kept."""
+    hosts = host_verdicts(rows).select(F.col("host").alias("host_name"), "host_rate")
     joined = rows.join(hosts, rows["host"].eqNullSafe(hosts["host_name"]), "left").drop("host_name")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("soft_failed") & F.col("host_bad")))
+    # odds of rate / (1 - rate), so that a rate of 1 divides nothing by 0
+    against = F.col("host_rate") * F.col("evidence") >= REJECT_ODDS * (1 - F.col("host_rate"))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~((F.col("evidence") > 1) & against))
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      host_col: str = "source") -> DataFrame:
-    """One row per input row: id, measures, base_failed, host_rate, kept.
+    """One row per input row: id, measures, base_failed, soft_failed, host_rate, kept.
 
     Null and empty texts have no words and so fail; a null host is a host of its own.
     """
-    rows = materialize(measured(docs, id_col, text_col, host_col), "measures")
-    return judge(rows).select(F.col("id").alias(id_col), "m.*", "base_failed", "soft_failed", "host_rate", "kept")
+    rows = materialize(measured(docs, text_col, host_col, (id_col,)), "measures")
+    return judge(rows).select("carried.*", "m.*", "base_failed", (F.col("evidence") > 1).alias("soft_failed"), "host_rate", "kept")
 
 
-def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   host_col: str = "source") -> DataFrame:
-    """The rows of `docs` that pass, with their own columns."""
-    rows = measured(docs, id_col, text_col, host_col, carry=tuple(docs.columns))
-    counted = materialize(measured(docs, id_col, text_col, host_col).select("host", "soft_failed"), "failures")
-    return judge(rows, counted).filter("kept").select("carried.*")
+def quality_filter(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of `docs` that pass, with their own columns, whatever their names."""
+    return judge(materialize(measured(docs, text_col, host_col, tuple(docs.columns)), "measures")).filter("kept").select("carried.*")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -133,29 +138,30 @@ def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
-e AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+x AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS ls FROM d),
+e AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM x),
 g AS (SELECT r, i, word, lead(word, 1) OVER p AS second, lead(word, 2) OVER p AS third
       FROM e WINDOW p AS (PARTITION BY r ORDER BY i)),
 tri AS (SELECT r, i, count(*) OVER (PARTITION BY r, word, second, third) AS c FROM g WHERE third IS NOT NULL),
 rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words
         FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE c >= 2) GROUP BY r),
-m AS (SELECT w.doc_id, w.source, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+m AS (SELECT x.doc_id, x.source, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
              len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
              len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines,
              coalesce(n_repeat_words, 0) AS n_repeat_words
-      FROM w LEFT JOIN rep USING (r)),
+      FROM x LEFT JOIN rep USING (r)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-             10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
-             OR word_chars < 3 * n_words OR word_chars > 12 * n_words AS soft_failed FROM m),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (soft_failed) AS failed FROM f GROUP BY source),
-s AS (SELECT sum(failed) / sum(n) AS mean, sum(n * (failed / n) * (failed / n)) / sum(n) AS squares FROM h),
-p AS (SELECT mean, CASE WHEN squares - mean * mean > 1e-12
-             THEN least(greatest(mean * (1 - mean) / (squares - mean * mean) - 1, 1e-3), 1e12)
-             ELSE 1e12 END AS strength FROM s),
-v AS (SELECT source, (failed + mean * strength) / (n + strength) >= 0.5 AS host_bad FROM h, p)
+             CASE WHEN 10 * n_symbols > n_words THEN 40.0::DOUBLE ELSE 1.0 END * CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 4.0 ELSE 1.0 END
+             * CASE WHEN word_chars < 3 * n_words THEN 10.0 ELSE 1.0 END * CASE WHEN word_chars > 12 * n_words THEN 10.0 ELSE 1.0 END AS evidence FROM m),
+h AS (SELECT source, count(*)::DOUBLE AS n, (count(*) FILTER (evidence > 1))::DOUBLE AS failed FROM f GROUP BY source),
+s AS (SELECT count(*) - 1 AS free, sum(n) AS n, sum(failed) / sum(n) AS mean, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS wide,
+             sum(failed * failed / n) AS squares FROM h),
+w AS (SELECT mean, CASE WHEN mean > 0 AND mean < 1 AND wide > 0
+             THEN ((squares - n * mean * mean) / (mean * (1 - mean)) - free) / wide ELSE 0 END AS within FROM s),
+p AS (SELECT mean, CASE WHEN within > 1e-12 THEN greatest(1 / within - 1, 1e-3) ELSE 1e12 END AS strength FROM w),
+v AS (SELECT source, (failed + mean * strength) / (n + strength) AS rate FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (soft_failed AND host_bad) AS kept
+       NOT base_failed AND NOT (evidence > 1 AND rate * evidence >= 1 - rate) AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
