@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,19 +56,44 @@ def test_measures(text):
     assert quality_rules.measure(text)[:5] == brute_quality(text)
 
 
-def test_host_verdicts(spark):
-    good, poor, junk = " ".join(f"word{k}" for k in range(60)), " ".join(f"w{k}#" for k in range(60)), "spam " * 80
-    docs = [(k, good) for k in range(0, 30, 3)] + [(k, poor if k % 2 else good) for k in range(1, 90, 3)] + [(k, poor) for k in range(2, 300, 3)] + [(1000, junk), (1001, None)]
+def sql_rows(query, folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    return con.execute(query).fetchall()
+
+
+GOOD, POOR, LINES = " ".join(f"word{k}" for k in range(60)), " ".join(f"w{k}#" for k in range(60)), "\n".join([" ".join(f"line{k}" for k in range(10))] * 2 + [" ".join(f"more{k}" for k in range(60))])
+
+
+def test_host_verdicts(spark, tmp_path):
+    # s0 has poor documents only, s1 one in forty, s2 none; each has a document with repeated lines and a poor one
+    docs = [(3 * k, POOR) for k in range(60)] + [(3 * k + 1, POOR if k % 40 == 5 else GOOD) for k in range(200)] + [(3 * k + 2, GOOD) for k in range(200)]
+    docs += [(3 * k + s, LINES) for s in range(3) for k in (1000,)] + [(3 * 1001 + 2, POOR)] + [(6000, "spam " * 80), (6001, None), (6002, "")]
     rows = {r["doc_id"]: r for r in quality_rules.quality_verdicts(table(spark, docs)).collect()}
-    assert rows[0]["kept"] and not rows[2]["kept"] and not rows[1000]["kept"] and not rows[1001]["kept"]
-    assert all(r["kept"] for i, r in rows.items() if dict(docs).get(i) == good)
-    assert rows[1]["kept"] == (rows[1]["host_rate"] < quality_rules.BAD_HOST_RATE)
-    frame = table(spark, docs).withColumn("m", F.lit("mine")).withColumn("kept", F.lit(0))
+    text = dict(docs)
+    assert all(r["kept"] for i, r in rows.items() if text[i] == GOOD) and not any(rows[i]["kept"] for i in (6000, 6001, 6002))
+    # the same repeated lines stay on the clean hosts and go on the bad one, symbols stay on the cleanest only
+    assert [rows[3000 + s]["kept"] for s in range(3)] == [False, True, True]
+    assert not rows[0]["kept"] and rows[3005]["kept"]
+    assert rows[0]["host_rate"] > 0.9 and rows[2]["host_rate"] < 0.02 < rows[1]["host_rate"]
+    frame = table(spark, docs).withColumn("m", F.lit("mine")).withColumn("kept", F.lit(0)).withColumn("host", F.lit("x"))
     passed = quality_rules.quality_filter(frame)
     assert passed.columns == frame.columns and {r["doc_id"] for r in passed.collect()} == {i for i, r in rows.items() if r["kept"]}
-    assert quality_rules.quality_verdicts(table(spark, [])).count() == 0
-    null_host = quality_rules.quality_verdicts(table(spark, [(1, good)]).withColumn("source", F.lit(None).cast("string"))).collect()
-    assert len(null_host) == 1 and null_host[0]["kept"]
+    assert quality_rules.quality_verdicts(table(spark, [])).count() == 0 and quality_rules.quality_filter(table(spark, [])).count() == 0
+    null_host = table(spark, [(1, GOOD), (1, GOOD), (None, POOR)]).withColumn("source", F.lit(None).cast("string"))
+    assert len(quality_rules.quality_verdicts(null_host).collect()) == 3
+    table(spark, docs).union(null_host).write.parquet(str(tmp_path / "documents.parquet"))
+    order = lambda r: (r[0] is None, r[0] or 0, r)
+    got = sorted((tuple(r) for r in quality_rules.op7_quality_rules(spark, str(tmp_path)).collect()), key=order)
+    assert got == sorted(sql_rows(quality_rules.SQL, tmp_path), key=order)
+
+
+def test_hosts_that_differ_by_chance_get_the_corpus_rate(spark):
+    rng = random.Random(1)
+    docs = [(k, POOR if rng.random() < 0.3 else GOOD) for k in range(600)]
+    rates = {r["host_rate"] for r in quality_rules.quality_verdicts(table(spark, docs)).collect()}
+    mean = sum(t == POOR for _, t in docs) / len(docs)
+    assert all(abs(r - mean) < 0.02 for r in rates)
 
 
 def test_shards(spark):
@@ -83,6 +110,33 @@ def test_shards(spark):
     assert sorted(sharding.fisher_yates(50, (1, 2))) == list(range(50)) and sharding.fisher_yates(50, (1, 2)) != list(range(50))
 
 
+def test_shards_do_not_depend_on_the_split(spark):
+    docs = [(k, f"text {k}") for k in range(900)] + [(5, "text 5")] * 400 + [(None, None)] * 3
+    frame = table(spark, docs)
+    got = []
+    for parts in (1, 2, 7):
+        # 1000 rows a bucket: records that repeat more than ten times are numbered
+        rows = sharding.shard(frame.repartition(parts), 7, bucket_rows=1000, seed=4).select("record.doc_id", "record.text", "shard", "slot")
+        got.append(collections.Counter(map(tuple, rows.collect())))
+    assert got[0] == got[1] == got[2] and got[0].total() == len(docs) and max(got[0].values()) == 1
+    other = sharding.shard(frame, 7, bucket_rows=1000, seed=5).select("record.doc_id", "record.text", "shard", "slot")
+    assert collections.Counter(map(tuple, other.collect())) != got[0]
+    # brute force: buckets by the hash of contents, each sorted by it and shuffled, one after another
+    hashed = [(r["key"], r["doc_id"]) for r in table(spark, docs[:900]).select("doc_id", F.xxhash64(F.lit(4), F.xxhash64(*frame.columns), F.lit(0).cast("long")).alias("key")).collect()]
+    order = []
+    for b in range(9):
+        own = sorted(x for x in hashed if x[0] % 9 == b)
+        order += [own[k][1] for k in sharding.fisher_yates(len(own), (4, b))]
+    rows = sharding.shard(table(spark, docs[:900]), 7, bucket_rows=100, seed=4).select("record.doc_id", "shard", "slot").collect()
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in rows} == {(i, p % 7, p // 7) for p, i in enumerate(order)}
+
+
+def test_long_texts_and_maps_go_through_the_shards(spark):
+    frame = table(spark, [(1, "long " * 100_000), (2, None), (3, "")]).withColumn("m", F.create_map(F.lit("a"), "doc_id")).withColumn("key", F.lit(1)).withColumn("copy", F.lit(2))
+    rows = sharding.shard(frame, 2, bucket_rows=1).select("record.*", "shard").collect()
+    assert len(rows) == 3 and {len(r["text"] or "") for r in rows} == {500_000, 0}
+
+
 def test_texts_go_through_the_shards(spark, tmp_path, monkeypatch):
     docs = [(k, f"täxt {k} " * k) for k in range(60)] + [(60, None)]
     table(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))

@@ -378,4 +378,4 @@ def test_pipeline(spark, tmp_path):
     assert set(kept[3]) == set(kept[2]) and kept[3][13].endswith(' [assign]"') and all(kept[3][i] == t for i, t in enumerate(clean))
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((*tuple(r)[:4], bytes(r["ids"])) for r in rows) == sorted(wanted_pieces(kept[3].items(), packing.WINDOW))
-    assert near_dedup.SIMILARITY == 75 and quality_rules.BAD_HOST_RATE == 0.5
+    assert near_dedup.SIMILARITY == 75 and quality_rules.REJECT_ODDS == 1
