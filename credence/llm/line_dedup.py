@@ -1,17 +1,23 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line is a sequence of words. It goes if a line before it, in order of document id and
-line number, is within the edit bound: equal, or, for lines of at least MIN_WORDS words,
-one word inserted, deleted or replaced. Lines without words stay.
+A line is a sequence of units: its words, or, if it has fewer than UNITS words, its
+characters with white space made single spaces. It goes if a line before it of the same
+kind, in order of document id and line number, is within the edit bound: one unit inserted,
+deleted or replaced, where both have at least UNITS units, so that an edit is at most an
+eighth of a line; lines that are shorter still must be equal. Lines without words stay.
 
 Equal lines are found first, by hash, with map-side combine. Of each distinct line the
 earliest occurrence is compared further. Two lines one edit apart agree in at least the
-first or the last half of their words, so lines that share neither half with another are
-left out, which is most. The others emit every variant with one word left out, as hashed
+first or the last half of their units, so lines that share neither half with another are
+left out, which is most. The others emit every variant with one unit left out, as hashed
 keys with the place of the gap: equal variants with the same gap differ by a replacement,
 a variant that equals a whole line by a deletion. Per key only the earliest line is kept as
-a witness, so a template with very many fillings costs one row each. The word sequences of
+a witness, so a template with very many fillings costs one row each. The unit sequences of
 line and witness are compared before the line goes.
+
+A document is an id and a text (named by its hash): rows that share an id but not a text are
+documents of their own, in the order of that hash; rows that repeat both are one document
+and lose the same lines.
 """
 
 from __future__ import annotations
@@ -20,23 +26,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from credence.llm.common import _power_tables, documents, materialize, mix, word_hashes, word_spans
 
-MIN_WORDS = 8
+UNITS = 8
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
 
-def _line_words(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of a text, and of each line with words: its number and first word's place."""
+def _line_words(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of a text, of each line with words its number and first word's place, and the words' starts and ends."""
     buf = np.frombuffer(text or b"", np.uint8)
     starts, ends = word_spans(buf)
     line = np.searchsorted(np.flatnonzero(buf == 10), starts)
     numbers, first = np.unique(line, return_index=True)
-    return word_hashes(buf, starts, ends), numbers, first
+    return word_hashes(buf, starts, ends), numbers, first, starts, ends
+
+
+def _characters(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the characters of the words between, with single spaces."""
+    line = b" ".join(text[s:e] for s, e in zip(starts.tolist(), ends.tolist())).decode("utf-8", "replace")
+    return mix(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))
 
 
 class _Sums:
@@ -58,85 +72,104 @@ class _Sums:
         return mix(raw + np.uint64(end - start - 1))
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """id, line, n words, 128 bits of hash, keys of the halves of lines that may have near ones."""
+def _halves(a: _Sums, b: _Sums, first: np.ndarray, last: np.ndarray, kind: int) -> np.ndarray:
+    """Hashes of the half that two lines one edit apart share, at either end; the kind is part of them."""
+    n = last - first
+    out = []
+    for h in (n // 2, (n + 1) // 2):  # half of the longer line, this one or one unit longer
+        h = np.minimum(h, n)
+        tag = h.astype(np.uint64) * np.uint64(4) + np.uint64(2 * kind)
+        out += [mix(a.part(first, first + h) + tag), mix(a.part(last - h, last) + tag + np.uint64(1))]
+    return np.stack(out, axis=1)
+
+
+def _lines(docs: DataFrame, units: int) -> DataFrame:
+    """id, h, line, 128 bits of hash, keys of the halves of lines that may have near ones."""
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, numbers, counts, one, two, keys, sizes = [], [], [], [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words, lines, first = _line_words(text.as_py())
+            rows, numbers, one, two, keys, sizes = [], [], [], [], [], []
+            for row, text in enumerate(batch.column(2)):
+                text = text.as_py() or b""
+                words, lines, first, starts, ends = _line_words(text)
                 if not len(lines):
                     continue
                 last = np.append(first[1:], len(words))
-                n = last - first
                 a, b = _Sums(words), _Sums(mix(words ^ _SECOND))
-                halves = []
-                for h in (n // 2, (n + 1) // 2):  # half of the longer line, this one or one word longer
-                    h = np.minimum(h, n)
-                    tag = h.astype(np.uint64) * np.uint64(2)
-                    halves += [mix(a.part(first, first + h) + tag), mix(a.part(last - h, last) + tag + np.uint64(1))]
-                halves = np.stack(halves, axis=1)
-                long = n >= min_words
-                ids += [key] * len(lines)
+                own = list(_halves(a, b, first, last, 0))
+                for k in np.flatnonzero(last - first < units).tolist():
+                    marks = _characters(text, starts[first[k] : last[k]], ends[first[k] : last[k]])
+                    own[k] = own[k][:0]
+                    if len(marks) >= units:
+                        sums = _Sums(marks), _Sums(mix(marks ^ _SECOND))
+                        own[k] = _halves(*sums, np.array([0]), np.array([len(marks)]), 1)[0]
+                rows.append(np.full(len(lines), row))
                 numbers.append(lines)
-                counts.append(n)
                 one.append(a.part(first, last))
                 two.append(b.part(first, last))
-                keys.append(halves[long].ravel())
-                sizes.append(np.where(long, halves.shape[1], 0))
-            if not ids:
+                keys += own
+                sizes += [len(x) for x in own]
+            if not rows:
                 continue
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             flat = lambda x: pa.array(np.concatenate(x).view(np.int64))
+            ids = batch.select([0, 1]).take(pa.array(np.concatenate(rows)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), flat(numbers), flat(counts), flat(one), flat(two),
-                 pa.ListArray.from_arrays(pa.array(offsets), flat(keys))], names=["id", "line", "n", "h1", "h2", "halves"])
+                [ids.column(0), ids.column(1), flat(numbers), flat(one), flat(two), pa.ListArray.from_arrays(pa.array(offsets), flat(keys))],
+                names=["id", "h", "line", "h1", "h2", "halves"])
 
-    return _source(docs).mapInArrow(found, "id bigint, line bigint, n bigint, h1 bigint, h2 bigint, halves array<bigint>")
+    return docs.mapInArrow(found, "id bigint, h bigint, line bigint, h1 bigint, h2 bigint, halves array<bigint>")
 
 
-def _source(docs: DataFrame) -> DataFrame:
-    return docs.select("id", F.col("text").cast("string").cast("binary").alias("text"))
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.cast("binary").alias("text"))
 
 
-def _sequences(chosen: DataFrame) -> DataFrame:
-    """(id, line, words) of the chosen lines of (id, text, lines)."""
+def _sequences(chosen: DataFrame, units: int) -> DataFrame:
+    """(id, h, line, kind, units) of the chosen lines of (id, h, text, lines); kind 1: characters."""
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                words, lines, first = _line_words(text.as_py())
-                last, wanted = np.append(first[1:], len(words)), set(wanted)
-                rows += [(key, k, words[s:e].view(np.int64)) for k, s, e in zip(lines.tolist(), first, last) if k in wanted]
+            rows, places, own = [], [], []
+            for row, (text, wanted) in enumerate(zip(batch.column(2), batch.column(3).to_pylist())):
+                text, wanted = text.as_py(), set(wanted)
+                words, lines, first, starts, ends = _line_words(text)
+                last = np.append(first[1:], len(words))
+                for k, s, e in zip(lines.tolist(), first.tolist(), last.tolist()):
+                    if k in wanted:
+                        few = e - s < units
+                        rows.append(row)
+                        places.append((k, int(few)))
+                        own.append((_characters(text, starts[s:e], ends[s:e]) if few else words[s:e]).view(np.int64))
             if rows:
-                ids, lines, words = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int64()), pa.array(words, pa.list_(pa.int64()))],
-                                                 names=["id", "line", "words"])
+                ids = batch.select([0, 1]).take(pa.array(rows))
+                lines, kinds = zip(*places)
+                yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(lines, pa.int64()), pa.array(kinds, pa.int32()), pa.array(own, pa.list_(pa.int64()))],
+                                                 names=["id", "h", "line", "kind", "units"])
 
-    return chosen.mapInArrow(found, "id bigint, line bigint, words array<bigint>")
+    return chosen.select("id", "h", "text", "lines").mapInArrow(found, "id bigint, h bigint, line bigint, kind int, units array<bigint>")
 
 
 def _variants(sequences: DataFrame) -> DataFrame:
-    """The whole line (gap -1) and each variant with one word left out, as hashed keys."""
+    """The whole line (gap -1) and each variant with one unit left out, as hashed keys."""
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 one, two, sizes = [], [], []
-                for words in part.column(2):
-                    words = words.values.to_numpy().view(np.uint64)
-                    n = len(words)
-                    for out, sums in ((one, _Sums(words)), (two, _Sums(mix(words ^ _SECOND)))):
-                        out += [sums.part(np.array([0]), np.array([n])), sums.without(0, n)]
+                for kind, units in zip(part.column(3).to_pylist(), part.column(4)):
+                    units = units.values.to_numpy().view(np.uint64)
+                    n = len(units)
+                    for out, sums in ((one, _Sums(units)), (two, _Sums(mix(units ^ _SECOND)))):
+                        # kinds differ in a bit of every key
+                        out += [np.concatenate([sums.part(np.array([0]), np.array([n])), sums.without(0, n)]) & ~np.uint64(1) | np.uint64(kind)]
                     sizes.append(n + 1)
-                times = np.array(sizes)
+                own = part.select([0, 1, 2]).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(part.column(0).to_numpy(), times)), pa.array(np.repeat(part.column(1).to_numpy(), times)),
-                     pa.array(np.concatenate([np.arange(-1, s - 1) for s in sizes]).astype(np.int32)),
+                    [*own.columns, pa.array(np.concatenate([np.arange(-1, s - 1) for s in sizes]).astype(np.int32)),
                      pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64))],
-                    names=["id", "line", "gap", "v1", "v2"])
+                    names=["id", "h", "line", "gap", "v1", "v2"])
 
-    return sequences.mapInArrow(found, "id bigint, line bigint, gap int, v1 bigint, v2 bigint")
+    return sequences.mapInArrow(found, "id bigint, h bigint, line bigint, gap int, v1 bigint, v2 bigint")
 
 
 def within_one_edit(a: np.ndarray, b: np.ndarray) -> bool:
@@ -152,37 +185,35 @@ def within_one_edit(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
-    """The late lines whose witness is within the bound by its words."""
+    """The late lines whose witness is within the bound by its units."""
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = [within_one_edit(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column(2), batch.column(3))]
-            yield batch.select(["id", "line"]).filter(pa.array(same, pa.bool_()))
-
-    late = sequences.select("id", "line", F.col("words").alias("own"))
-    early = sequences.select(F.col("id").alias("early_id"), F.col("line").alias("early_line"), F.col("words").alias("other"))
-    both = pairs.join(late, ["id", "line"]).join(early, ["early_id", "early_line"])
-    return both.select("id", "line", "own", "other").mapInArrow(checked, "id bigint, line bigint")
+            same = [k == j and within_one_edit(x.values.to_numpy(), y.values.to_numpy())
+                    for k, j, x, y in zip(*(batch.column(c).to_pylist() for c in (3, 4)), batch.column(5), batch.column(6))]
+            yield batch.select([0, 1, 2]).filter(pa.array(same, pa.bool_()))
 
+    named = lambda side: sequences.select(F.struct("id", "h", "line").alias(side), F.col("kind").alias(f"{side}_kind"), F.col("units").alias(f"{side}_units"))
+    both = (pairs.select("late", "early").join(named("l"), F.col("late").eqNullSafe(F.col("l"))).join(named("e"), F.col("early").eqNullSafe(F.col("e"))))
+    return both.select("late.*", "l_kind", "e_kind", "l_units", "e_units").mapInArrow(checked, "id bigint, h bigint, line bigint")
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, line) of every line that goes; lines are numbered from 0 between line feeds.
 
-    Lines in the same place of rows that repeat an id are one place: neither is earlier.
-    """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    lines = materialize(_lines(docs, min_words), "lines")
-    place = F.struct("id", "line")
+def _repeated(source: DataFrame, units: int) -> DataFrame:
+    """(id, h, line) of every line that goes, of (id, h, text)."""
+    lines = materialize(_lines(source, units), "lines")
+    place = F.struct("id", "h", "line")
     firsts = materialize(lines.groupBy("h1", "h2").agg(
         F.min(place).alias("first"), F.first("halves").alias("halves")), "lines")
     turned = firsts.select(F.bitwise_not("h1").alias("key"), "h2", "first")
     equal = (lines.withColumn("key", F.bitwise_not("h1")).join(turned, ["key", "h2"])
-             .filter(F.struct("id", "line") > F.col("first")).select("id", "line"))
+             .filter(place > F.col("first")).select("id", "h", "line"))
     halves = firsts.select("first", F.explode(F.array_distinct("halves")).alias("half"))
     shared = halves.groupBy("half").agg(F.min("first").alias("low"), F.max("first").alias("high")).filter("low < high")
     chosen = (halves.withColumn("key", F.bitwise_not("half"))
               .join(shared.select(F.bitwise_not("half").alias("key")), "key", "left_semi").select("first").distinct()
-              .select("first.*").groupBy("id").agg(F.collect_set("line").alias("lines")))
-    sequences = materialize(_sequences(_source(docs).join(chosen, "id")).dropDuplicates(["id", "line"]), "sequences")
+              .select("first.*").groupBy(F.col("id").alias("own"), F.col("h").alias("own_h")).agg(F.collect_set("line").alias("lines")))
+    wanted = source.join(chosen, F.col("id").eqNullSafe(F.col("own")) & (F.col("h") == F.col("own_h")))
+    # rows that repeat id and text give the same lines
+    sequences = materialize(_sequences(wanted, units).dropDuplicates(["id", "h", "line"]), "sequences")
     variants = materialize(_variants(sequences), "variants")
     earliest = (variants.filter("gap >= 0").groupBy("v1", "v2", "gap").agg(F.min(place).alias("first"), F.max(place).alias("last"))
                 .filter("first < last").select(F.bitwise_not("v1").alias("key"), "v2", "gap", "first"))
@@ -191,27 +222,51 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = variants.filter("gap < 0").select(F.bitwise_not("v1").alias("key"), "v2", place.alias("whole"))
     shorter = variants.filter("gap >= 0").withColumn("key", F.bitwise_not("v1")).join(whole, ["key", "v2"]).select(place.alias("part"), "whole")
     deleted = shorter.select(F.greatest("part", "whole").alias("late"), F.least("part", "whole").alias("early"))
-    witnesses = (replaced.union(deleted).filter("early < late").groupBy("late").agg(F.min("early").alias("early"))
-                 .select("late.*", F.col("early.id").alias("early_id"), F.col("early.line").alias("early_line")))
+    witnesses = replaced.union(deleted).filter("early < late").groupBy("late").agg(F.min("early").alias("early"))
     near = _verified(materialize(witnesses, "witnesses"), sequences)
     return equal.union(near).distinct()
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", units: int = UNITS) -> DataFrame:
+    """(id, h, line) of every line that goes; lines are numbered from 0 between line feeds.
+
+    h is the hash of the text. Null ids come first, null and empty texts have no lines.
+    """
+    return _repeated(_source(docs, id_col, text_col), units)
+
+
+def _gone(docs: DataFrame, id_col: str, text_col: str, units: int) -> DataFrame:
+    """`docs` as a struct `record`, its text, and the sorted numbers of the lines that go, null without any."""
+    gone = repeated_lines(docs, id_col, text_col, units).groupBy(F.col("id").alias("own"), F.col("h").alias("own_h")).agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col(id_col).cast("bigint").alias("id"),
+                       F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text"))
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("own")) & (F.col("h") == F.col("own_h")), "left").select("record", "text", "gone")
+
+
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", units: int = UNITS) -> DataFrame:
     """One row per input row: id, n_lines, n_removed and the numbers of the lines that go."""
-    gone = repeated_lines(docs, id_col, text_col, min_words).groupBy(F.col("id").alias("gone_id")).agg(F.sort_array(F.collect_set("line")).alias("gone"))
-    rows = docs.select(F.col(id_col), F.size(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).cast("bigint").alias("n_lines"))
+    rows = _gone(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, units)
     removed = F.coalesce("gone", F.array().cast("array<bigint>"))
-    return (rows.join(gone, rows[id_col].cast("bigint").eqNullSafe(gone["gone_id"]), "left")
-            .select(id_col, "n_lines", F.size(removed).cast("bigint").alias("n_removed"), removed.alias("removed")))
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("bigint")
+    return rows.select(F.col("record")[id_col].alias(id_col), lines.alias("n_lines"), F.size(removed).cast("bigint").alias("n_removed"), removed.alias("removed"))
+
+
+@F.pandas_udf(T.StringType())
+def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    def left(text: str, numbers) -> str:
+        lines = text.split("\n")
+        for k in reversed(numbers.tolist()):
+            del lines[k]
+        return "\n".join(lines)
+
+    return pd.Series([t if t is None or g is None else left(t, g) for t, g in zip(texts, gone)])
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", units: int = UNITS) -> DataFrame:
     """`docs` with the repeated lines taken out of their texts; null texts stay null."""
-    gone = repeated_lines(docs, id_col, text_col, min_words).groupBy(F.col("id").alias("gone_id")).agg(F.collect_set("line").alias("gone_lines"))
-    joined = docs.join(gone, docs[id_col].cast("bigint").eqNullSafe(gone["gone_id"]), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, k: ~F.array_contains("gone_lines", k.cast("bigint"))), "\n")
-    return joined.withColumn(text_col, F.when(F.col("gone_lines").isNull(), F.col(text_col)).otherwise(kept)).drop("gone_id", "gone_lines")
+    rows = _gone(docs, id_col, text_col, units).withColumn("text", _without("text", "gone"))
+    return rows.select(*[F.col("text").alias(c) if c == text_col else F.col("record")[c].alias(c) for c in docs.columns])
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -164,21 +164,29 @@ def test_permutation_is_uniform():
     assert len(seen) == 6 and min(seen.values()) > 400
 
 
+def text_hash(spark, text):
+    return spark.range(1).select(F.xxhash64(F.lit(text or "")).alias("h")).first()["h"]
+
+
 def brute_lines(docs, least=8):
-    """Lines with an earlier one within one word's edit; quadratic."""
+    """(place of a row, line) of lines with an earlier one of their kind within one edit; quadratic."""
     def near(a, b):
         if a == b:
             return True
-        if min(len(a), len(b)) < least or abs(len(a) - len(b)) > 1:
+        if a[0] != b[0] or min(len(a[1]), len(b[1])) < least or abs(len(a[1]) - len(b[1])) > 1:
             return False
+        a, b = sorted((a[1], b[1]), key=len)
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b)) <= 1
-        a, b = sorted((a, b), key=len)
         return any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
 
-    places = [(i, k, tuple((line or "").encode().split())) for i, t in docs for k, line in enumerate((t or "").split("\n"))]
-    places = [p for p in sorted(places) if p[2]]
-    return {(i, k) for n, (i, k, w) in enumerate(places) if any(near(w, v) and (j, m) < (i, k) for j, m, v in places[:n])}
+    places = []
+    for row, (i, h, t) in enumerate(docs):
+        for k, line in enumerate((t or "").split("\n")):
+            words = re.findall(r"[^\x20\x09-\x0D]+", line)
+            if words:
+                places.append(((i is not None, i or 0, h, k), row, ("words", tuple(words)) if len(words) >= least else ("characters", " ".join(words))))
+    return {(row, p[3]) for p, row, w in places if any(near(w, v) and q < p for q, _, v in places)}
 
 
 def test_line_dedup(spark):
@@ -186,15 +194,34 @@ def test_line_dedup(spark):
     edits = [base, base[:4] + base[5:], base[:4] + ["new"] + base[4:], base[:9] + ["end"], ["top"] + base[1:], base[1:], base[::-1], base[:4] + ["x", "y"] + base[6:]]
     docs = [(k, "\n".join(["", "short line", " ".join(e), f"unique {k} of these here now and then"])) for k, e in enumerate(edits)]
     docs += [(20, " ".join(base) + "\n" + " ".join(base) + "\n\n  "), (21, None), (22, ""), (23, "word " * 5000), (24, "word " * 5001), (25, "template one two three four five six A"), (26, "template one two three four five six B")]
-    got = {(r["id"], r["line"]) for r in line_dedup.repeated_lines(table(spark, docs)).collect()}
-    assert got == brute_lines(docs)
-    report = line_dedup.line_report(table(spark, docs)).collect()
-    assert len(report) == len(docs) and {(r["doc_id"], k) for r in report for k in r["removed"]} == got
-    texts = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(table(spark, docs)).collect()}
-    assert texts[21] is None and texts[20] == "\n  " and texts[0] == docs[0][1]
+    # short lines: one character inserted, deleted, replaced; too short for it; white space; seven against eight words
+    docs += [(30, "Chapter 12\nchapter  12\nCharpter 12\nChapter 1\nChapters 13\nbrief\nbriex\ncafé olé\ncafe olé"), (31, "a b c d e f g\na b c d e f g h\na b c d e f gh\n1\n2\n- a\n- b")]
+    # ids that repeat with other texts, with the same text, and none
+    docs += [(4, "same line here"), (5, "x\nsame line here"), (5, "y\nunique line"), (5, "y\nunique line"), (None, "same line here\nown words"), (None, "another one")]
+    rows = [(i, text_hash(spark, t), t) for i, t in docs]
+    want = brute_lines(rows)
+    names = {(i, h): row for row, (i, h, _) in enumerate(rows)}
+    once = {(names[i, h], k) for row, k in want for i, h, _ in [rows[row]]}
+    got = {(names[r["id"], r["h"]], r["line"]) for r in line_dedup.repeated_lines(table(spark, docs)).collect()}
+    assert got == once
+    report = collections.Counter((r["doc_id"], r["n_lines"], tuple(r["removed"])) for r in line_dedup.line_report(table(spark, docs)).collect())
+    gone = lambda i, h: tuple(sorted(k for row, k in got if row == names[i, h]))
+    assert report == collections.Counter((i, (t or "").count("\n") + 1, gone(i, h)) for i, h, t in rows)
+    frame = table(spark, docs).withColumn("gone", F.lit("mine")).withColumn("gone_id", F.lit(1)).withColumn("record", F.lit(2)).withColumn("h", F.lit(3))
+    dropped = line_dedup.drop_repeated_lines(frame)
+    assert dropped.columns == frame.columns
+    left = lambda i, h, t: t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone(i, h))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in dropped.collect()) == collections.Counter((i, left(i, h, t)) for i, h, t in rows)
+    assert "unique line" in " ".join(r["text"] or "" for r in dropped.collect())
     assert line_dedup.line_report(table(spark, [])).count() == 0
 
 
+def test_line_query_equals_brute_force(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(120).collect()]
+    got = {(r["id"], r["line"]) for r in line_dedup.repeated_lines(table(spark, docs)).collect()}
+    assert got == {(docs[row][0], k) for row, k in brute_lines([(i, 0, t) for i, t in docs])}
+
+
 def test_one_edit():
     import numpy as np
 
