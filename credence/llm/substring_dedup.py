@@ -16,7 +16,9 @@ document of smaller id or earlier in the same one.
    counting them gives the next order, and the common prefixes of neighbours are updated
    along with it. Neighbours that share LENGTH bytes are the same window, and all but the
    earliest repeat. As equal windows start in one column, only suffixes of one column
-   need an order among them, and a round costs one step a string.
+   need an order among them, and a round costs one step a string. An anchor with more
+   strings than a bucket has (a passage that very many documents share has an edge of its
+   own in each) is not collected: its windows are compared by 128 bits of hash, in a join.
 4. The repeated intervals of each document are joined back to its text.
 
 The construction reads the order and writes the next one from front to back in each round,
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,6 +156,20 @@ def repeated_windows(strings: list[bytes], rank: np.ndarray, first: np.ndarray,
 # ---------------------------------------------------------------- Spark
 
 
+def _ordered(docs: DataFrame) -> DataFrame:
+    """(name, id, text) of (name, text): `id` orders the documents and is not repeated by other texts.
+
+    Ids do so themselves unless some repeat; then each id and text gets its place in their order.
+    """
+    if docs.filter("name IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return docs.withColumn("id", F.col("name"))
+    hashed = docs.withColumn("h", F.xxhash64("text"))
+    # ascending along the sorted partitions
+    places = materialize(hashed.filter("name IS NOT NULL").select(F.col("name").alias("own"), F.col("h").alias("own_h")).distinct()
+                         .orderBy("own", "own_h").withColumn("id", F.monotonically_increasing_id()), "places")
+    return hashed.join(places, (F.col("name") == F.col("own")) & (F.col("h") == F.col("own_h")), "left").select("name", "id", "text")
+
+
 def _runs(docs: DataFrame) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,13 +177,13 @@ def _runs(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 500)
                 ids, columns = [], []
                 for key, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    a, c, first, more, offset = runs(text.as_py() or b"")
+                    a, c, first, more, offset = runs(text.as_py())
                     ids.append(np.full(len(a), key if key is not None else 0, np.int64))
                     columns.append((a.view(np.int64), c.view(np.int64), pack_place(first, more, offset)))
                 a, c, place = (np.concatenate(x) for x in zip(*columns))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(np.concatenate(ids)), pa.array(place)], names=["a", "c", "id", "place"])
 
-    return docs.filter("id IS NOT NULL").mapInArrow(found, "a bigint, c bigint, id bigint, place bigint")
+    return docs.filter("id IS NOT NULL").select("id", "text").mapInArrow(found, "a bigint, c bigint, id bigint, place bigint")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -174,9 +191,10 @@ def _packed(docs: DataFrame) -> DataFrame:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(t.as_py() or b"") for t in batch.column(1)], pa.binary())], names=["id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([squeeze(t.as_py()) for t in batch.column(2)], pa.binary())],
+                                             names=["name", "id", "packed"])
 
-    return docs.mapInArrow(packed, "id bigint, packed binary")
+    return docs.select("name", "id", "text").mapInArrow(packed, "name bigint, id bigint, packed binary")
 
 
 def _strings(open_runs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -199,7 +217,29 @@ def _strings(open_runs: DataFrame, docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64()] * 5 + [pa.binary()])],
                                                      names=["a", "id", "first", "more", "offset", "string"])
 
-    return _packed(docs).join(wanted, "id").mapInArrow(cut, "a bigint, id bigint, first bigint, more bigint, offset bigint, string binary")
+    return _packed(docs).join(wanted, "id").select("id", "packed", "open").mapInArrow(cut, "a bigint, id bigint, first bigint, more bigint, offset bigint, string binary")
+
+
+def _hot_windows(strings: DataFrame) -> DataFrame:
+    """(id, start, end) of the windows of `strings` that occur earlier, by 128 bits of hash."""
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                ids, starts, digests = [], [], []
+                for key, first, more, string in zip(*(part.column(k).to_pylist() for k in range(4))):
+                    ids.append(np.full(more + 1, key))
+                    starts.append(np.arange(first, first + more + 1))
+                    digests += [xxhash.xxh3_128_digest(string[k : k + LENGTH]) for k in range(more + 1)]
+                own = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy()), pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts))],
+                                                 names=["w1", "w2", "id", "start"])
+
+    windows = materialize(strings.select("id", "first", "more", "string").mapInArrow(hashed, "w1 bigint, w2 bigint, id bigint, start bigint"), "windows")
+    place = F.struct("id", "start")
+    firsts = windows.groupBy("w1", "w2").agg(F.min(place).alias("earliest"), F.max(place).alias("last")).filter("earliest < last")
+    return (windows.withColumn("key", F.bitwise_not("w1")).join(firsts.select(F.bitwise_not("w1").alias("key"), "w2", "earliest"), ["key", "w2"])
+            .filter(place > F.col("earliest")).select("id", "start", (F.col("start") + LENGTH).alias("end")))
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,8 +250,8 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[head], np.append(ends[head[1:] - 1], ends[-1])
 
 
-def repeated_intervals(docs: DataFrame) -> DataFrame:
-    """(id, start, end) of repeated bytes of (id, text as binary); intervals may overlap."""
+def repeated_intervals(docs: DataFrame, bucket_strings: int = BUCKET_STRINGS) -> DataFrame:
+    """(id, start, end) of repeated bytes of (name, id, text as binary); intervals may overlap."""
     found = _runs(docs)
     short = F.shiftright("a", 24)
     again = found.groupBy(short.alias("s")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.bitwise_not("s").alias("key"))
@@ -226,7 +266,9 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     kinds = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(F.bitwise_not("a").alias("key"))
     open_runs = firsts.withColumn("key", F.bitwise_not("a")).join(kinds, "key").select("a", "first.*")
     strings = materialize(_strings(open_runs, docs), "strings")
-    buckets = max(1, -(-strings.count() // BUCKET_STRINGS))
+    often = strings.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_strings).select(F.bitwise_not("a").alias("key"))
+    turned = strings.withColumn("key", F.bitwise_not("a"))
+    buckets = max(1, -(-strings.count() // bucket_strings))
 
     def resolve(table: pa.Table) -> pa.Table:
         ids, first = table["id"].to_numpy(), table["first"].to_numpy()
@@ -239,20 +281,26 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
         return pa.table({"id": pa.array(ids[who[head]], pa.int64()), "start": pa.array(first[who[head]] + start[head], pa.int64()),
                          "end": pa.array(first[who[tail]] + start[tail] + LENGTH, pa.int64())})
 
+    if not often.isEmpty():
+        whole = whole.union(_hot_windows(turned.join(often, "key", "left_semi")))
+        strings = turned.join(often, "key", "left_anti")
     edges = (strings.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets)).cast("int"))
              .groupBy("bucket").applyInArrow(resolve, "id bigint, start bigint, end bigint"))
     return whole.union(edges)
 
 
-def substring_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep_text: bool = False) -> DataFrame:
+def substring_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep_text: bool = False,
+                     bucket_strings: int = BUCKET_STRINGS) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, and the text if asked for.
 
-    Null texts are empty. Ids name documents: rows that repeat an id must repeat its text,
-    and neither is earlier. Rows without an id are in no order and stay whole. Kept text
-    may begin or end within a character; such bytes become replacement characters.
+    Null texts are empty. Rows that share an id but not a text are documents of their own, in
+    the order of a hash of their texts; rows that repeat both are one document and lose the
+    same bytes. Rows without an id are in no order and stay whole. Kept text may begin or
+    end within a character; such bytes become replacement characters.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    gone = materialize(repeated_intervals(docs).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("gone")), "gone")
+    docs = docs.select(F.col(id_col).cast("bigint").alias("name"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    docs = _ordered(docs)
+    gone = materialize(repeated_intervals(docs, bucket_strings).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("gone")), "gone")
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept string" * keep_text
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +322,7 @@ def substring_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
 
-    return _packed(docs).join(gone, "id", "left").select("id", "packed", "gone").mapInArrow(kept, schema).withColumnRenamed("id", id_col)
+    return _packed(docs).join(gone, "id", "left").select("name", "packed", "gone").mapInArrow(kept, schema).withColumnRenamed("id", id_col)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -206,32 +206,54 @@ def test_components(spark):
 
 
 def brute_substrings(docs, length=100):
+    """By (id, text), of documents in the order given; null ids have no order."""
     seen, out = set(), {}
-    for i, t in sorted(docs):
+    for i, t in docs:
         b = (t or "").encode()
         gone = bytearray(len(b))
-        for s in range(len(b) - length + 1):
+        for s in range(len(b) - length + 1 if i is not None else 0):
             w = b[s : s + length]
             if w in seen:
                 gone[s : s + length] = b"\x01" * length
             seen.add(w)
         spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
-        out[i] = (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
+        out.setdefault((i, t), (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
     return out
 
 
-def test_substring_report(spark):
-    rng = random.Random(6)
+def substring_docs(rng):
     noise = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
     passage, copy = noise(260), noise(900)
     docs = [noise(50) + passage + noise(70), passage[:150] + noise(30) + passage[60:200], copy, copy, copy[:99], copy[:100], copy[300:650] + "!" + copy[650:],
             "ab" * 300, "ba" * 300, "z" * 450, None, "", passage + passage, noise(3000), noise(120) + copy[100:260] + passage[:120] + copy[250:420]]
-    docs = list(enumerate(docs))
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.substring_report(table(spark, docs)).collect()}
-    assert got == brute_substrings(docs)
-    assert substring_dedup.substring_report(table(spark, [])).count() == 0
-    kept = substring_dedup.substring_report(table(spark, [(1, "a" * 10)]), keep_text=True).first()["kept"]
-    assert kept == "a" * 10
+    docs += [noise(40) + passage[30:230] + noise(40) for _ in range(12)]
+    return list(enumerate(docs)), passage, noise
+
+
+def report(frame, **more):
+    return substring_dedup.substring_report(frame, **more).collect()
+
+
+def test_substring_report(spark):
+    docs, _, _ = substring_docs(random.Random(6))
+    want = brute_substrings(docs)
+    frame = table(spark, docs).withColumn("name", F.lit("mine")).withColumn("gone", F.lit(1)).withColumn("a", F.lit(2))
+    for most in (substring_dedup.BUCKET_STRINGS, 3, 1):  # with few strings a bucket, anchors go by their windows
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in report(frame, bucket_strings=most)}
+        assert got == {i: x for (i, _), x in want.items()}
+    assert not report(table(spark, []))
+    assert report(table(spark, [(1, "a" * 10)]), keep_text=True)[0]["kept"] == "a" * 10
+
+
+def test_substrings_of_ids_that_repeat(spark):
+    docs, passage, noise = substring_docs(random.Random(7))
+    docs = [(i, t) for i, t in docs[:6]] + [(2, noise(330)), (2, "other words " * 3), (2, passage + noise(20)), (3, docs[3][1]), (9, passage), (9, passage), (None, passage), (None, passage)]
+    hashed = {t: h for t, h in ((r["t"], r["h"]) for r in spark.createDataFrame([(t or "",) for _, t in docs], "t string").select("t", F.xxhash64(F.col("t").cast("binary")).alias("h")).collect())}
+    order = sorted(docs, key=lambda x: (x[0] is None, x[0] or 0, hashed[x[1] or ""]))
+    once = [x for k, x in enumerate(order) if x not in order[:k]]
+    want = brute_substrings(once)
+    got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in report(table(spark, docs)))
+    assert got == collections.Counter((i, *want[i, t]) for i, t in docs)
 
 
 def test_suffix_order_by_columns():
