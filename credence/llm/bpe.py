@@ -23,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,12 +78,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            sizes = pc.binary_length(part.column(1)).to_pylist()
+            for key, text, size in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), sizes):
                 own = pieces(text or "")
                 ids.append(key)
                 counts.append(len(own))
                 positions.append(np.fromiter(map(numbers.__getitem__, own), np.int32, len(own)).tobytes())
-                held += len(text or "")
+                held += size or 0
                 if held >= CHUNK_BYTES:
                     yield row()
                     ids, counts, positions, numbers, held = [], [], [], _Numbered(), 0
@@ -97,7 +99,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pair_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted keys of mergeable pairs with the ranks of their bytes together; rank by byte."""
     ranks = load_ranks(path)
-    pairs = {(left << 17) + right: rank for token, rank in ranks.items() for cut in range(1, len(token))
+    pairs = {(left << 32) + right: rank for token, rank in ranks.items() for cut in range(1, len(token))
              if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None}
     keys = np.array(sorted(pairs), np.int64)
     return keys, np.array([pairs[k] for k in keys.tolist()], np.int64), np.array([ranks[bytes([b])] for b in range(256)], np.int64)
@@ -113,7 +115,7 @@ def merge_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     keys, values, of_byte = _pair_table(path)
 
     def rank_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        asked = (left << 17) + right
+        asked = (left << 32) + right
         at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
         return np.where(keys[at] == asked, values[at], NO_RANK)
 
@@ -209,7 +211,8 @@ def merge_all(maps: Column, start: Column) -> Column:
     """
     state = lambda ids, pairs: F.struct(ids.alias("ids"), pairs.alias("pairs"))
     none = F.array().cast("array<int>")
-    place_bits = 16
+    # of the 63 bits of a number: a rank up to NO_RANK, and a place in the piece
+    place_bits = 32
 
     def step(acc: Column, _: Column) -> Column:
         ids, pairs = acc["ids"], acc["pairs"]

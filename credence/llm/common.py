@@ -13,6 +13,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,45 +31,65 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_scope: ContextVar[str] = ContextVar("scope", default="")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where neither that setting nor a checkpoint folder is there (tests on one machine),
-    a temporary folder is made and set as the checkpoint folder.
+    Where neither that setting nor a checkpoint folder is there and Spark runs on one machine
+    (tests), a temporary folder is made and set as the checkpoint folder; on a cluster its
+    executors would not find it, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             base = "file://" + tempfile.mkdtemp(prefix="spark-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise RuntimeError("On a cluster spark.checkpoint.dir must name a folder that driver and executors share.")
     return f"{base.rstrip('/')}/credence-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, scoped: bool = True) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, never a recomputation, and values
-    such as generated row ids stay as they were written.
+    such as generated row ids stay as they were written. Within `scratch` the table goes
+    with its block, unless it is not `scoped`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}{_scope.get() if scoped else ''}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that are materialized in the block when it ends; nothing may read them then."""
+    name = f"{_scope.get()}/scratch-{uuid.uuid4().hex}"
+    held = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(held)
+        _delete(spark, shared_dir(spark) + name)
+
+
 def drop_files(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    parents = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for parent in parents:
+    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if f"/credence-{spark.sparkContext.applicationId}/" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(spark, parent)
 
 
 def text_column(name: str = "text"):
@@ -137,5 +160,4 @@ def utf8(text: str | None) -> np.ndarray:
 
 def clear_shared(spark: SparkSession) -> None:
     """Delete all tables that this application has materialized; nothing may read them any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))

@@ -28,18 +28,17 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u > v").distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every linked node but the component's own least node.
 
     `links` is a table of undirected links between long ids, self links and repeats allowed.
-    The component is the least node that can be reached. The join of a round is dealt anew
+    The component is the least node that can be reached. Rounds go on until the links no longer
+    change, which takes about log squared of the longest chain's length. The join of a round is dealt anew
     by the negated node, so Spark may split the edges of a node with very many links.
     """
     edges = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "edges")
     seen = _checksum(edges)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         narrow = materialize(_stars(_stars(edges, large=True), large=False), "edges")
         drop_files(edges)
         edges, last = narrow, seen
