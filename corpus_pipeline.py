@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from credence.llm import exact_dedup, near_dedup, packing, quality_rules, secret_scan
-from credence.llm.common import documents, materialize
+from credence.llm.common import documents, drop_files, materialize, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token sequences in windows of 2048: one row per piece."""
+    """The documents' token sequences in windows of 2048: one row per piece, with its ids."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -53,7 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The last stage's rows. What a stage needed for itself, and the table before it, are deleted after it."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", scoped=False)
+        if before is not None:
+            drop_files(before)
+        before = docs
     return docs
