@@ -20,6 +20,10 @@ from credence.llm.common import documents, materialize, text_column
 
 BUCKET_BYTES = 32 << 20
 BUCKET_ROWS = 100_000
+#: Up to so many buckets their offsets, 16 bytes each, are sent to all tasks.
+SENT_BUCKETS = 1 << 20
+#: Most tasks of the second pass; beyond, a task has several buckets, one after another.
+MOST_TASKS = 20_000
 
 
 def fisher_yates(n: int, seed: tuple[int, ...]) -> list[int]:
@@ -83,14 +87,14 @@ def shard(records: DataFrame, n_shards: int, *, seed: int = 0, size: str | None
         return bucket.append_column("place", pa.array(np.arange(bucket.num_rows, dtype=np.int64)))
 
     placed = materialize(
-        rows.groupBy("bucket").applyInArrow(shuffled, schema), "buckets")
+        rows.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(shuffled, schema), "buckets")
     # running totals along the buckets: within spans of a thousand, and along the spans
     counts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("span", F.floor(F.col("bucket") / 1000))
     spans = counts.groupBy("span").agg(F.sum("n").alias("n")).select("span", (F.sum("n").over(Window.orderBy("span")) - F.col("n")).alias("start"))
     offsets = (counts.withColumn("before", F.sum("n").over(Window.partitionBy("span").orderBy("bucket")) - F.col("n")).drop("n")
                .join(spans, "span").select("bucket", (F.col("before") + F.col("start")).alias("before")))
     place = F.col("place") + F.col("before")
-    return placed.join(offsets, "bucket").select(
+    return placed.join(F.broadcast(offsets) if buckets <= SENT_BUCKETS else offsets, "bucket").select(
         "record", (place % n_shards).cast("int").alias("shard"), F.floor(place / n_shards).alias("slot"))
 
 
