@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.operators.evaluation import score_counts
-from credence.operators.prefix import running_totals
+from credence.operators.prefix import Profile, profile, running_totals
 
 
-def order_statistics(counts: DataFrame, ranks: list[int]) -> dict[int, float]:
+def order_statistics(counts: DataFrame, ranks: list[int], known: Profile | None = None) -> dict[int, float]:
     """The values at these ranks from 0, from a table of distinct values and counts."""
-    over = running_totals(counts, "score", {"until": "total"})
+    over = running_totals(counts, "score", {"until": "total"}, known=known)
     wanted = F.filter(F.array(*[F.lit(r).cast("bigint") for r in sorted(set(ranks))]),
                       lambda r: (r < F.col("until")) & (r >= F.col("until") - F.col("total")))
     found = over.select("score", wanted.alias("ranks")).filter(F.size("ranks") > 0).collect()  # one row per rank at most
@@ -28,11 +28,12 @@ def order_statistics(counts: DataFrame, ranks: list[int]) -> dict[int, float]:
 def quantile_edges(counts: DataFrame, n_bins: int) -> list[float]:
     """n_bins + 1 edges by linear interpolation; ranks are integers, so that an edge that is
     a data value is that value exactly."""
-    n = counts.agg(F.sum("total").alias("n")).first()["n"] or 0
+    known = profile(counts, "score", ("total",))
+    n = known.sums["total"]
     if not n:
         return []
     places = [divmod(i * (n - 1), n_bins) for i in range(n_bins + 1)]
-    values = order_statistics(counts, [r for k, rest in places for r in (k, k + (rest > 0))])
+    values = order_statistics(counts, [r for k, rest in places for r in (k, k + (rest > 0))], known)
     edges = []
     for k, rest in places:
         low, high = values[k], values[k + (rest > 0)]

@@ -12,7 +12,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from credence.operators.prefix import running_totals
+from credence.operators.prefix import Profile, profile, running_totals
 
 THRESHOLDS = tuple(round(k / 100, 2) for k in range(1, 100))
 
@@ -45,43 +45,69 @@ def score_counts(scored: DataFrame, label: str = "label", score: str = "score")
     return scored.groupBy((checked + F.lit(0.0)).alias("score")).agg(F.count(F.lit(1)).alias("total"), F.sum(positive).alias("positives"))
 
 
-def class_totals(counts: DataFrame) -> tuple[int, int]:
-    """Positives and negatives."""
-    row = counts.agg(F.sum("positives").alias("p"), F.sum(F.col("total") - F.col("positives")).alias("n")).first()
-    return row["p"] or 0, row["n"] or 0
+def score_profile(counts: DataFrame) -> Profile:
+    """Rows, sums and range boundaries of a table of counts, in one pass."""
+    return profile(counts, "score", ("total", "positives"))
 
 
-def ranked(counts: DataFrame) -> DataFrame:
+def ranked(counts: DataFrame, known: Profile | None = None) -> DataFrame:
     """Counts with `above` and `above_positives`: totals at this score and higher."""
-    return running_totals(counts, "score", {"above": "total", "above_positives": "positives"}, descending=True)
+    return running_totals(counts, "score", {"above": "total", "above_positives": "positives"}, descending=True, known=known)
 
 
-def _both_classes(counts: DataFrame, what: str) -> tuple[int, int]:
-    p, n = class_totals(counts)
-    if not p or not n:
+def _classes(known: Profile, what: str | None = None) -> tuple[int, int]:
+    """Positives and negatives; `what` needs both."""
+    p = known.sums["positives"]
+    n = known.sums["total"] - p
+    if what and (not p or not n):
         raise ValueError(f"{what} is not defined with one class only.")
     return p, n
 
 
-def auc_roc(counts: DataFrame, over: DataFrame | None = None) -> DataFrame:
-    """Exact area under the ROC curve; ties count one half."""
-    p, n = _both_classes(counts, "AUC")
+def _auc(known: Profile):
+    p, n = _classes(known, "AUC")
     wins = F.sum((F.col("total") - F.col("positives")) * (2 * F.col("above_positives") - F.col("positives")))
-    return (ranked(counts) if over is None else over).agg((wins / F.lit(2.0) / F.lit(float(p)) / F.lit(float(n))).alias("auc_roc"))
+    return (wins / F.lit(2.0) / F.lit(float(p)) / F.lit(float(n))).alias("auc_roc")
 
 
-def ks_statistic(counts: DataFrame, over: DataFrame | None = None) -> DataFrame:
-    """Largest distance of the cumulative class rates; equal scores are one step."""
-    p, n = _both_classes(counts, "KS statistic")
+def _ks(known: Profile):
+    p, n = _classes(known, "KS statistic")
     gap = F.abs(F.col("above_positives") / F.lit(float(p)) - (F.col("above") - F.col("above_positives")) / F.lit(float(n)))
-    return (ranked(counts) if over is None else over).agg(F.max(gap).alias("ks_statistic"))
+    return F.max(gap).alias("ks_statistic")
 
 
-def average_precision(counts: DataFrame, over: DataFrame | None = None) -> DataFrame:
-    """Sum of precision times the step in recall; 0 without positives."""
-    p, _ = class_totals(counts)
+def _ap(known: Profile):
+    p, _ = _classes(known)
     step = F.col("positives") / F.lit(float(max(p, 1))) * F.col("above_positives") / F.col("above")
-    return (ranked(counts) if over is None else over).agg(F.coalesce(F.sum(step), F.lit(0.0)).alias("average_precision"))
+    return F.coalesce(F.sum(step), F.lit(0.0)).alias("average_precision")
+
+
+def _brier():
+    score = F.when((F.col("score") < 0) | (F.col("score") > 1), F.raise_error("A score is outside 0 to 1.").cast("double")).otherwise(F.col("score"))
+    squares = F.col("positives") * F.pow(score - 1, 2) + (F.col("total") - F.col("positives")) * F.pow(score, 2)
+    return (F.sum(squares) / F.sum("total")).alias("brier_score")
+
+
+def _rate():
+    return (F.sum("positives") / F.sum("total")).alias("default_rate")
+
+
+def auc_roc(counts: DataFrame) -> DataFrame:
+    """Exact area under the ROC curve; ties count one half."""
+    known = score_profile(counts)
+    return ranked(counts, known).agg(_auc(known))
+
+
+def ks_statistic(counts: DataFrame) -> DataFrame:
+    """Largest distance of the cumulative class rates; equal scores are one step."""
+    known = score_profile(counts)
+    return ranked(counts, known).agg(_ks(known))
+
+
+def average_precision(counts: DataFrame) -> DataFrame:
+    """Sum of precision times the step in recall; 0 without positives."""
+    known = score_profile(counts)
+    return ranked(counts, known).agg(_ap(known))
 
 
 def precision_recall(counts: DataFrame) -> DataFrame:
@@ -89,9 +115,10 @@ def precision_recall(counts: DataFrame) -> DataFrame:
 
     Without positives the recall is 1 throughout.
     """
-    p, _ = class_totals(counts)
-    over = ranked(counts)
-    ap = average_precision(counts, over)
+    known = score_profile(counts)
+    p, _ = _classes(known)
+    over = ranked(counts, known)
+    ap = over.agg(_ap(known))
     recall = F.col("above_positives") / F.lit(float(p)) if p else F.lit(1.0)
     points = over.select(F.col("score").alias("threshold"), (F.col("above_positives") / F.col("above")).alias("precision"), recall.alias("recall"))
     end = counts.sparkSession.createDataFrame([(None, 1.0, 0.0)], "threshold double, precision double, recall double")
@@ -101,13 +128,11 @@ def precision_recall(counts: DataFrame) -> DataFrame:
 
 def brier_score(counts: DataFrame) -> DataFrame:
     """Mean squared distance of score and label, as a weighted sum over distinct scores."""
-    score = F.when((F.col("score") < 0) | (F.col("score") > 1), F.raise_error("A score is outside 0 to 1.").cast("double")).otherwise(F.col("score"))
-    squares = F.col("positives") * F.pow(score - 1, 2) + (F.col("total") - F.col("positives")) * F.pow(score, 2)
-    return counts.agg((F.sum(squares) / F.sum("total")).alias("brier_score"))
+    return counts.agg(_brier())
 
 
 def default_rate(counts: DataFrame) -> DataFrame:
-    return counts.agg((F.sum("positives") / F.sum("total")).alias("default_rate"))
+    return counts.agg(_rate())
 
 
 def threshold_costs(scored: DataFrame, *, cost_matrix: CostMatrix = CostMatrix(), thresholds: Iterable[float] | None = None,
@@ -149,19 +174,20 @@ def selected_threshold(costs: DataFrame) -> DataFrame:
     return costs.orderBy("total_cost", "threshold").limit(1)
 
 
+def _all_metrics(counts: DataFrame) -> DataFrame:
+    """The five metrics of the scores in one aggregation over the ranked counts."""
+    known = score_profile(counts)
+    return ranked(counts, known).agg(_auc(known), _ap(known), _ks(known), _brier(), _rate())
+
+
 def classification_metrics(counts: DataFrame, chosen: DataFrame) -> ClassificationMetrics:
     """All six metrics; `chosen`: the selected threshold's row."""
-    over = ranked(counts)
-    rows = [auc_roc(counts, over), average_precision(counts, over), ks_statistic(counts, over), brier_score(counts), default_rate(counts), chosen.select("approval_rate")]
-    return ClassificationMetrics(*[row.first()[0] for row in rows])
+    row = metrics_report(counts, chosen).first().asDict()
+    return ClassificationMetrics(**{k: row[k] for k in ClassificationMetrics.__dataclass_fields__})
 
 
 def metrics_report(counts: DataFrame, chosen: DataFrame) -> DataFrame:
     """One row: the six metrics, the chosen threshold and its cost."""
-    over = ranked(counts)
-    rows = [auc_roc(counts, over), average_precision(counts, over), ks_statistic(counts, over), brier_score(counts), default_rate(counts),
-            chosen.select("approval_rate", F.col("threshold").alias("selected_threshold"), F.col("total_cost").alias("selected_threshold_total_cost"))]
-    out = rows[0].withColumn("_one", F.lit(1))
-    for row in rows[1:]:  # one row each
-        out = out.join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one")
-    return out.drop("_one")
+    costs = chosen.select("approval_rate", F.col("threshold").alias("selected_threshold"), F.col("total_cost").alias("selected_threshold_total_cost"))
+    # one row each
+    return (_all_metrics(counts).withColumn("_one", F.lit(1)).join(F.broadcast(costs.withColumn("_one", F.lit(1))), "_one").drop("_one"))
