@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,8 @@ from pyspark.sql import types as T
 from credence.llm.common import _power_tables, documents, materialize, mix, word_hashes, word_spans
 
 UNITS = 8
+#: Bytes of short texts that are taken together.
+TOGETHER = 1 << 17
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
 
@@ -47,9 +50,13 @@ def _line_words(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return word_hashes(buf, starts, ends), numbers, first, starts, ends
 
 
-def _characters(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the characters of the words between, with single spaces."""
-    line = b" ".join(text[s:e] for s, e in zip(starts.tolist(), ends.tolist())).decode("utf-8", "replace")
+def _text_between(text: bytes, starts: np.ndarray, ends: np.ndarray) -> str:
+    """The words between, with single spaces."""
+    return b" ".join([text[s:e] for s, e in zip(starts.tolist(), ends.tolist())]).decode("utf-8", "replace")
+
+
+def _characters(line: str) -> np.ndarray:
+    """A hash of each character."""
     return mix(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))
 
 
@@ -72,14 +79,14 @@ class _Sums:
         return mix(raw + np.uint64(end - start - 1))
 
 
-def _halves(a: _Sums, b: _Sums, first: np.ndarray, last: np.ndarray, kind: int) -> np.ndarray:
+def _halves(sums: _Sums, first: np.ndarray, last: np.ndarray, kind: int) -> np.ndarray:
     """Hashes of the half that two lines one edit apart share, at either end; the kind is part of them."""
     n = last - first
     out = []
     for h in (n // 2, (n + 1) // 2):  # half of the longer line, this one or one unit longer
         h = np.minimum(h, n)
         tag = h.astype(np.uint64) * np.uint64(4) + np.uint64(2 * kind)
-        out += [mix(a.part(first, first + h) + tag), mix(a.part(last - h, last) + tag + np.uint64(1))]
+        out += [mix(sums.part(first, first + h) + tag), mix(sums.part(last - h, last) + tag + np.uint64(1))]
     return np.stack(out, axis=1)
 
 
@@ -87,34 +94,41 @@ def _lines(docs: DataFrame, units: int) -> DataFrame:
     """id, h, line, 128 bits of hash, keys of the halves of lines that may have near ones."""
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, numbers, one, two, keys, sizes = [], [], [], [], [], []
-            for row, text in enumerate(batch.column(2)):
-                text = text.as_py() or b""
+            rows, numbers, one, two, halves, few, marks = [], [], [], [], [], [], []
+            sizes = np.array(pc.fill_null(pc.binary_length(batch.column(2)), 0), np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // TOGETHER)) + 1
+            for at, until in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                # the texts of several rows end to end, each from a new line on
+                text = b"\n".join([x or b"" for x in batch.column(2)[at:until].to_pylist()])
                 words, lines, first, starts, ends = _line_words(text)
                 if not len(lines):
                     continue
+                began = np.cumsum(sizes[at:until] + 1) - sizes[at:until] - 1
+                new = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), began)
+                row = np.searchsorted(new, lines, side="right") - 1
                 last = np.append(first[1:], len(words))
                 a, b = _Sums(words), _Sums(mix(words ^ _SECOND))
-                own = list(_halves(a, b, first, last, 0))
-                for k in np.flatnonzero(last - first < units).tolist():
-                    marks = _characters(text, starts[first[k] : last[k]], ends[first[k] : last[k]])
-                    own[k] = own[k][:0]
-                    if len(marks) >= units:
-                        sums = _Sums(marks), _Sums(mix(marks ^ _SECOND))
-                        own[k] = _halves(*sums, np.array([0]), np.array([len(marks)]), 1)[0]
-                rows.append(np.full(len(lines), row))
-                numbers.append(lines)
+                rows.append(row + at)
+                numbers.append(lines - new[row])
                 one.append(a.part(first, last))
                 two.append(b.part(first, last))
-                keys += own
-                sizes += [len(x) for x in own]
+                halves.append(_halves(a, first, last, 0))
+                few.append(last - first < units)
+                marks += [_text_between(text, starts[s:e], ends[s:e]) for s, e in zip(first[few[-1]].tolist(), last[few[-1]].tolist())]
             if not rows:
                 continue
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            halves, few = np.concatenate(halves), np.concatenate(few)
+            told = ~few
+            if marks:  # the characters of all short lines of the batch end to end
+                last = np.cumsum([len(m) for m in marks])
+                first = np.append(0, last[:-1])
+                halves[few] = _halves(_Sums(_characters("".join(marks))), first, last, 1)
+                told[few] = last - first >= units
+            offsets = np.append(0, np.cumsum(np.where(told, halves.shape[1], 0))).astype(np.int32)
             flat = lambda x: pa.array(np.concatenate(x).view(np.int64))
             ids = batch.select([0, 1]).take(pa.array(np.concatenate(rows)))
             yield pa.RecordBatch.from_arrays(
-                [ids.column(0), ids.column(1), flat(numbers), flat(one), flat(two), pa.ListArray.from_arrays(pa.array(offsets), flat(keys))],
+                [ids.column(0), ids.column(1), flat(numbers), flat(one), flat(two), pa.ListArray.from_arrays(pa.array(offsets), pa.array(halves[told].ravel().view(np.int64)))],
                 names=["id", "h", "line", "h1", "h2", "halves"])
 
     return docs.mapInArrow(found, "id bigint, h bigint, line bigint, h1 bigint, h2 bigint, halves array<bigint>")
@@ -139,7 +153,7 @@ def _sequences(chosen: DataFrame, units: int) -> DataFrame:
                         few = e - s < units
                         rows.append(row)
                         places.append((k, int(few)))
-                        own.append((_characters(text, starts[s:e], ends[s:e]) if few else words[s:e]).view(np.int64))
+                        own.append((_characters(_text_between(text, starts[s:e], ends[s:e])) if few else words[s:e]).view(np.int64))
             if rows:
                 ids = batch.select([0, 1]).take(pa.array(rows))
                 lines, kinds = zip(*places)
