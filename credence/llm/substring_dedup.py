@@ -16,8 +16,8 @@ document of smaller id or earlier in the same one.
    counting them gives the next order, and the common prefixes of neighbours are updated
    along with it. Neighbours that share LENGTH bytes are the same window, and all but the
    earliest repeat. As equal windows start in one column, only suffixes of one column
-   need an order among them, and a round costs one step a string. An anchor with more
-   strings than a bucket has (a passage that very many documents share has an edge of its
+   need an order among them, and a round costs one step a string. An anchor with
+   very many strings (a passage that a great number of documents share has an edge of its
    own in each) is not collected: its windows are compared by 128 bits of hash, in a join.
 4. The repeated intervals of each document are joined back to its text.
 
@@ -43,8 +43,10 @@ LENGTH = 100
 K = 24
 #: Longest stretch of a text whose runs are taken at once; stretches overlap by LENGTH - 1.
 STRETCH = 4 << 20
-#: Strings of one bucket of the construction.
+#: Strings of one bucket of the construction, about.
 BUCKET_STRINGS = 20_000
+#: An anchor with more strings than this share of a bucket is not collected.
+HOT_SHARE = 8
 #: Farthest that a window begins before its anchor.
 LEFT = LENGTH - K
 _PLACE = np.uint64((1 << 23) - 1)
@@ -266,7 +268,7 @@ def repeated_intervals(docs: DataFrame, bucket_strings: int = BUCKET_STRINGS) ->
     kinds = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(F.bitwise_not("a").alias("key"))
     open_runs = firsts.withColumn("key", F.bitwise_not("a")).join(kinds, "key").select("a", "first.*")
     strings = materialize(_strings(open_runs, docs), "strings")
-    often = strings.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_strings).select(F.bitwise_not("a").alias("key"))
+    often = strings.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_strings / HOT_SHARE).select(F.bitwise_not("a").alias("key"))
     turned = strings.withColumn("key", F.bitwise_not("a"))
     buckets = max(1, -(-strings.count() // bucket_strings))
 
