@@ -10,21 +10,32 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from credence.operators.preprocess import fit_preprocessor
+from credence.sources.storage import shared_folder
 
+# The default parameters of both kinds of models.
 LOGISTIC = {"C": 1.0, "max_iter": 1000, "class_weight": "balanced", "random_state": 42}
 BOOSTED = {"n_estimators": 100, "max_depth": 3, "learning_rate": 0.05, "subsample": 0.8, "colsample_bytree": 0.8,
            "objective": "binary:logistic", "eval_metric": "aucpr", "random_state": 42}
 
+#: Further parameters that Spark's logistic regression has.
+LOGISTIC_MORE = {"penalty": "l2", "l1_ratio": None, "fit_intercept": True, "tol": 1e-8}
+#: Further parameters that Spark's boosted trees have.
+BOOSTED_MORE = {"eta": None, "min_child_weight": 1, "gamma": 0.0, "max_bin": 32, "scale_pos_weight": 1.0}
+#: Parameters that say how a library works, not what it fits: accepted and unused.
+UNUSED = ("n_jobs", "verbose", "verbosity", "warm_start", "solver", "tree_method", "device", "seed", "nthread", "booster")
 
-def _settings(defaults: Mapping[str, Any], config: Mapping[str, Any] | None) -> dict[str, Any]:
+
+def _settings(defaults: Mapping[str, Any], more: Mapping[str, Any], config: Mapping[str, Any] | None) -> dict[str, Any]:
     if config is not None and not isinstance(config, Mapping):
         raise ValueError("Model configuration must be a mapping.")
-    unknown = set(config or {}) - set(defaults)
+    known = {**more, **defaults}
+    unknown = sorted(set(config or {}) - set(known) - set(UNUSED))
     if unknown:
-        raise ValueError(f"Unknown model parameters: {sorted(unknown)}")
-    return {**defaults, **(config or {})}
+        raise ValueError(f"Spark's models have no such parameters: {unknown}; they have {sorted(known)}.")
+    return {**known, **(config or {})}
 
 
 def class_weights(rows: DataFrame, label: str = "default_flag") -> DataFrame:
@@ -34,37 +45,72 @@ def class_weights(rows: DataFrame, label: str = "default_flag") -> DataFrame:
     return counts.withColumn("weight", total / (2 * F.col("total")))
 
 
-def _weighted(rows: DataFrame, label: str, balanced: bool) -> tuple[DataFrame, float]:
-    """Rows with `_weight`, and the sum of the weights: the number of rows either way."""
+def _weighted(rows: DataFrame, label: str, weights: str | Mapping | None) -> tuple[DataFrame, float]:
+    """Rows with `_weight`, and the sum of the weights."""
     found = {r["label"]: r for r in class_weights(rows, label).collect()}  # two rows
     if set(found) != {0, 1}:
         raise ValueError("Training requires both classes.")
-    n = float(sum(r["total"] for r in found.values()))
-    weight = F.when(F.col(label) == 1, F.lit(found[1]["weight"])).otherwise(F.lit(found[0]["weight"])) if balanced else F.lit(1.0)
-    return rows.withColumn("_weight", weight), n
+    if weights == "balanced":
+        by_class = {k: r["weight"] for k, r in found.items()}
+    else:
+        by_class = {k: float((weights or {}).get(k, 1.0)) for k in found}
+    total = float(sum(r["total"] * by_class[k] for k, r in found.items()))
+    return rows.withColumn("_weight", F.when(F.col(label) == 1, F.lit(by_class[1])).otherwise(F.lit(by_class[0]))), total
+
+
+def _fitted(train: DataFrame, label: str, routing: dict, fit) -> PipelineModel:
+    """Preprocessing and a model; the columns that are needed are held for the passes over them."""
+    exclude = (label, *routing.pop("exclude", ()))
+    held = train.select(label, *[F.col(f"`{c}`") for c in train.columns if c not in exclude]).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = None
+    try:
+        preprocessor = fit_preprocessor(held, exclude=(label,), **routing)
+        rows = preprocessor.transform(held).select(label, "features").persist(StorageLevel.MEMORY_AND_DISK)
+        return PipelineModel([*preprocessor.stages, fit(rows)])
+    finally:
+        held.unpersist()
+        if rows is not None:
+            rows.unpersist()
 
 
 def train_logistic_regression(train: DataFrame, *, config: Mapping[str, Any] | None = None, label: str = "default_flag", **routing) -> PipelineModel:
-    """L2-penalised, the intercept not penalised; C as in half the square plus C times the loss."""
-    params = _settings(LOGISTIC, config)
-    if params["class_weight"] not in ("balanced", None):
-        raise ValueError("class_weight must be `balanced` or None.")
-    preprocessor = fit_preprocessor(train, exclude=(label, *routing.pop("exclude", ())), **routing)
-    rows, n = _weighted(preprocessor.transform(train).select(label, "features"), label, params["class_weight"] == "balanced")
-    fitted = LogisticRegression(labelCol=label, weightCol="_weight", regParam=1 / (params["C"] * n), elasticNetParam=0.0, standardization=False,
-                                maxIter=params["max_iter"], tol=1e-8).fit(rows)
-    return PipelineModel([*preprocessor.stages, fitted])
+    """Penalised, the intercept not penalised; C as in half the square plus C times the loss.
+
+    penalty: l2, l1, elasticnet (with l1_ratio) or None. class_weight: balanced, None or a
+    mapping of class to weight.
+    """
+    params = _settings(LOGISTIC, LOGISTIC_MORE, config)
+    weights, penalty = params["class_weight"], params["penalty"]
+    if weights not in ("balanced", None) and not isinstance(weights, Mapping):
+        raise ValueError("class_weight must be `balanced`, None or a mapping.")
+    if penalty not in ("l1", "l2", "elasticnet", None):
+        raise ValueError("penalty must be l1, l2, elasticnet or None.")
+    share = {"l1": 1.0, "elasticnet": params["l1_ratio"] or 0.0}.get(penalty, 0.0)
+
+    def fit(rows: DataFrame):
+        weighted, total = _weighted(rows, label, weights)
+        return LogisticRegression(labelCol=label, weightCol="_weight", regParam=1 / (params["C"] * total) if penalty else 0.0, elasticNetParam=share,
+                                  standardization=False, fitIntercept=params["fit_intercept"], maxIter=params["max_iter"], tol=params["tol"]).fit(weighted)
+
+    return _fitted(train, label, routing, fit)
 
 
 def train_boosted_trees(train: DataFrame, *, config: Mapping[str, Any] | None = None, label: str = "default_flag", **routing) -> PipelineModel:
     """Gradient-boosted trees on logistic loss; objective and eval_metric are accepted and unused."""
-    params = _settings(BOOSTED, config)
-    preprocessor = fit_preprocessor(train, exclude=(label, *routing.pop("exclude", ())), **routing)
-    rows = preprocessor.transform(train).select(label, "features")
-    fitted = GBTClassifier(labelCol=label, maxIter=params["n_estimators"], maxDepth=params["max_depth"], stepSize=params["learning_rate"],
-                           subsamplingRate=params["subsample"], featureSubsetStrategy=str(params["colsample_bytree"]), seed=params["random_state"],
-                           cacheNodeIds=True, checkpointInterval=10).fit(rows)
-    return PipelineModel([*preprocessor.stages, fitted])
+    params = _settings(BOOSTED, BOOSTED_MORE, config)
+
+    def fit(rows: DataFrame):
+        positive = float(params["scale_pos_weight"])
+        weighted = rows.withColumn("_weight", F.when(F.col(label) == 1, F.lit(positive)).otherwise(F.lit(1.0)))
+        return GBTClassifier(labelCol=label, weightCol="_weight", maxIter=params["n_estimators"], maxDepth=params["max_depth"],
+                             stepSize=params["learning_rate"] if params["eta"] is None else params["eta"],
+                             subsamplingRate=params["subsample"], featureSubsetStrategy=str(params["colsample_bytree"]), seed=params["random_state"],
+                             minInstancesPerNode=max(1, int(params["min_child_weight"])), minInfoGain=float(params["gamma"]), maxBins=params["max_bin"],
+                             # the chain of residuals is cut where there is a folder for it
+                             cacheNodeIds=True, checkpointInterval=10).fit(weighted)
+
+    shared_folder(train.sparkSession)
+    return _fitted(train, label, routing, fit)
 
 
 TRAINERS = {"logistic_regression": train_logistic_regression, "xgboost": train_boosted_trees, "boosted_trees": train_boosted_trees}

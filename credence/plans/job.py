@@ -20,6 +20,7 @@ from credence.operators.labels import default_target, with_target
 from credence.operators.models import TRAINERS, score, train_model
 from credence.operators.policy import exclude_leaky_columns, select_origination_columns
 from credence.operators.split import time_split
+from credence.sources.config import config_argument
 from credence.sources.loans import load_loans
 from credence.sources.reports import write_curated, write_reports
 
@@ -83,15 +84,22 @@ def parse_args(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--date-column", default="issue_d")
     parser.add_argument("--output-dir", default="reports")
     parser.add_argument("--model-type", default="logistic_regression", choices=sorted(TRAINERS))
-    parser.add_argument("--model-config", type=json.loads, default=None, help="a JSON object of model parameters")
-    parser.add_argument("--schema-config", type=json.loads, default=None, help="a JSON object with column_aliases")
+    parser.add_argument("--model-config", type=config_argument, default=None, help="model parameters: a JSON object, or a JSON or YAML file; of a file with a block per model that model's")
+    parser.add_argument("--schema-config", type=config_argument, default=None, help="a JSON object with column_aliases, or a JSON or YAML file")
     parser.add_argument("--false-negative-cost", type=float, default=5.0)
     parser.add_argument("--false-positive-cost", type=float, default=1.0)
-    return parser.parse_args(argv)
+    args = parser.parse_args(argv)
+    if args.model_config and args.model_type in args.model_config:
+        args.model_config = args.model_config[args.model_type]
+    return args
 
 
 def main(argv: Sequence[str] | None = None) -> int:
-    args = vars(parse_args(argv))
+    try:
+        args = vars(parse_args(argv))
+    except (FileNotFoundError, ValueError) as error:
+        print(f"Pipeline failed: {error}", file=sys.stderr)
+        return 1
     costs = CostMatrix(args.pop("false_negative_cost"), args.pop("false_positive_cost"))
     spark = SparkSession.builder.appName("credence").getOrCreate()
     try:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +14,12 @@ from credence.operators import calibration, evaluation, models, policy, preproce
 from credence.operators.features import add_credit_utilization, add_dti, add_fico_band, add_loan_to_income, feature_matrix
 from credence.operators.labels import closed_loans, default_target
 from credence.operators.schema import normalize_credit_schema
+from credence.plans import job
 from credence.plans.job import curate
 from credence.plans.loan_view import LOANS_SQL, RAW_SQL, SCORED, SCORED_SQL, TEST_START, TRAIN_END, raw_loans
+from credence.sources import load_loans, read_metrics, read_raw_loans, read_report_rows, write_curated, write_reports
+from credence.sources.reports import CALIBRATION_SCHEMA, THRESHOLD_SCHEMA
+from credence.sources.storage import shared_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -266,7 +274,72 @@ _metric("metrics_report", ("loans", "items"), _report,
         FROM ({_AUC}), ({_AP}), ({_KS}), ({_BRIER}), (SELECT avg(label) AS default_rate FROM s), (SELECT * FROM costs ORDER BY total_cost, threshold LIMIT 1)""", f", {_COSTS}")
 
 
-# ---------------------------------------------------------------- models (no SQL)
+# ---------------------------------------------------------------- sources and sinks: written, read back, compared
+
+
+def _place(spark: SparkSession, suffix: str = "") -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}{suffix}"
+
+
+def _landed(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """The raw loans as a file of the kind, as they would be landed."""
+    path = _place(spark, f".{kind}")
+    rows = raw_loans(spark, sf_dir)
+    if kind == "csv":
+        rows.write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    else:
+        rows.write.parquet(path)
+    return path
+
+
+@_query("read_csv", f"""WITH {RAW_SQL} SELECT CAST(loan_id AS VARCHAR) AS loan_id, status, nullif(dti, 'n/a') AS debt_to_income, revol_util AS "revolUtil", grade, term,
+  CAST(fico_range_low AS VARCHAR) AS fico_range_low, round(loan_amnt, 6) AS loan_amount, url FROM raw""")
+def read_csv(spark, sf_dir):
+    rows = read_raw_loans(spark, _landed(spark, sf_dir, "csv"))
+    return _rounded(rows.select("loan_id", F.trim("status").alias("status"), "debt_to_income", "revolUtil", "grade", "term", "fico_range_low",
+                                F.col("loan_amount").cast("double").alias("loan_amount"), "url"))
+
+
+@_query("read_parquet", f"""WITH {RAW_SQL} SELECT loan_id, status, dti AS debt_to_income, revol_util AS "revolUtil", grade, term, fico_range_low, round(loan_amnt, 6) AS loan_amount,
+  round(annual_inc, 6) AS annual_income, url FROM raw""")
+def read_parquet(spark, sf_dir):
+    rows = read_raw_loans(spark, _landed(spark, sf_dir, "parquet"))
+    return _rounded(rows.select("loan_id", F.trim("status").alias("status"), "debt_to_income", "revolUtil", "grade", "term", "fico_range_low", "loan_amount", "annual_income", "url"))
+
+
+for _kind in ("csv", "parquet"):
+    _query(f"load_loans_{_kind}", f"""WITH {LOANS_SQL} SELECT loan_id, lower(status) AS loan_status, strftime(issue_d, '%Y-%m-%d') AS issue_d, round(loan_amnt, 6) AS loan_amnt,
+      home_ownership, addr_state FROM closed""")(lambda spark, sf_dir, kind=_kind: _rounded(load_loans(spark, _landed(spark, sf_dir, kind)).select(
+          F.col("loan_id").cast("bigint").alias("loan_id"), F.lower(F.trim("loan_status")).alias("loan_status"), F.date_format("issue_d", "yyyy-MM-dd").alias("issue_d"),
+          F.col("loan_amnt").cast("double").alias("loan_amnt"), "home_ownership", "addr_state")))
+
+
+@_query("curated_parquet", f"""WITH {LOANS_SQL} SELECT CAST(year(issue_d) AS INT) AS issue_year, grade, count(*) AS loans, sum(default_flag)::BIGINT AS defaults, round(avg(dti_clean), 6) AS dti,
+  round(avg(credit_utilization), 6) AS utilization, count(loan_to_income_ratio) AS with_income FROM loans GROUP BY ALL""")
+def curated_parquet(spark, sf_dir):
+    path = _place(spark)
+    write_curated(curate(_closed(spark, sf_dir)), path)
+    return _rounded(spark.read.parquet(path).groupBy("issue_year", "grade").agg(
+        F.count(F.lit(1)).alias("loans"), F.sum("default_flag").alias("defaults"), F.avg("dti_clean").alias("dti"),
+        F.avg("credit_utilization").alias("utilization"), F.count("loan_to_income_ratio").alias("with_income")))
+
+
+def _written(spark, sf_dir) -> dict[str, str]:
+    """The reports of the scored loans."""
+    scored = SCORED["loans"](spark, sf_dir)
+    counts, costs = evaluation.score_counts(scored), evaluation.threshold_costs(scored)
+    return write_reports(_place(spark), "loans", metrics=evaluation.metrics_report(counts, evaluation.selected_threshold(costs)),
+                         calibration=calibration.calibration_curve(counts), thresholds=costs)
+
+
+for _name, _file, _of, _read in (
+        ("metrics_json", "metrics.json", "metrics_report_loans", lambda spark, path: read_metrics(spark, path)),
+        ("calibration_csv", "calibration.csv", "calibration_curve_loans", lambda spark, path: read_report_rows(spark, path, CALIBRATION_SCHEMA)),
+        ("threshold_costs_csv", "threshold_costs.csv", "threshold_costs_loans", lambda spark, path: read_report_rows(spark, path, THRESHOLD_SCHEMA))):
+    _query(_name, ORACLE_SQL[_of])(lambda spark, sf_dir, file=_file, read=_read: _rounded(read(spark, _written(spark, sf_dir)[file])))
+
+
+# ---------------------------------------------------------------- models
 
 
 def _fitted(spark, sf_dir, model_type: str, **config):
@@ -282,16 +355,45 @@ def lr_scores(spark, sf_dir):
 
 @_query("gbt_scores")
 def gbt_scores(spark, sf_dir):
-    model, test = _fitted(spark, sf_dir, "boosted_trees", n_estimators=10)
+    model, test = _fitted(spark, sf_dir, "boosted_trees")
     return models.score(model, test, keep=("loan_id", "default_flag"))
 
 
+@_query("lr_optimality", f"""WITH {_TRAIN_SQL}, slots AS (SELECT {len(_NUMERIC)} + {" + ".join(f"(SELECT count(DISTINCT {c}) FROM train)" for c in _CATEGORICAL)} AS n)
+  SELECT CAST(unnest(range(-1, n)) AS INT) AS slot, true AS optimal FROM slots""")
+def lr_optimality(spark, sf_dir):
+    """Whether the gradient of the penalised loss is nil in each coefficient (slot -1: the
+    intercept), against the sum of what the rows pull either way."""
+    train = _split(spark, sf_dir).train
+    model = models.train_logistic_regression(train, exclude=("loan_id",))
+    fitted = model.stages[-1]
+    weights = models.class_weights(train).select(F.col("label").alias("default_flag"), "weight")
+    scored = model.transform(train).join(F.broadcast(weights), "default_flag")  # two rows
+    error = F.col("weight") * (vector_to_array("probability")[1] - F.col("default_flag"))
+    rows = scored.select(error.alias("e"), "weight", F.posexplode(F.concat(F.array(F.lit(1.0)), vector_to_array("features"))).alias("place", "x"))
+    pulls = rows.groupBy((F.col("place") - 1).alias("slot")).agg(F.sum(F.col("e") * F.col("x")).alias("pull"), F.sum(F.col("weight") * F.abs("x")).alias("most"))
+    held = spark.createDataFrame([(-1, 0.0), *((k, float(w)) for k, w in enumerate(fitted.coefficients))], "slot int, penalty double")
+    return pulls.join(F.broadcast(held), "slot").select("slot", (F.abs(F.col("pull") + F.col("penalty")) <= 1e-4 * F.col("most")).alias("optimal"))
+
+
+@_query("saved_model_scores", f"WITH {_TRAIN_SQL} SELECT loan_id, true AS same, true AS logistic FROM test")
+def saved_model_scores(spark, sf_dir):
+    """A model that is saved and read again scores alike, and the score is the logistic of its margin."""
+    model, test = _fitted(spark, sf_dir, "logistic_regression", max_iter=20)
+    path = _place(spark)
+    model.write().save(path)
+    first = models.score(model, test, keep=("loan_id",))
+    again = PipelineModel.load(path).transform(test).select("loan_id", vector_to_array("probability")[1].alias("p"), vector_to_array("rawPrediction")[1].alias("margin"))
+    return first.join(again, "loan_id").select("loan_id", (F.col("p") == F.col("default_probability")).alias("same"),
+                                               (F.abs(1 / (1 + F.exp(-F.col("margin"))) - F.col("p")) < 1e-12).alias("logistic"))
+
+
 def _calibrated(spark, sf_dir, method: str):
     scored = SCORED["loans"](spark, sf_dir)
     fitted = calibration.calibrate_scores(scored, method=method)
     counts = evaluation.score_counts(scored)
     model = calibration.CalibratedModel(_Same(), fitted, method, False)
-    return model.transform(counts).select("score", "total", "default_probability")
+    return _rounded(model.transform(counts).select("score", "total", "default_probability"), 4)
 
 
 class _Same:
@@ -303,5 +405,70 @@ class _Same:
         return counts.withColumn("probability", array_to_vector(F.array(1 - F.col("score"), F.col("score"))))
 
 
-_query("isotonic_calibration")(lambda spark, sf_dir: _calibrated(spark, sf_dir, "isotonic"))
-_query("sigmoid_calibration")(lambda spark, sf_dir: _calibrated(spark, sf_dir, "sigmoid"))
+# the isotonic fit at i is the largest over a <= i of the least mean over a..b, b >= i
+_query("isotonic_calibration", f"""WITH {_COUNTS.format(SCORED_SQL["loans"])}, o AS (SELECT *, row_number() OVER (ORDER BY score) AS i,
+  sum(positives) OVER (ORDER BY score) AS p, sum(total) OVER (ORDER BY score) AS q FROM c),
+  pairs AS (SELECT a.i AS a, b.i AS b, (b.p - a.p + a.positives) / (b.q - a.q + a.total) AS mean FROM o a JOIN o b ON a.i <= b.i),
+  least AS (SELECT a, b, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS mean FROM pairs),
+  fit AS (SELECT b AS i, max(mean) AS rate FROM least GROUP BY b)
+  SELECT round(score, 4) AS score, total::BIGINT AS total, round(rate, 4) AS default_probability FROM fit JOIN o USING (i)""")(
+    lambda spark, sf_dir: _calibrated(spark, sf_dir, "isotonic"))
+# Newton steps for slope and intercept
+_query("sigmoid_calibration", f"""WITH RECURSIVE {_COUNTS.format(SCORED_SQL["loans"])},
+  w AS (SELECT score, total, positives * (p + 1) / (p + 2) + (total - positives) / (a - p + 2) AS target FROM c, t),
+  newton(i, slope, base) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+    SELECT i + 1, slope - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), base - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) FROM (
+      SELECT i, slope, base, sum((total * x - target) * score) AS g1, sum(total * x - target) AS g2, sum(total * x * (1 - x) * score * score) AS h11,
+        sum(total * x * (1 - x) * score) AS h12, sum(total * x * (1 - x)) AS h22
+      FROM (SELECT *, 1 / (1 + exp(-(slope * score + base))) AS x FROM newton, w) GROUP BY i, slope, base) WHERE i < 25)
+  SELECT round(score, 4) AS score, total::BIGINT AS total, round(1 / (1 + exp(-(slope * score + base))), 4) AS default_probability FROM w, newton WHERE i = 25""")(
+    lambda spark, sf_dir: _calibrated(spark, sf_dir, "sigmoid"))
+
+
+# ---------------------------------------------------------------- whole jobs
+
+_JOB_SQL = f"""WITH {_TRAIN_SQL} SELECT 'MODEL' AS model_type, 5.0::DOUBLE AS false_negative_cost, round(avg(default_flag), 6) AS default_rate, true AS bounded, 99 AS thresholds,
+  sum(default_flag)::BIGINT AS defaults, count(*) AS loans, true AS curve FROM test"""
+
+
+def _reports(spark, output: str, model_type: str) -> DataFrame:
+    """What the reports of a run say of the later loans, and whether its metrics are within 0 and 1."""
+    at = f"{output}/metrics/{model_type}_"
+    metrics = read_metrics(spark, f"{at}metrics.json")
+    rates = ("auc_roc", "average_precision", "ks_statistic", "brier_score", "default_rate", "approval_rate", "selected_threshold")
+    costs = read_report_rows(spark, f"{at}threshold_costs.csv", THRESHOLD_SCHEMA).agg(
+        F.count(F.lit(1)).cast("int").alias("thresholds"), F.max(F.col("true_positives") + F.col("false_negatives")).alias("defaults"),
+        F.min(F.col("true_positives") + F.col("false_negatives") + F.col("true_negatives") + F.col("false_positives")).alias("loans"))
+    curve = read_report_rows(spark, f"{at}calibration.csv", CALIBRATION_SCHEMA).agg((F.count(F.lit(1)).between(1, 10)).alias("curve"))
+    bounded = F.lit(True)
+    for r in rates:
+        bounded = bounded & F.col(r).between(0, 1)
+    one = metrics.select("model_type", "false_negative_cost", F.round("default_rate", 6).alias("default_rate"), bounded.alias("bounded"))
+    return one.join(F.broadcast(costs), F.lit(True)).join(F.broadcast(curve), F.lit(True))  # one row each
+
+
+_DATES = {"train_end_date": TRAIN_END, "test_start_date": TEST_START}
+
+
+@_query("baseline_job", _JOB_SQL.replace("MODEL", "logistic_regression"))
+def baseline_job(spark, sf_dir):
+    output = _place(spark)
+    job.run_baseline(spark, _landed(spark, sf_dir, "parquet"), output_dir=output, **_DATES)
+    return _reports(spark, output, "logistic_regression")
+
+
+@_query("submitted_job", _JOB_SQL.replace("MODEL", "boosted_trees"))
+def submitted_job(spark, sf_dir):
+    """The command line, with parameters of its own."""
+    output = _place(spark)
+    code = job.main([_landed(spark, sf_dir, "csv"), "--train-end-date", TRAIN_END, "--test-start-date", TEST_START, "--output-dir", output,
+                     "--model-type", "boosted_trees", "--model-config", '{"n_estimators": 5}'])
+    if code:
+        raise RuntimeError("The job failed.")
+    return _reports(spark, output, "boosted_trees")
+
+
+@_query("landed_csv_job", f"""WITH {_TRAIN_SQL} SELECT unnest(['auc_roc', 'average_precision', 'ks_statistic']) AS metric, count(*) > 0 AS bounded FROM test""")
+def landed_csv_job(spark, sf_dir):
+    found = job.refresh_reports(spark, _landed(spark, sf_dir, "csv"), output_dir=_place(spark), model_config={"max_iter": 20}, **_DATES)
+    return spark.createDataFrame([(k, 0 <= v <= 1) for k, v in found.items()], "metric string, bounded boolean")

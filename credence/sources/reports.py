@@ -34,10 +34,10 @@ def read_report_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows
 
 
-def write_curated(features: DataFrame, path: str, *, date_column: str = "issue_d", rows_per_file: int = 2_000_000, salts: int = 8) -> None:
-    """Parquet by issue year. A year's rows go to `salts` tasks, so that one that has most
-    of the loans is not one task's work, and files have a bounded number of rows."""
+def write_curated(features: DataFrame, path: str, *, date_column: str = "issue_d", rows_per_file: int = 2_000_000) -> None:
+    """Parquet by issue year. Rows are rebalanced by year, so that files are few and of an
+    even size: adaptive execution gives a year with most of the loans as many tasks as its
+    size needs. Files have a bounded number of rows."""
     dated = features.withColumn("issue_year", F.year(date_column))
-    salt = F.pmod(F.xxhash64(*features.columns), F.lit(salts))
-    (dated.repartition("issue_year", salt).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+    (dated.hint("rebalance", "issue_year").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
      .partitionBy("issue_year").parquet(path))

@@ -201,3 +201,70 @@ def test_job_variants(spark, tmp_path, capsys):
     assert job.main([str(tmp_path / "none.csv"), "--train-end-date", "2016-12-31", "--test-start-date", "2017-01-01"]) == 1
     assert "Pipeline failed: There is no input" in capsys.readouterr().err
     json.dumps(job.parse_args(["x", "--train-end-date", "a", "--test-start-date", "b"]).__dict__)
+
+
+def test_parameters_go_through(spark):
+    rng = random.Random(9)
+    rows = [(x := rng.gauss(0, 1), rng.gauss(0, 1), int(rng.random() < 1 / (1 + math.exp(-2 * x)))) for _ in range(300)]
+    train = spark.createDataFrame(rows, "x double, noise double, default_flag int")
+    lasso = models.train_logistic_regression(train, config={"penalty": "l1", "C": 0.02, "class_weight": None, "solver": "saga", "n_jobs": 4}).stages[-1]
+    assert lasso.coefficients[1] == 0 != lasso.coefficients[0]
+    free = models.train_logistic_regression(train, config={"penalty": None, "fit_intercept": False}).stages[-1]
+    assert free.intercept == 0 and abs(free.coefficients[0]) > abs(lasso.coefficients[0])
+    given = models.train_logistic_regression(train, config={"class_weight": {1: 3.0}}).stages[-1]
+    assert given.intercept > models.train_logistic_regression(train, config={"class_weight": None}).stages[-1].intercept
+    trees = models.train_boosted_trees(train, config={"n_estimators": 3, "eta": 0.5, "gamma": 0.01, "min_child_weight": 5, "verbosity": 0}).stages[-1]
+    assert trees.getNumTrees == 3 and trees.getStepSize() == 0.5 and trees.getMinInstancesPerNode() == 5
+    for bad in ({"penalty": "l3"}, {"class_weight": "heavy"}, {"reg_lambda": 2}):
+        with pytest.raises(ValueError):
+            models.train_logistic_regression(train, config=bad)
+    with pytest.raises(ValueError, match="reg_lambda"):
+        models.train_boosted_trees(train, config={"reg_lambda": 2})
+
+
+def test_pooling_by_ranges_keeps_the_isotonic_fit(spark):
+    rng = random.Random(2)
+    pairs = [(int(rng.random() < s), s) for s in (round(rng.random(), 4) for _ in range(3000))]
+    counts = evaluation.score_counts(spark.createDataFrame(pairs, "label int, score double")).withColumnRenamed("score", "_score")
+    few = calibration.pooled(counts)
+    assert few.count() < counts.count() / 3 and few.agg(F.sum("weight")).first()[0] == pytest.approx(3000)
+    want, merged = [], []
+    for score, positives, total in counts.orderBy("_score").select("_score", "positives", "total").collect():
+        merged.append([positives, total, [score]])
+        while len(merged) > 1 and merged[-2][0] * merged[-1][1] >= merged[-1][0] * merged[-2][1]:
+            p, t, scores = merged.pop()
+            merged[-1] = [merged[-1][0] + p, merged[-1][1] + t, merged[-1][2] + scores]
+    for p, t, scores in merged:
+        want += [(s, p / t) for s in scores]
+    model = calibration.calibrate_scores(spark.createDataFrame(pairs, "label int, score double"))
+    got = model.transform(counts).select("_score", "_calibrated").orderBy("_score").collect()
+    assert [tuple(r) for r in got] == [(s, pytest.approx(x, abs=1e-9)) for s, x in want]
+
+
+def test_medians_of_many_columns(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([1.0, 2.0, None]), rng.random(), float(k), None if k else 5.0, float("inf") if k % 3 else 1.0) for k in range(501)]
+    frame = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    got = preprocess.medians_and_modes(frame, preprocess.Routing(list("abcde"), []))
+    for k, c in enumerate("abcde"):
+        assert got[c] == np.median([r[k] for r in rows if r[k] is not None]), c
+    assert preprocess.medians_and_modes(frame.limit(0), preprocess.Routing(["a"], ["b"])) == {"a": None, "b": None}
+
+
+def test_configuration_files(spark, tmp_path):
+    from credence.sources import config_argument, load_config
+
+    (tmp_path / "m.json").write_text('{"logistic_regression": {"C": 0.5}}')
+    (tmp_path / "l.json").write_text("[1]")
+    (tmp_path / "e.json").write_text("null")
+    assert load_config(str(tmp_path / "m.json")) == {"logistic_regression": {"C": 0.5}} and load_config(str(tmp_path / "e.json")) == {}
+    assert config_argument('{"C": 2}') == {"C": 2}
+    args = ["x", "--train-end-date", "a", "--test-start-date", "b", "--model-config", str(tmp_path / "m.json")]
+    assert job.parse_args(args).model_config == {"C": 0.5}
+    pytest.importorskip("yaml")
+    (tmp_path / "m.yaml").write_text("column_aliases:\n  loan_status: [outcome]\n")
+    assert load_config(str(tmp_path / "m.yaml")) == {"column_aliases": {"loan_status": ["outcome"]}}
+    with pytest.raises(ValueError):
+        load_config(str(tmp_path / "l.json"))
+    with pytest.raises(FileNotFoundError):
+        load_config(str(tmp_path / "none.json"))
