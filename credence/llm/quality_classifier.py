@@ -116,26 +116,28 @@ def held_out(id_col):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           chars_col: str | None = "n_chars", max_rows: int = MAX_ROWS) -> FactorisationMachine:
-    """Fit on up to max_rows labelled rows that are not held out. Null labels do not count;
-    of several labels of one id the largest does."""
+    """Fit on up to max_rows labelled ids that are not held out. Null labels do not count; of
+    several labels of one id the largest does, and of several texts that of the least hash."""
     chosen = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
               .groupBy(F.col(id_col).alias("key")).agg(F.max(label_col).alias("label"))
               .orderBy(F.xxhash64("key"), "key").limit(max_rows))
     chars = F.col(chars_col).cast("bigint") if chars_col else F.lit(None).cast("bigint")
+    text = F.col(text_col).cast("string")
     # at most max_rows keys and labels: a bounded table to send along
-    rows = (docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"), chars.alias("chars"))
-            .join(F.broadcast(chosen), "key").drop("key"))
+    rows = (docs.select(F.col(id_col).alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text"), chars.alias("chars"))
+            .join(F.broadcast(chosen), "key"))
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own = [features(t, None if pd.isna(c) else int(c)) for t, c in zip(batch["text"], batch["chars"])]
-            yield pd.DataFrame({"label": batch["label"].to_numpy(), "slots": [s.astype(np.int32) for s, _ in own], "values": [v for _, v in own]})
-
-    table = rows.mapInPandas(found, "label int, slots array<int>, values array<double>").toPandas()
-    # Spark may return rows in any order; the fit must not depend on it
-    vectors = [(np.asarray(s, np.int64), np.asarray(v, np.float64)) for s, v in zip(table["slots"], table["values"])]
-    order = np.argsort([float(s @ v) for s, v in vectors], kind="stable") if vectors else []
-    return fit([vectors[i] for i in order], table["label"].to_numpy()[order] if vectors else np.zeros(0))
+            yield pd.DataFrame({"key": batch["key"], "h": batch["h"], "label": batch["label"].to_numpy(), "slots": [s.astype(np.int32) for s, _ in own], "values": [v for _, v in own]})
+
+    kind = rows.schema["key"].dataType.simpleString()
+    own = F.struct("label", "slots", "values")
+    # one row per chosen id, in an order that does not depend on how Spark returns rows
+    table = (rows.mapInPandas(found, f"key {kind}, h bigint, label int, slots array<int>, values array<double>")
+             .groupBy("key").agg(F.min_by(own, "h").alias("own")).orderBy(F.xxhash64("key"), "key").select("own.*").toPandas())
+    return fit([(np.asarray(s, np.int64), np.asarray(v, np.float64)) for s, v in zip(table["slots"], table["values"])], table["label"].to_numpy())
 
 
 def classify(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text",

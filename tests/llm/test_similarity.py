@@ -187,6 +187,18 @@ def test_pigeonhole_guarantee():
     assert all((x == y).any() for x, y in zip(*keys))
 
 
+def test_recall_at_the_bound():
+    # sets with 75 of 100 shingles in common, and just above: how many pairs share a bucket within the distance looked at
+    rng = np.random.default_rng(5)
+    missed = 0
+    for _ in range(1500):
+        pool = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        a, b = (near_dedup.signature(np.unique(x)) for x in (pool[:88], pool[13:]))  # 75 in common of 100
+        differ = (a != b)[None]
+        missed += not (near_dedup.first_shared(differ)[0] >= 0 and differ.sum() <= near_dedup.FARTHEST)
+    assert missed <= 1
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 400)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)] + [(5, 5)]
