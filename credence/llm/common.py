@@ -11,7 +11,6 @@ Conventions that hold for every operator here unless its docstring says otherwis
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -21,6 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credence.sources.storage import shared_folder
+
 #: Odd multiplier of the polynomial word hash and its inverse modulo 2**64.
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
@@ -35,23 +36,8 @@ _scope: ContextVar[str] = ContextVar("scope", default="")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where neither that setting nor a checkpoint folder is there and Spark runs on one machine
-    (tests), a temporary folder is made and set as the checkpoint folder; on a cluster its
-    executors would not find it, so that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            base = held.get()
-        elif spark.sparkContext.master.startswith("local"):
-            base = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.sparkContext.setCheckpointDir(base)
-        else:
-            raise RuntimeError("On a cluster spark.checkpoint.dir must name a folder that driver and executors share.")
-    return f"{base.rstrip('/')}/credence-{spark.sparkContext.applicationId}"
+    """The folder that driver and executors share, from spark.checkpoint.dir; an error on a cluster without it."""
+    return shared_folder(spark)
 
 
 def materialize(df: DataFrame, label: str, scoped: bool = True) -> DataFrame:
