@@ -15,6 +15,7 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, Vec
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from credence.functions import parses_as_number
 from credence.functions.parsing import _number
@@ -81,7 +82,14 @@ def _long(rows: DataFrame, values: list, kind: str) -> DataFrame:
 def _medians(rows: DataFrame, values: list) -> dict[int, float]:
     """The exact median of each column, by its place: the middle ranks of the counts of distinct
     values, looked for in the one range of values that holds them."""
-    counts = _long(rows, values, "double")
+    counts = _long(rows, values, "double").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _middle(counts)
+    finally:
+        counts.unpersist()
+
+
+def _middle(counts: DataFrame) -> dict[int, float]:
     marks = counts.groupBy("k").agg(F.percentile_approx("value", [i / MEDIAN_RANGES for i in range(1, MEDIAN_RANGES)], 10_000).alias("marks"))
     # one row per column
     ranged = counts.join(F.broadcast(marks), "k").select("k", "value", "n", F.size(F.filter("marks", lambda m: m < F.col("value"))).alias("range"))
@@ -96,7 +104,7 @@ def _medians(rows: DataFrame, values: list) -> dict[int, float]:
             before += n
     if not wanted:
         return {}
-    asked = rows.sparkSession.createDataFrame(wanted, "k int, range int, within bigint, rank bigint")
+    asked = counts.sparkSession.createDataFrame(wanted, "k int, range int, within bigint, rank bigint")
     inside = ranged.join(F.broadcast(asked.select("k", "range").distinct()), ["k", "range"], "left_semi")
     until = F.sum("n").over(Window.partitionBy("k", "range").orderBy("value"))
     found = (inside.select("k", "range", "value", (until - F.col("n")).alias("start"), until.alias("until")).join(F.broadcast(asked), ["k", "range"])
