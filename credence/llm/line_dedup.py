@@ -286,3 +286,21 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     return line_report(documents(spark, sf_dir)).select(
         "doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line, regexp_extract_all(unnest(ls), '[^\x20\x09-\x0D]+') AS words FROM d),
+c AS (SELECT doc_id, line, len(words) < 8 AS short, words, array_to_string(words, ' ') AS joined FROM l WHERE len(words) > 0),
+u AS (SELECT doc_id, line, struct_pack(d := doc_id, l := line) AS place, short,
+             CASE WHEN short THEN list_transform(range(length(joined)), lambda k: substr(joined, k + 1, 1)) ELSE words END AS units FROM c),
+f AS (SELECT short, units, len(units) AS n, min(place) AS first FROM u GROUP BY ALL),
+v AS (SELECT short, n, first, gap, array_to_string(units[:gap - 1] || units[gap + 1:], chr(1)) AS variant
+      FROM (SELECT *, unnest(range(1, n + 1)) AS gap FROM f WHERE n >= 8)),
+near AS (
+  SELECT first AS place FROM (SELECT first, min(first) OVER (PARTITION BY short, n, gap, variant) AS least FROM v) WHERE first > least
+  UNION SELECT greatest(v.first, f.first) FROM v JOIN f ON v.short = f.short AND v.n = f.n + 1 AND v.variant = array_to_string(f.units, chr(1)) WHERE f.n >= 8
+  UNION SELECT place FROM u JOIN f USING (short, units) WHERE place > first),
+gone AS (SELECT place.d AS doc_id, count(*) AS n_removed, string_agg(place.l::VARCHAR, ',' ORDER BY place.l) AS removed FROM near GROUP BY 1)
+SELECT doc_id, len(ls) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed FROM d LEFT JOIN gone USING (doc_id)
+"""

@@ -19,6 +19,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_near_dedup": near_dedup.SQL,
+    "op3_line_dedup": line_dedup.SQL,
+    "op5_suffix_dedup": substring_dedup.SQL,
     "op7_quality_rules": quality_rules.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
