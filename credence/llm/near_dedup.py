@@ -11,11 +11,13 @@ pair of similarity 0.75 differs in 14 on average and in more than 27 with a prob
 
 Work that grows with groups of copies is kept linear: equal sets are one class; in a
 bucket of the join all members are paired with its first only; links are confirmed on the
-full sets, and components are found by star contraction. Where a bucket still holds several
-components after that, its members outside the largest are held against all its members,
-block by block: of two linked members in different components one is outside the largest,
-so no link between components is lost. A block has a bounded number of rows and shingles
-and returns only links that join components, confirmed on the full sets.
+full sets, and components are found by star contraction. In large buckets that still hold
+several components, members outside the largest are held against some further members,
+round by round, as long as that joins a good part of them. What a bucket then has outside
+its largest component is held against all its members, block by block: of two linked
+members in different components one is outside the largest, so no link between components
+is lost. A block has a bounded number of rows and shingles and returns only links that join
+components, confirmed on the full sets.
 
 Rows are the nodes of the graph: rows that share an id but not a text are linked, or not, by
 their own texts.
@@ -45,6 +47,11 @@ SIMILARITY = 75
 #: A block of a bucket has about this many rows and shingles at most.
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 1 << 19
+#: Buckets with more members get rounds of further heads, so many a round, while a round
+#: joins at least this share of the members outside the largest components.
+LARGE_ROWS = 8 * BLOCK_ROWS
+HEADS = 8
+WORTH_A_ROUND = 0.2
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 62, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -204,17 +211,61 @@ def block_links(labels: np.ndarray, asks: np.ndarray, answers: np.ndarray, signa
     return found
 
 
-def _across(members: DataFrame, classes: DataFrame, labels: DataFrame, sets: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
-    """Links between components that share a bucket, confirmed on the full sets."""
+def _labelled(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, rep, n, label): the members of the buckets with their sizes and components."""
     named = labels.select(F.col("node").alias("rep"), "component")
-    labelled = materialize(members.select("key", "rep").join(classes.select("rep", "n"), "rep").join(named, "rep", "left")
-                           .select("key", "rep", "n", F.coalesce("component", "rep").alias("label")), "labelled")
+    return materialize(members.select("key", "rep").join(classes.select("rep", "n"), "rep").join(named, "rep", "left")
+                       .select("key", "rep", "n", F.coalesce("component", "rep").alias("label")), "labelled")
+
+
+def _largest(inside: DataFrame) -> DataFrame:
+    """(key, largest): the largest component of each bucket."""
+    return (inside.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+            .agg(F.max_by("label", F.struct("n", "label")).alias("largest")))
+
+
+def _with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with further links."""
+    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+
+
+def _further_heads(members: DataFrame, classes: DataFrame, labels: DataFrame, sets: DataFrame, large_rows: int) -> tuple[DataFrame, DataFrame]:
+    """`labels`, and the labelled members, after rounds of further heads in large buckets.
+
+    Linear work: a round pairs each member outside its bucket's largest component with HEADS
+    members of the bucket.
+    """
+    left, turn = None, 0
+    while True:
+        labelled = _labelled(members, classes, labels)
+        large = (labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+                 .filter((F.col("size") > large_rows) & (F.col("low") < F.col("high"))).select("key"))
+        if large.isEmpty():
+            return labels, labelled
+        inside = materialize(labelled.join(large, "key"), "large")
+        outside = materialize(inside.join(_largest(inside), "key").filter("label <> largest").select("key", "rep", "label"), "outside")
+        now = outside.count()
+        if left is not None and now > (1 - WORTH_A_ROUND) * left:
+            return labels, labelled
+        left, turn = now, turn + 1
+        orders = [int(x) for x in np.random.default_rng(1000 + turn).integers(0, 1 << 62, HEADS)]
+        heads = inside.groupBy("key").agg(*[F.min(F.col("rep").bitwiseXOR(F.lit(o))).alias(f"h{k}") for k, o in enumerate(orders)])
+        heads = heads.select(F.bitwise_not("key").alias("turned"),
+                             F.explode(F.array_distinct(F.array(*[F.col(f"h{k}").bitwiseXOR(F.lit(o)) for k, o in enumerate(orders)]))).alias("head"))
+        pairs = (outside.withColumn("turned", F.bitwise_not("key")).join(heads, "turned").filter("rep <> head")
+                 .select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct())
+        links = materialize(_confirmed(materialize(_near(pairs, classes), "pairs"), sets), "links")
+        if links.isEmpty():
+            return labels, labelled
+        labels = _with_links(labels, links)
+
+
+def _across(labelled: DataFrame, classes: DataFrame, sets: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
+    """Links between components that share a bucket, confirmed on the full sets."""
     opened = (labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
               .filter("size > 2 and low < high").select("key"))
     inside = materialize(labelled.join(opened, "key"), "inside")
-    largest = (inside.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-               .agg(F.max_by("label", F.struct("n", "label")).alias("largest")))
-    asking = inside.join(largest, "key").withColumn("asks", F.col("label") != F.col("largest")).drop("largest")
+    asking = inside.join(_largest(inside), "key").withColumn("asks", F.col("label") != F.col("largest")).drop("largest")
     blocks = lambda rows, shingles: F.greatest(F.ceil(rows / block_rows), F.ceil(shingles / block_shingles), F.lit(1)).cast("int")
     grid = asking.groupBy("key").agg(
         blocks(F.count_if("asks"), F.sum(F.when(F.col("asks"), F.col("n")).otherwise(0))).alias("asked"),
@@ -242,7 +293,7 @@ def _across(members: DataFrame, classes: DataFrame, labels: DataFrame, sets: Dat
     return rows.groupBy("key", "p", "q").applyInArrow(across, "a bigint, b bigint").distinct()
 
 
-def _verdicts(texts: DataFrame, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def _verdicts(texts: DataFrame, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES, large_rows: int = LARGE_ROWS) -> DataFrame:
     """One row per row of (id, h, text): id, h, n, component_id, kept."""
     signed = materialize(_signed(texts), "signatures")
     least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "h")).alias("least")
@@ -258,10 +309,10 @@ def _verdicts(texts: DataFrame, block_rows: int = BLOCK_ROWS, block_shingles: in
     near = materialize(_near(pairs, classes), "pairs")
     sets = materialize(_sets(members, texts, classes), "sets")
     links = materialize(_confirmed(near, sets), "links")
-    labels = components(links)
-    more = materialize(_across(members, classes, labels, sets, block_rows, block_shingles), "links")
+    labels, labelled = _further_heads(members, classes, components(links), sets, large_rows)
+    more = materialize(_across(labelled, classes, sets, block_rows, block_shingles), "links")
     if not more.isEmpty():
-        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        labels = _with_links(labels, more)
     node = F.coalesce("component", "rep")
     # a copy's row of all its class: the key is turned so that Spark may split a hot component
     joined = classes.select("n", "d1", "d2", "rep", "id").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("node", node)
@@ -275,14 +326,14 @@ def _verdicts(texts: DataFrame, block_rows: int = BLOCK_ROWS, block_shingles: in
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-                block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+                block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES, large_rows: int = LARGE_ROWS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
     Null and empty texts have no shingles and are linked with nothing. Rows are nodes, also
     those that share an id; component_id is the least id of a row's component, null ids
     coming last. Of a component exactly one row is kept, of rows with its least id any one.
     """
-    return _verdicts(_texts(docs, id_col, text_col), block_rows, block_shingles).select(
+    return _verdicts(_texts(docs, id_col, text_col), block_rows, block_shingles, large_rows).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 

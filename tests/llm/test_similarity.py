@@ -134,7 +134,8 @@ def test_blocks_of_any_size_find_all(spark):
             words[at] = f"x{k}a{at}"
     want = brute_components(docs)
     for rows, most in ((3, near_dedup.BLOCK_SHINGLES), (near_dedup.BLOCK_ROWS, 700), (near_dedup.BLOCK_ROWS, near_dedup.BLOCK_SHINGLES)):
-        got = near_dedup.near_groups(table(spark, docs), block_rows=rows, block_shingles=most).collect()
+        # and with rounds of further heads in all buckets, or in none
+        got = near_dedup.near_groups(table(spark, docs), block_rows=rows, block_shingles=most, large_rows=2 if rows == 3 else 10**9).collect()
         assert {r["doc_id"]: r["component_id"] for r in got} == want
     # no link known: the blocks alone must find the whole graph
     keyed = near_dedup.chunk_keys(np.zeros((1, near_dedup.POSITIONS), np.uint16))[0]
@@ -143,9 +144,13 @@ def test_blocks_of_any_size_find_all(spark):
     classes = spark.createDataFrame([(i, len(shingles(t)), bytes(2 * near_dedup.POSITIONS)) for i, t in docs], "rep bigint, n bigint, sig binary")
     none = spark.createDataFrame([], "node bigint, component bigint")
     for rows in (1000, 7):
-        links = near_dedup._across(members, classes, none, sets, rows, near_dedup.BLOCK_SHINGLES)
+        links = near_dedup._across(near_dedup._labelled(members, classes, none), classes, sets, rows, near_dedup.BLOCK_SHINGLES)
         parts = {r["node"]: r["component"] for r in components(links).collect()}
         assert {i: parts.get(i, i) for i, _ in docs} == want
+    # rounds of further heads join no more than what is linked, and leave what they cannot join
+    labels, labelled = near_dedup._further_heads(members, classes, none, sets, 2)
+    parts = {r["node"]: r["component"] for r in labels.collect()}
+    assert parts and all(want[a] == want[b] for a, b in parts.items()) and labelled.count() == len(docs)
 
 
 def brute_rows(docs):
