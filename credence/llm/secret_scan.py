@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -61,6 +62,25 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _covered(found: list) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of findings that are in order of start."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end, *_ in found:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def _outside(text: str, found: list) -> list[str]:
+    """The parts of a text that no finding covers."""
+    starts, ends = _covered(found)
+    return [text[a:b] for a, b in zip([0, *ends], [*starts, len(text)])]
+
+
 # ---------------------------------------------------------------- the automaton
 
 #: Classes of the characters of credentials: digits, hex letters, other small letters and
@@ -262,8 +282,7 @@ def _example_rows(docs: DataFrame, text_col: str) -> DataFrame:
                 text = text or ""
                 base = base_spans(text)
                 rows |= {(kind, secret) for _, _, kind, secret in base}
-                for start, end, _, _ in base:
-                    text = text[:start] + " " * (end - start) + text[end:]
+                text = " ".join(_outside(text, base))
                 own = _NUMBERS[np.frombuffer(b" " + text.encode("utf-8", "surrogatepass") + b" ", np.uint8)]
                 pairs += np.bincount(own[:-1] * _SIDE + own[1:], minlength=len(pairs))
             yield pd.DataFrame([(kind, secret, 0, 0) for kind, secret in sorted(rows)], columns=["kind", "secret", "place", "n"])
@@ -312,7 +331,8 @@ def spans(text: str, model: Model | None = None, candidates: re.Pattern | None =
     candidates = candidates or (model.candidates if model else None)
     if candidates is None:
         return base
-    more = []
+    more: list[tuple[int, int, str]] = []
+    starts, ends = _covered(base)
     for m in candidates.finditer(text):
         run = m[0].rstrip(".")
         tries = [(m.start(), run)]
@@ -320,7 +340,8 @@ def spans(text: str, model: Model | None = None, candidates: re.Pattern | None =
             tries += [(m.start() + p.start(), p[0]) for p in re.finditer(r"[^=./]+", run)]
         for start, token in tries:
             end = start + len(token)
-            if any(s < end and start < e for s, e, _ in base + more[-1:]) or not token:
+            known = bisect_left(starts, end) - 1  # the last of the base findings that starts before the token ends
+            if not token or known >= 0 and ends[known] > start or more and more[-1][1] > start:
                 continue
             if model.accepts(token):
                 more.append((start, end, "format"))
