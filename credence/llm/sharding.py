@@ -87,7 +87,7 @@ def shard(records: DataFrame, n_shards: int, *, seed: int = 0, size: str | None
         return bucket.append_column("place", pa.array(np.arange(bucket.num_rows, dtype=np.int64)))
 
     placed = materialize(
-        rows.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(shuffled, schema), "buckets")
+        rows.repartitionById(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(shuffled, schema), "buckets")
     # running totals along the buckets: within spans of a thousand, and along the spans
     counts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("span", F.floor(F.col("bucket") / 1000))
     spans = counts.groupBy("span").agg(F.sum("n").alias("n")).select("span", (F.sum("n").over(Window.orderBy("span")) - F.col("n")).alias("start"))
