@@ -17,8 +17,9 @@ document of smaller id or earlier in the same one.
    along with it. Neighbours that share LENGTH bytes are the same window, and all but the
    earliest repeat. As equal windows start in one column, only suffixes of one column
    need an order among them, and a round costs one step a string. An anchor with
-   very many strings (a passage that a great number of documents share has an edge of its
-   own in each) is not collected: its windows are compared by 128 bits of hash, in a join.
+   more strings than a bucket has (a passage that a great number of documents share has an
+   edge of its own in each) is not collected: its windows are compared by 128 bits of hash,
+   in a join.
 4. The repeated intervals of each document are joined back to its text.
 
 The construction reads the order and writes the next one from front to back in each round,
@@ -45,8 +46,8 @@ K = 24
 STRETCH = 4 << 20
 #: Strings of one bucket of the construction, about.
 BUCKET_STRINGS = 20_000
-#: An anchor with more strings than this share of a bucket is not collected.
-HOT_SHARE = 8
+#: Most tasks of the construction; beyond, a task has several buckets, one after another.
+MOST_TASKS = 20_000
 #: Farthest that a window begins before its anchor.
 LEFT = LENGTH - K
 _PLACE = np.uint64((1 << 23) - 1)
@@ -268,7 +269,7 @@ def repeated_intervals(docs: DataFrame, bucket_strings: int = BUCKET_STRINGS) ->
     kinds = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(F.bitwise_not("a").alias("key"))
     open_runs = firsts.withColumn("key", F.bitwise_not("a")).join(kinds, "key").select("a", "first.*")
     strings = materialize(_strings(open_runs, docs), "strings")
-    often = strings.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_strings / HOT_SHARE).select(F.bitwise_not("a").alias("key"))
+    often = strings.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_strings).select(F.bitwise_not("a").alias("key"))
     turned = strings.withColumn("key", F.bitwise_not("a"))
     buckets = max(1, -(-strings.count() // bucket_strings))
 
@@ -287,7 +288,7 @@ def repeated_intervals(docs: DataFrame, bucket_strings: int = BUCKET_STRINGS) ->
         whole = whole.union(_hot_windows(turned.join(often, "key", "left_semi")))
         strings = turned.join(often, "key", "left_anti")
     edges = (strings.withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets)).cast("int"))
-             .groupBy("bucket").applyInArrow(resolve, "id bigint, start bigint, end bigint"))
+             .repartitionById(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(resolve, "id bigint, start bigint, end bigint"))
     return whole.union(edges)
 
 
@@ -329,3 +330,20 @@ def substring_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return substring_report(documents(spark, sf_dir))
+
+
+SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(h) // 2 AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS string FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 99, 0))) AS i FROM b)),
+e AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY string ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM e),
+t AS (SELECT doc_id, i, count(*) FILTER (before IS NULL OR i > before + 100) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+r AS (SELECT doc_id, min(i) AS first, max(i) + 100 AS past FROM t GROUP BY doc_id, span),
+o AS (SELECT *, lag(past, 1, 0) OVER (PARTITION BY doc_id ORDER BY first) AS since FROM r),
+k AS (SELECT doc_id, sum(past - first)::BIGINT AS n_removed, count(*) AS n_spans, max(past) AS last,
+             string_agg(substr(h, 2 * since + 1, 2 * (first - since)), '' ORDER BY first) AS head
+      FROM o JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN k USING (doc_id)
+"""
