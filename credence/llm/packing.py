@@ -40,7 +40,7 @@ from credence.llm.tokens import json_encoder
 WINDOW = 2048
 END_ID = 0
 #: Rows numbered together within a length.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 1000
 #: The program is solved when its solution is at most this share above the lower bound.
 GAP = 0.001
 #: How fast a length's weight falls with the share of its demand that is met.
@@ -256,12 +256,13 @@ def pack(pieces: DataFrame, *, window: int = WINDOW, gap: float = GAP, block_row
                                      F.monotonically_increasing_id().alias("row")), "pieces")
     whole = rows.filter(F.col("length") == window)
     short = rows.filter(F.col("length") < window)
-    blocks = max(1, -(-short.count() // block_rows))
-    short = short.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
-    counts = short.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     demand = np.zeros(window + 1, np.int64)
-    for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # one row per length
+    for r in short.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per length
         demand[r["length"]] = r["n"]
+    # a frequent length has more blocks than a rare one
+    blocks = F.get(F.lit(np.maximum(1, -(-demand // block_rows)).tolist()), F.col("length").cast("int"))
+    short = short.withColumn("block", F.pmod(F.xxhash64("row"), blocks).cast("int"))
+    counts = short.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     plan = make_plan(demand, window, gap)
     offsets = counts.withColumn(
         "before", F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).drop("n")
