@@ -11,7 +11,8 @@ REJECT_ODDS; so on a clean host it takes more to go than on a bad one, and a doc
 fails no rule always stays, whatever its host.
 
 The aggregation by host combines on the map side, so a host with a third of all rows is
-one row per task; the join back streams the documents against one row per host.
+one row per task; the join back streams the documents against one row per host, which is
+sent to all tasks up to a bound on the number of hosts.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]")
 #: How many times likelier a bad document fails a soft rule than a good one: many symbols,
 #: many repeated lines, very short words, very long words on average.
 RATIOS = {"symbols": 40.0, "lines": 4.0, "short": 10.0, "long": 10.0}
+#: Up to so many bytes of hosts' names and rates they are sent to all tasks; beyond, documents are dealt by host.
+SENT_BYTES = 32 << 20
 #: A document goes if the odds against it are at least this.
 REJECT_ODDS = 1.0
 
@@ -84,8 +87,8 @@ def measured(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     return found.withColumns({"base_failed": base_failed(), "evidence": evidence})
 
 
-def host_verdicts(rows: DataFrame) -> DataFrame:
-    """One row per host: rows, failures, shrunk rate.
+def host_verdicts(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """One row per host: rows, failures, shrunk rate; and whether the table is small.
 
     The prior beta(a, b) has the mean of all rows. a + b comes from the correlation within
     hosts, estimated from the weighted squares of the hosts' deviations less what sampling
@@ -95,7 +98,8 @@ def host_verdicts(rows: DataFrame) -> DataFrame:
     hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("evidence") > 1).alias("failed"))
     rate = F.col("failed") / F.col("n")
     sums = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("n"), F.sum("failed").alias("failed"),
-                     F.sum(F.col("n").cast("double") * F.col("n")).alias("sizes"), F.sum(F.col("n") * rate * rate).alias("squares")).first()
+                     F.sum(F.col("n").cast("double") * F.col("n")).alias("sizes"), F.sum(F.col("n") * rate * rate).alias("squares"),
+                     F.sum(F.coalesce(F.octet_length(F.col("host").cast("string")), F.lit(0)) + 64).alias("bytes")).first()
     n, failed = sums["n"] or 0, sums["failed"] or 0
     mean = failed / n if n else 0.0
     free, strength = sums["hosts"] - 1, 1e12
@@ -104,12 +108,14 @@ def host_verdicts(rows: DataFrame) -> DataFrame:
         if within > 1e-12:
             strength = max(1 / within - 1, 1e-3)
     shrunk = (F.col("failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
-    return hosts.withColumn("host_rate", shrunk)
+    return hosts.withColumn("host_rate", shrunk), (sums["bytes"] or 0) <= SENT_BYTES
 
 
 def judge(rows: DataFrame) -> DataFrame:
     """`rows` with host_rate and kept."""
-    hosts = host_verdicts(rows).select(F.col("host").alias("host_name"), "host_rate")
+    hosts, small = host_verdicts(rows)
+    hosts = hosts.select(F.col("host").alias("host_name"), "host_rate")
+    hosts = F.broadcast(hosts) if small else hosts
     joined = rows.join(hosts, rows["host"].eqNullSafe(hosts["host_name"]), "left").drop("host_name")
     # odds of rate / (1 - rate), so that a rate of 1 divides nothing by 0
     against = F.col("host_rate") * F.col("evidence") >= REJECT_ODDS * (1 - F.col("host_rate"))
