@@ -9,7 +9,7 @@ TRAIN_END, TEST_START = "1999-12-31", "2000-01-01"
 
 
 def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One raw loan per order, under source names, with untidy strings."""
+    """One raw loan per order, under source names, with untidy strings, line breaks and quotes among them."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     k, status = F.col("o_orderkey"), F.col("o_orderstatus")
     date = F.col("o_orderdate")
@@ -34,10 +34,12 @@ def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_mktsegment").alias("homeownership"), F.col("n_name").alias("state"),
         (F.col("o_totalprice").cast("double") / 2).alias("total_pymnt"), F.lit(0.0).alias("recoveries"),
         F.concat(F.lit("https://example.test/"), text(k)).alias("url"),
+        F.when(k % 6 == 0, "line one\nline two, more").when(k % 6 == 1, 'he said "pay, now" ok').when(k % 6 == 2, "ends with \\")
+        .when(k % 6 == 3, 'C:\\new\r\n"quoted"').alias("desc"),
     ).withColumn("grade_digit", F.translate("grade_digit", "12345", "ABCDE")).withColumnRenamed("grade_digit", "grade")
 
 
-RAW_SQL = """raw AS (SELECT o_orderkey AS k, o_orderkey AS loan_id,
+RAW_SQL = r"""raw AS (SELECT o_orderkey AS k, o_orderkey AS loan_id,
   CASE o_orderstatus WHEN 'P' THEN 'Current'
     WHEN 'F' THEN CASE WHEN o_orderkey % 5 = 0 THEN 'Does not meet the credit policy. Status:Fully Paid' ELSE 'Fully Paid' END
     ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'Does not meet the credit policy. Status:Charged Off' WHEN o_orderkey % 5 = 1 THEN 'DEFAULT' ELSE 'Charged Off' END END AS status,
@@ -51,7 +53,9 @@ RAW_SQL = """raw AS (SELECT o_orderkey AS k, o_orderkey AS loan_id,
   CASE WHEN o_orderkey % 3 = 0 THEN ' 36 months' ELSE ' 60 months' END AS term,
   CASE WHEN o_orderkey % 53 <> 0 THEN translate(substr(o_orderpriority, 1, 1), '12345', 'ABCDE') END AS grade,
   c_mktsegment AS home_ownership, n_name AS addr_state,
-  CAST(o_totalprice AS DOUBLE) / 2 AS total_pymnt, 0.0 AS recoveries, 'https://example.test/' || o_orderkey AS url
+  CAST(o_totalprice AS DOUBLE) / 2 AS total_pymnt, 0.0 AS recoveries, 'https://example.test/' || o_orderkey AS url,
+  CASE o_orderkey % 6 WHEN 0 THEN 'line one' || chr(10) || 'line two, more' WHEN 1 THEN 'he said "pay, now" ok' WHEN 2 THEN 'ends with \'
+    WHEN 3 THEN 'C:\new' || chr(13) || chr(10) || '"quoted"' END AS "desc"
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 #: Closed loans with label and features, as SQL.

@@ -102,17 +102,17 @@ def leakage_policy(spark, sf_dir):
 
 
 _LEFT = ("loan_id", "loan_amnt", "annual_inc", "dti", "revol_util", "total_credit_utilized", "total_credit_limit", "fico_range_low", "fico_range_high", "term",
-         "grade", "home_ownership", "addr_state", "url", "default_flag")
+         "grade", "home_ownership", "addr_state", "url", "desc", "default_flag")
 
 
-@_query("exclude_leaky", f"""WITH {LOANS_SQL} SELECT {", ".join(c for c in _LEFT if c not in ("loan_amnt", "annual_inc"))}, {_r("loan_amnt", "annual_inc")},
+@_query("exclude_leaky", f"""WITH {LOANS_SQL} SELECT {", ".join(f'"{c}"' for c in _LEFT if c not in ("loan_amnt", "annual_inc"))}, {_r("loan_amnt", "annual_inc")},
   strftime(issue_d, '%Y-%m-%d') AS issue_d FROM closed""")
 def exclude_leaky(spark, sf_dir):
     left = policy.exclude_leaky_columns(default_target(_closed(spark, sf_dir)))
     return _rounded(left.withColumn("issue_d", F.date_format("issue_d", "yyyy-MM-dd")))
 
 
-@_query("select_origination", f"""WITH {LOANS_SQL} SELECT {", ".join(c for c in _LEFT if c not in ("loan_amnt", "annual_inc", "loan_id", "url"))},
+@_query("select_origination", f"""WITH {LOANS_SQL} SELECT {", ".join(c for c in _LEFT if c not in ("loan_amnt", "annual_inc", "loan_id", "url", "desc"))},
   {_r("loan_amnt", "annual_inc")}, strftime(issue_d, '%Y-%m-%d') AS issue_d FROM closed""")
 def select_origination(spark, sf_dir):
     kept = policy.select_origination_columns(default_target(_closed(spark, sf_dir)))
@@ -286,18 +286,18 @@ def _landed(spark: SparkSession, sf_dir: str, kind: str) -> str:
     path = _place(spark, f".{kind}")
     rows = raw_loans(spark, sf_dir)
     if kind == "csv":
-        rows.write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        rows.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     else:
         rows.write.parquet(path)
     return path
 
 
 @_query("read_csv", f"""WITH {RAW_SQL} SELECT CAST(loan_id AS VARCHAR) AS loan_id, status, nullif(dti, 'n/a') AS debt_to_income, revol_util AS "revolUtil", grade, term,
-  CAST(fico_range_low AS VARCHAR) AS fico_range_low, round(loan_amnt, 6) AS loan_amount, url FROM raw""")
+  CAST(fico_range_low AS VARCHAR) AS fico_range_low, round(loan_amnt, 6) AS loan_amount, url, "desc" FROM raw""")
 def read_csv(spark, sf_dir):
     rows = read_raw_loans(spark, _landed(spark, sf_dir, "csv"))
     return _rounded(rows.select("loan_id", F.trim("status").alias("status"), "debt_to_income", "revolUtil", "grade", "term", "fico_range_low",
-                                F.col("loan_amount").cast("double").alias("loan_amount"), "url"))
+                                F.col("loan_amount").cast("double").alias("loan_amount"), "url", "desc"))
 
 
 @_query("read_parquet", f"""WITH {RAW_SQL} SELECT loan_id, status, dti AS debt_to_income, revol_util AS "revolUtil", grade, term, fico_range_low, round(loan_amnt, 6) AS loan_amount,
@@ -309,9 +309,9 @@ def read_parquet(spark, sf_dir):
 
 for _kind in ("csv", "parquet"):
     _query(f"load_loans_{_kind}", f"""WITH {LOANS_SQL} SELECT loan_id, lower(status) AS loan_status, strftime(issue_d, '%Y-%m-%d') AS issue_d, round(loan_amnt, 6) AS loan_amnt,
-      home_ownership, addr_state FROM closed""")(lambda spark, sf_dir, kind=_kind: _rounded(load_loans(spark, _landed(spark, sf_dir, kind)).select(
+      home_ownership, addr_state, "desc" FROM closed""")(lambda spark, sf_dir, kind=_kind: _rounded(load_loans(spark, _landed(spark, sf_dir, kind)).select(
           F.col("loan_id").cast("bigint").alias("loan_id"), F.lower(F.trim("loan_status")).alias("loan_status"), F.date_format("issue_d", "yyyy-MM-dd").alias("issue_d"),
-          F.col("loan_amnt").cast("double").alias("loan_amnt"), "home_ownership", "addr_state")))
+          F.col("loan_amnt").cast("double").alias("loan_amnt"), "home_ownership", "addr_state", "desc")))
 
 
 @_query("curated_parquet", f"""WITH {LOANS_SQL} SELECT CAST(year(issue_d) AS INT) AS issue_year, grade, count(*) AS loans, sum(default_flag)::BIGINT AS defaults, round(avg(dti_clean), 6) AS dti,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Iterable, Mapping
 from typing import Any
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from credence.functions import missing_to_null
 from credence.operators.labels import CLOSED_STATUSES, closed_loans
 from credence.operators.schema import normalize_credit_schema
+from credence.sources.delimited import read_records
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -19,24 +19,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
 
 
+def csv_columns(header: list[str]) -> list[str]:
+    """Column names of a header: those after the first of a name get a suffix."""
+    seen: dict[str, int] = {}
+    out = []
+    for name in header:
+        seen[name] = seen.get(name, -1) + 1
+        out.append(name + (f".{seen[name]}" if seen[name] else ""))
+    return out
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with a header, all columns as strings, stand-ins for missing values as null.
 
-    The header is taken as it is written: Spark's own reading would rename columns whose
-    names repeat or differ in case only. Columns after the first of a name get a suffix.
+    Quoted fields may have line breaks, doubled quotes and backslashes, and a file is read by
+    several tasks all the same. The header is taken as it is written. A record with fewer
+    fields than the header has nulls for the others; further fields are dropped.
     """
-    first = spark.read.text(path).limit(1).collect()
-    names = next(csv.reader([first[0]["value"].lstrip("﻿")])) if first else []
-    if not names:
+    header, records = read_records(spark, path)
+    if not header:
         raise ValueError(f"The file has no header: {path}")
-    held = ", ".join(f"`_{k}` string" for k in range(len(names)))
-    rows = spark.read.csv(path, schema=held, header=True, enforceSchema=True, multiLine=False)
-    seen: dict[str, int] = {}
-    out = []
-    for k, name in enumerate(names):
-        seen[name] = seen.get(name, -1) + 1
-        out.append(missing_to_null(F.col(f"_{k}")).alias(name + (f".{seen[name]}" if seen[name] else "")))
-    return rows.select(out)
+    return records.select([missing_to_null(F.get("fields", F.lit(k))).alias(name) for k, name in enumerate(csv_columns(header))])
 
 
 def read_raw_loans(spark: SparkSession, path: str) -> DataFrame:
