@@ -11,6 +11,7 @@ Conventions that hold for every operator here unless its docstring says otherwis
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -119,7 +120,8 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every span; the same bytes give the same hash anywhere."""
+    """A quick 64-bit hash of every span; the same bytes give the same hash anywhere. For slots and keys of
+    what is compared later; two different long words may be built to have one hash."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     power, inverse = _power_tables(len(buf) + 1)
@@ -129,6 +131,32 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(raw ^ ((ends - starts).astype(np.uint64) * _Q))
 
 
+class _Digests(dict):
+    """64 bits of BLAKE2 of each word that is asked for; short words are kept up to a number."""
+
+    KEPT, LONGEST = 1 << 18, 64
+
+    def __missing__(self, word: bytes) -> int:
+        digest = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.KEPT:
+                self.clear()
+            self[word] = digest
+        return digest
+
+
+_digests = _Digests()
+
+
+def word_digests(words: list[bytes]) -> np.ndarray:
+    """A 64-bit digest of each word, without structure that a text could be built to exploit.
+
+    Where a hash decides, use these: sums of powers modulo 2**64, as in `word_hashes`, are equal
+    for some pairs of long words whatever the multiplier.
+    """
+    return np.fromiter(map(_digests.__getitem__, words), np.uint64, len(words))
+
+
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """A hash of each window of `width` words, by its first word; order matters."""
     n = len(words) - width + 1
@@ -136,8 +164,14 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     total = np.zeros(n, np.uint64)
     for k in range(width):
-        total = total * _Q + words[k : k + n]
-    return mix(total)
+        total = mix(total * _Q + words[k : k + n])
+    return total
+
+
+def text_digest(text: bytes) -> tuple[int, int]:
+    """128 bits of BLAKE2 as two signed numbers."""
+    digest = hashlib.blake2b(text, digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def utf8(text: str | None) -> np.ndarray:

@@ -40,7 +40,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     their names cannot clash.
     """
     body = F.encode(normalized(text_column(text_col)), "utf-8")
-    extra = [F.struct(*carry).alias("carried")] if carry else []
+    extra = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
     base = docs.select(F.col(id_col).alias("id"), *extra, body.alias("body"))
     rows = base.select("*", F.octet_length("body").alias("n_bytes"),
                        F.substring("body", 1, first_digit).alias("digit"))

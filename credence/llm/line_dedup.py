@@ -6,14 +6,16 @@ kind, in order of document id and line number, is within the edit bound: one uni
 deleted or replaced, where both have at least UNITS units, so that an edit is at most an
 eighth of a line; lines that are shorter still must be equal. Lines without words stay.
 
-Equal lines are found first, by hash, with map-side combine. Of each distinct line the
+Equal lines are found first, by 128 bits of BLAKE2, with map-side combine. Of each distinct line the
 earliest occurrence is compared further. Two lines one edit apart agree in at least the
 first or the last half of their units, so lines that share neither half with another are
 left out, which is most. The others emit every variant with one unit left out, as hashed
 keys with the place of the gap: equal variants with the same gap differ by a replacement,
 a variant that equals a whole line by a deletion. Per key only the earliest line is kept as
 a witness, so a template with very many fillings costs one row each. The unit sequences of
-line and witness are compared before the line goes.
+line and witness, words or characters and not their hashes, are compared before the line goes.
+The keys are polynomials modulo the prime 2**61 - 1 in digests of the units, two of them with
+multipliers of their own.
 
 A document is an id and a text (named by its hash): rows that share an id but not a text are
 documents of their own, in the order of that hash; rows that repeat both are one document
@@ -22,37 +24,64 @@ and lose the same lines.
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credence.llm.common import _power_tables, documents, materialize, mix, word_hashes, word_spans
+from credence.llm.common import documents, materialize, mix, text_digest, word_digests
 
 UNITS = 8
-#: Bytes of short texts that are taken together.
-TOGETHER = 1 << 17
+#: Words of lines that are hashed together.
+TOGETHER = 1 << 15
+_PRIME = (1 << 61) - 1
+#: Multipliers of the two polynomials.
+_BASES = (0x0B7E151628AED2A7, 0x1C90FDAA22168C23)
 _SECOND = np.uint64(0xA0761D6478BD642F)
+_61, _31, _30 = np.uint64(61), np.uint64(31), np.uint64(30)
+_P, _M31, _M30 = np.uint64(_PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1."""
+    x = (x >> _61) + (x & _P)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1 of numbers below it, by halves of 31 and 30 bits."""
+    au, ad, bu, bd = a >> _31, a & _M31, b >> _31, b & _M31
+    middle = ad * bu + au * bd
+    return _folded((au * bu << np.uint64(1)) + (middle >> _30) + ((middle & _M30) << _31) + ad * bd)
+
+
+_powers: dict[int, np.ndarray] = {}
 
 
-def _line_words(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of a text, of each line with words its number and first word's place, and the words' starts and ends."""
-    buf = np.frombuffer(text or b"", np.uint8)
-    starts, ends = word_spans(buf)
-    line = np.searchsorted(np.flatnonzero(buf == 10), starts)
-    numbers, first = np.unique(line, return_index=True)
-    return word_hashes(buf, starts, ends), numbers, first, starts, ends
+def _power_table(base: int, n: int) -> np.ndarray:
+    """base**i modulo 2**61 - 1 for i < n, grown as needed and kept per process."""
+    held = _powers.get(base, np.ones(1, np.uint64))
+    while len(held) < n:
+        held = np.concatenate([held, _times(held, np.uint64(pow(base, len(held), _PRIME)))])
+    _powers[base] = held
+    return held[:n]
 
 
-def _text_between(text: bytes, starts: np.ndarray, ends: np.ndarray) -> str:
-    """The words between, with single spaces."""
-    return b" ".join([text[s:e] for s, e in zip(starts.tolist(), ends.tolist())]).decode("utf-8", "replace")
+def _lines_of(text: bytes | None) -> Iterator[tuple[int, list[bytes]]]:
+    """Number and words of each line with words."""
+    for number, line in enumerate((text or b"").split(b"\n")):
+        words = line.split()  # of bytes: x20, x09-x0D only
+        if words:
+            yield number, words
+
+
+def _decoded(text: bytes) -> str:
+    return text.decode("utf-8", "replace")
 
 
 def _characters(line: str) -> np.ndarray:
@@ -61,22 +90,28 @@ def _characters(line: str) -> np.ndarray:
 
 
 class _Sums:
-    """Prefix sums of a word sequence under a polynomial: hashes of any part in one step."""
+    """Prefix sums of a sequence of digests under a polynomial: hashes of any part in one step."""
 
-    def __init__(self, words: np.ndarray):
-        self.power, self.inverse = _power_tables(len(words) + 2)
-        self.sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * self.power[: len(words)], out=self.sums[1:])
+    def __init__(self, units: np.ndarray, second: bool = False):
+        base = _BASES[second]
+        self.inverse = _power_table(pow(base, -1, _PRIME), len(units) + 2)
+        terms = _times(_folded(mix(units ^ _SECOND) if second else units), _power_table(base, len(units)))
+        self.sums = np.zeros(len(units) + 1, np.uint64)
+        high, low = np.cumsum(terms >> _31), np.cumsum(terms & _M31)
+        self.sums[1:] = _folded(_times(_folded(high), np.uint64(1 << 31)) + _folded(low))
+
+    def _between(self, start, end) -> np.ndarray:
+        return _folded(self.sums[end] + _P - self.sums[start])
 
     def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        return mix(_times(self._between(start, end), self.inverse[start]) + ((end - start).astype(np.uint64) << _61) + (end - start).astype(np.uint64) * _SECOND)
 
-    def without(self, start: int, end: int) -> np.ndarray:
-        """Hashes of start..end with each word left out in turn."""
-        gap = np.arange(start, end)
-        before, after = self.sums[gap] - self.sums[start], self.sums[end] - self.sums[gap + 1]
-        raw = (before + after * self.inverse[1]) * self.inverse[start]
-        return mix(raw + np.uint64(end - start - 1))
+    def without(self, n: int) -> np.ndarray:
+        """Hashes of all n units with each one left out in turn, as `part` has them."""
+        gap = np.arange(n)
+        raw = _folded(self._between(0, gap) + _times(self._between(gap + 1, n), self.inverse[1]))
+        left = np.full(n, n - 1, np.uint64)
+        return mix(raw + (left << _61) + left * _SECOND)
 
 
 def _halves(sums: _Sums, first: np.ndarray, last: np.ndarray, kind: int) -> np.ndarray:
@@ -91,45 +126,46 @@ def _halves(sums: _Sums, first: np.ndarray, last: np.ndarray, kind: int) -> np.n
 
 
 def _lines(docs: DataFrame, units: int) -> DataFrame:
-    """id, h, line, 128 bits of hash, keys of the halves of lines that may have near ones."""
+    """id, h, line, 128 bits of digest, keys of the halves of lines that may have near ones."""
+    def hashed(rows: list[int], numbers: list[int], lines: list[list[bytes]]) -> tuple[pa.Array, list[pa.Array]]:
+        last = np.cumsum([len(words) for words in lines])
+        first = np.append(0, last[:-1])
+        texts = [b" ".join(words) for words in lines]
+        one, two = zip(*map(text_digest, texts))
+        halves = _halves(_Sums(word_digests(list(chain.from_iterable(lines)))), first, last, 0)
+        few = last - first < units
+        told = ~few
+        if few.any():  # the characters of all short lines end to end
+            marks = [_decoded(texts[k]) for k in np.flatnonzero(few).tolist()]
+            last = np.cumsum([len(m) for m in marks])
+            first = np.append(0, last[:-1])
+            halves[few] = _halves(_Sums(_characters("".join(marks))), first, last, 1)
+            told[few] = last - first >= units
+        offsets = np.append(0, np.cumsum(np.where(told, halves.shape[1], 0))).astype(np.int32)
+        held = pa.ListArray.from_arrays(pa.array(offsets), pa.array(halves[told].ravel().view(np.int64)))
+        return pa.array(rows), [pa.array(numbers, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), held]
+
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "h", "line", "h1", "h2", "halves"]
         for batch in batches:
-            rows, numbers, one, two, halves, few, marks = [], [], [], [], [], [], []
-            sizes = np.array(pc.fill_null(pc.binary_length(batch.column(2)), 0), np.int64)
-            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // TOGETHER)) + 1
-            for at, until in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-                # the texts of several rows end to end, each from a new line on
-                text = b"\n".join([x or b"" for x in batch.column(2)[at:until].to_pylist()])
-                words, lines, first, starts, ends = _line_words(text)
-                if not len(lines):
-                    continue
-                began = np.cumsum(sizes[at:until] + 1) - sizes[at:until] - 1
-                new = np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), began)
-                row = np.searchsorted(new, lines, side="right") - 1
-                last = np.append(first[1:], len(words))
-                a, b = _Sums(words), _Sums(mix(words ^ _SECOND))
-                rows.append(row + at)
-                numbers.append(lines - new[row])
-                one.append(a.part(first, last))
-                two.append(b.part(first, last))
-                halves.append(_halves(a, first, last, 0))
-                few.append(last - first < units)
-                marks += [_text_between(text, starts[s:e], ends[s:e]) for s, e in zip(first[few[-1]].tolist(), last[few[-1]].tolist())]
-            if not rows:
-                continue
-            halves, few = np.concatenate(halves), np.concatenate(few)
-            told = ~few
-            if marks:  # the characters of all short lines of the batch end to end
-                last = np.cumsum([len(m) for m in marks])
-                first = np.append(0, last[:-1])
-                halves[few] = _halves(_Sums(_characters("".join(marks))), first, last, 1)
-                told[few] = last - first >= units
-            offsets = np.append(0, np.cumsum(np.where(told, halves.shape[1], 0))).astype(np.int32)
-            flat = lambda x: pa.array(np.concatenate(x).view(np.int64))
-            ids = batch.select([0, 1]).take(pa.array(np.concatenate(rows)))
-            yield pa.RecordBatch.from_arrays(
-                [ids.column(0), ids.column(1), flat(numbers), flat(one), flat(two), pa.ListArray.from_arrays(pa.array(offsets), pa.array(halves[told].ravel().view(np.int64)))],
-                names=["id", "h", "line", "h1", "h2", "halves"])
+            rows, numbers, lines, size = [], [], [], 0
+
+            def done() -> pa.RecordBatch:
+                taken, columns = hashed(rows, numbers, lines)
+                ids = batch.select([0, 1]).take(taken)
+                return pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), *columns], names=names)
+
+            for row, text in enumerate(batch.column(2)):
+                for number, words in _lines_of(text.as_py()):
+                    rows.append(row)
+                    numbers.append(number)
+                    lines.append(words)
+                    size += len(words)
+                    if size >= TOGETHER:
+                        yield done()
+                        rows, numbers, lines, size = [], [], [], 0
+            if rows:
+                yield done()
 
     return docs.mapInArrow(found, "id bigint, h bigint, line bigint, h1 bigint, h2 bigint, halves array<bigint>")
 
@@ -140,27 +176,24 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sequences(chosen: DataFrame, units: int) -> DataFrame:
-    """(id, h, line, kind, units) of the chosen lines of (id, h, text, lines); kind 1: characters."""
+    """(id, h, line, kind, words) of the chosen lines of (id, h, text, lines): the line with single spaces; kind 1: its units are characters."""
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, places, own = [], [], []
+            rows, numbers, kinds, own = [], [], [], []
             for row, (text, wanted) in enumerate(zip(batch.column(2), batch.column(3).to_pylist())):
-                text, wanted = text.as_py(), set(wanted)
-                words, lines, first, starts, ends = _line_words(text)
-                last = np.append(first[1:], len(words))
-                for k, s, e in zip(lines.tolist(), first.tolist(), last.tolist()):
-                    if k in wanted:
-                        few = e - s < units
+                wanted = set(wanted)
+                for number, words in _lines_of(text.as_py()):
+                    if number in wanted:
                         rows.append(row)
-                        places.append((k, int(few)))
-                        own.append((_characters(_text_between(text, starts[s:e], ends[s:e])) if few else words[s:e]).view(np.int64))
+                        numbers.append(number)
+                        kinds.append(int(len(words) < units))
+                        own.append(b" ".join(words))
             if rows:
                 ids = batch.select([0, 1]).take(pa.array(rows))
-                lines, kinds = zip(*places)
-                yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(lines, pa.int64()), pa.array(kinds, pa.int32()), pa.array(own, pa.list_(pa.int64()))],
-                                                 names=["id", "h", "line", "kind", "units"])
+                yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(numbers, pa.int64()), pa.array(kinds, pa.int32()), pa.array(own, pa.binary())],
+                                                 names=["id", "h", "line", "kind", "words"])
 
-    return chosen.select("id", "h", "text", "lines").mapInArrow(found, "id bigint, h bigint, line bigint, kind int, units array<bigint>")
+    return chosen.select("id", "h", "text", "lines").mapInArrow(found, "id bigint, h bigint, line bigint, kind int, words binary")
 
 
 def _variants(sequences: DataFrame) -> DataFrame:
@@ -169,25 +202,27 @@ def _variants(sequences: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                one, two, sizes = [], [], []
-                for kind, units in zip(part.column(3).to_pylist(), part.column(4)):
-                    units = units.values.to_numpy().view(np.uint64)
+                keys: tuple[list, list] = ([], [])
+                sizes = []
+                for kind, line in zip(part.column(3).to_pylist(), part.column(4).to_pylist()):
+                    units = _characters(_decoded(line)) if kind else word_digests(line.split(b" "))
                     n = len(units)
-                    for out, sums in ((one, _Sums(units)), (two, _Sums(mix(units ^ _SECOND)))):
+                    for second, out in enumerate(keys):
+                        sums = _Sums(units, bool(second))
                         # kinds differ in a bit of every key
-                        out += [np.concatenate([sums.part(np.array([0]), np.array([n])), sums.without(0, n)]) & ~np.uint64(1) | np.uint64(kind)]
+                        out.append(np.concatenate([sums.part(np.array([0]), np.array([n])), sums.without(n)]) & ~np.uint64(1) | np.uint64(kind))
                     sizes.append(n + 1)
                 own = part.select([0, 1, 2]).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
                 yield pa.RecordBatch.from_arrays(
                     [*own.columns, pa.array(np.concatenate([np.arange(-1, s - 1) for s in sizes]).astype(np.int32)),
-                     pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64))],
+                     *(pa.array(np.concatenate(x).view(np.int64)) for x in keys)],
                     names=["id", "h", "line", "gap", "v1", "v2"])
 
     return sequences.mapInArrow(found, "id bigint, h bigint, line bigint, gap int, v1 bigint, v2 bigint")
 
 
 def within_one_edit(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether one word inserted, deleted or replaced, or none, turns a into b."""
+    """Whether one unit inserted, deleted or replaced, or none, turns a into b."""
     if abs(len(a) - len(b)) > 1:
         return False
     k = min(len(a), len(b))
@@ -198,17 +233,21 @@ def within_one_edit(a: np.ndarray, b: np.ndarray) -> bool:
     return head + tail >= max(len(a), len(b)) - 1
 
 
+def _units(kind: int, line: bytes) -> np.ndarray:
+    """The words or characters of a line themselves."""
+    return np.array(list(_decoded(line)) if kind else line.split(b" "), object)
+
+
 def _verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
-    """The late lines whose witness is within the bound by its units."""
+    """The late lines whose witness is within the bound, by the words or characters of both."""
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = [k == j and within_one_edit(x.values.to_numpy(), y.values.to_numpy())
-                    for k, j, x, y in zip(*(batch.column(c).to_pylist() for c in (3, 4)), batch.column(5), batch.column(6))]
+            same = [k == j and within_one_edit(_units(k, x), _units(k, y)) for k, j, x, y in zip(*(batch.column(c).to_pylist() for c in (3, 4, 5, 6)))]
             yield batch.select([0, 1, 2]).filter(pa.array(same, pa.bool_()))
 
-    named = lambda side: sequences.select(F.struct("id", "h", "line").alias(side), F.col("kind").alias(f"{side}_kind"), F.col("units").alias(f"{side}_units"))
+    named = lambda side: sequences.select(F.struct("id", "h", "line").alias(side), F.col("kind").alias(f"{side}_kind"), F.col("words").alias(f"{side}_words"))
     both = (pairs.select("late", "early").join(named("l"), F.col("late").eqNullSafe(F.col("l"))).join(named("e"), F.col("early").eqNullSafe(F.col("e"))))
-    return both.select("late.*", "l_kind", "e_kind", "l_units", "e_units").mapInArrow(checked, "id bigint, h bigint, line bigint")
+    return both.select("late.*", "l_kind", "e_kind", "l_words", "e_words").mapInArrow(checked, "id bigint, h bigint, line bigint")
 
 
 def _repeated(source: DataFrame, units: int) -> DataFrame:

@@ -9,15 +9,16 @@ number is also the signature distance up to which pairs are looked at: 27 of 56,
 pair of similarity 0.75 differs in 14 on average and in more than 27 with a probability of
 0.00003.
 
-Work that grows with groups of copies is kept linear: equal sets are one class; in a
-bucket of the join all members are paired with its first only; links are confirmed on the
-full sets, and components are found by star contraction. In large buckets that still hold
+Work that grows with groups of copies is kept linear: equal word sequences (by 128 bits of
+BLAKE2) are one class; in a bucket of the join all members are paired with its first only;
+links are confirmed on the full sets of shingles, as words and not as hashes, and components
+are found by star contraction. In large buckets that still hold
 several components, members outside the largest are held against some further members,
 round by round, as long as that joins a good part of them. What a bucket then has outside
 its largest component is held against all its members, block by block: of two linked
 members in different components one is outside the largest, so no link between components
 is lost. A block has a bounded number of rows and shingles and returns only links that join
-components, confirmed on the full sets.
+components; it holds hashed sets, and what it finds is confirmed on the words too.
 
 Rows are the nodes of the graph: rows that share an id but not a text are linked, or not, by
 their own texts.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import documents, materialize, mix, window_hashes, word_hashes, word_spans
+from credence.llm.common import documents, materialize, mix, text_digest, window_hashes, word_digests
 from credence.llm.components import components
 
 WIDTH = 5
@@ -61,14 +62,24 @@ _B = _rng.integers(1, 1 << 62, POSITIONS, dtype=np.uint64)
 _ORDERS = [int(x) for x in _rng.integers(0, 1 << 62, 4)]
 
 
-def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a text with A-Z in lower case."""
-    buf = np.frombuffer(text or b"", np.uint8)
-    buf = np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
-    words = word_hashes(buf, *word_spans(buf))
+def lower_words(text: bytes | None) -> list[bytes]:
+    """The words of a text with A-Z in lower case."""
+    return (text or b"").lower().split()  # of bytes: A-Z only, and x20, x09-x0D only
+
+
+def shingle_hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    digests = word_digests(words)
+    if 0 < len(words) < width:
+        return mix(window_hashes(digests, len(words)) + np.uint64(len(words)))
+    return np.unique(window_hashes(digests, width))
+
+
+def shingle_words(words: list[bytes], width: int = WIDTH) -> set:
+    """The distinct shingles themselves."""
     if 0 < len(words) < width:
-        return mix(window_hashes(words, len(words)) + np.uint64(len(words)))
-    return np.unique(window_hashes(words, width))
+        return {tuple(words)}
+    return set(zip(*(words[k:] for k in range(width))))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -104,10 +115,9 @@ def _signed(texts: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.column(2):
-                s = shingle_set(text.as_py())
-                with np.errstate(over="ignore"):
-                    d1, d2 = s.sum(dtype=np.uint64), mix(s + np.uint64(77)).sum(dtype=np.uint64)
-                rows.append((len(s), int(d1.view(np.int64)), int(d2.view(np.int64)), signature(s).tobytes() if len(s) else None))
+                words = lower_words(text.as_py())
+                s = shingle_hashes(words)
+                rows.append((len(s), *text_digest(b" ".join(words)), signature(s).tobytes() if len(s) else None))
             n, d1, d2, sig = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())],
@@ -151,26 +161,42 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets(members: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rep, shingles) of the classes that share a bucket with another one."""
+    """(rep, shingles, words) of the classes that share a bucket with another one: hashes, and the words in lower case."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                own = [shingle_set(t.as_py()).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], names=["rep", "shingles"])
+                words = [lower_words(t.as_py()) for t in part.column(1)]
+                own = [shingle_hashes(w).view(np.int64) for w in words]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64())), pa.array([b" ".join(w) for w in words], pa.binary())], names=["rep", "shingles", "words"])
 
     need = members.select("rep").distinct().join(classes.select("rep", F.col("id").alias("own"), F.col("h").alias("own_h")), "rep")
     held = texts.join(need, F.col("id").eqNullSafe(F.col("own")) & (F.col("h") == F.col("own_h"))).select("rep", "text")
     # a row that is repeated whole is there more than once
-    return held.mapInArrow(sets, "rep bigint, shingles array<bigint>").dropDuplicates(["rep"])
+    return held.mapInArrow(sets, "rep bigint, shingles array<bigint>, words binary").dropDuplicates(["rep"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= 75 * union."""
-    both = (pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("ma")), "a")
-            .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("mb")), "b"))
-    common = F.size(F.array_intersect("ma", "mb"))
-    return both.filter(100 * common >= SIMILARITY * (F.size("ma") + F.size("mb") - common)).select("a", "b")
+    """The pairs whose full sets have 100 * intersection >= 75 * union; shingles are compared by their words."""
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[int, tuple[int, set]] = {}
+
+        def shingles(side: int, rep: int, words: pa.Scalar) -> set:
+            if side not in last or last[side][0] != rep:  # the join's rows come ordered by one side
+                last[side] = (rep, shingle_words(words.as_py().split()))
+            return last[side][1]
+
+        for batch in batches:
+            stay = []
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                left, right = shingles(0, a, x), shingles(1, b, y)
+                common = len(left & right)
+                stay.append(100 * common >= SIMILARITY * (len(left) + len(right) - common))
+            yield batch.select([0, 1]).filter(pa.array(stay, pa.bool_()))
+
+    both = (pairs.select("a", "b").join(sets.select(F.col("rep").alias("a"), F.col("words").alias("wa")), "a")
+            .join(sets.select(F.col("rep").alias("b"), F.col("words").alias("wb")), "b"))
+    return both.select("a", "b", "wa", "wb").mapInArrow(checked, "a bigint, b bigint")
 
 
 def first_shared(differ: np.ndarray) -> np.ndarray:
@@ -261,7 +287,7 @@ def _further_heads(members: DataFrame, classes: DataFrame, labels: DataFrame, se
 
 
 def _across(labelled: DataFrame, classes: DataFrame, sets: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
-    """Links between components that share a bucket, confirmed on the full sets."""
+    """Links between components that share a bucket, by the full sets of hashes."""
     opened = (labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
               .filter("size > 2 and low < high").select("key"))
     inside = materialize(labelled.join(opened, "key"), "inside")
@@ -279,7 +305,7 @@ def _across(labelled: DataFrame, classes: DataFrame, sets: DataFrame, block_rows
                                            F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("p"), dealt(2, "answered").alias("q"))
     asks = placed.filter(~whole & F.col("asks")).select(*held, "asks", F.lit(False).alias("answers"), dealt(1, "asked").alias("p"),
                                                         F.explode(F.sequence(F.lit(0), F.col("answered") - 1)).alias("q"))
-    rows = materialize(one.union(answers).union(asks), "blocks").join(classes.select("rep", "sig"), "rep").join(sets, "rep")
+    rows = materialize(one.union(answers).union(asks), "blocks").join(classes.select("rep", "sig"), "rep").join(sets.select("rep", "shingles"), "rep")
 
     def across(table: pa.Table) -> pa.Table:
         reps = table["rep"].to_numpy()
@@ -310,9 +336,9 @@ def _verdicts(texts: DataFrame, block_rows: int = BLOCK_ROWS, block_shingles: in
     sets = materialize(_sets(members, texts, classes), "sets")
     links = materialize(_confirmed(near, sets), "links")
     labels, labelled = _further_heads(members, classes, components(links), sets, large_rows)
-    more = materialize(_across(labelled, classes, sets, block_rows, block_shingles), "links")
+    more = materialize(_across(labelled, classes, sets, block_rows, block_shingles), "pairs")
     if not more.isEmpty():
-        labels = _with_links(labels, more)
+        labels = _with_links(labels, materialize(_confirmed(more, sets), "links"))
     node = F.coalesce("component", "rep")
     # a copy's row of all its class: the key is turned so that Spark may split a hot component
     joined = classes.select("n", "d1", "d2", "rep", "id").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("node", node)
@@ -346,7 +372,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     verdicts = _verdicts(_texts(docs, id_col, text_col)).groupBy("id", "h").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("stay")).filter("stay < rows")
     verdicts = materialize(verdicts.select(F.col("id").alias("gone_id"), F.col("h").alias("gone_h"), "stay"), "verdicts")
-    held = docs.select(F.struct(*docs.columns).alias("record"), F.col(id_col).cast("bigint").alias("gone_id"),
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col(id_col).cast("bigint").alias("gone_id"),
                        F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("gone_h"))
     of = lambda rows: held["gone_id"].eqNullSafe(rows["gone_id"]) & (held["gone_h"] == rows["gone_h"])
     stay = held.join(verdicts, of(verdicts), "left_anti").select("record.*")

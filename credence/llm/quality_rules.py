@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credence.llm.common import documents, materialize, utf8, white_space, window_hashes, word_hashes, word_spans
+from credence.llm.common import documents, materialize
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -39,18 +39,26 @@ SENT_BYTES = 32 << 20
 REJECT_ODDS = 1.0
 
 
+def repeated_words(words: list[bytes]) -> int:
+    """How many words lie in a window of three words that the text has twice or more."""
+    if len(words) < 4:
+        return 0
+    numbers: dict[bytes, int] = {}
+    own = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    pairs, distinct = pd.factorize(own[:-1] * len(numbers) + own[1:])
+    windows, distinct = pd.factorize(pairs[:-1] * len(numbers) + own[2:])
+    again = np.bincount(windows, minlength=len(distinct))[windows] >= 2
+    repeated = np.zeros(len(words), bool)
+    for k in range(3):
+        repeated[k : k + len(again)] |= again
+    return int(repeated.sum())
+
+
 def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines of one text."""
     text = text or ""
-    buf = utf8(text)
-    starts, ends = word_spans(buf)
-    windows = window_hashes(word_hashes(buf, starts, ends), 3)
-    repeated = np.zeros(len(starts), bool)
-    if len(windows):
-        _, which, times = np.unique(windows, return_inverse=True, return_counts=True)
-        again = times[which] >= 2
-        for k in range(3):
-            repeated[k : k + len(again)] |= again
+    data = text.encode("utf-8", "surrogatepass")
+    words = data.split()  # of bytes: x20, x09-x0D only
     seen, duplicates, lines = set(), 0, 0
     for line in text.split("\n"):
         if _WORD.search(line):
@@ -59,8 +67,8 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
                 duplicates += 1
             else:
                 seen.add(line)
-    code_points = len(text) - int(white_space(buf).sum())
-    return len(starts), code_points, len(_SYMBOL.findall(text)), duplicates, int(repeated.sum()), lines
+    code_points = len(text) - (len(data) - sum(map(len, words)))
+    return len(words), code_points, len(_SYMBOL.findall(text)), duplicates, repeated_words(words), lines
 
 
 @F.pandas_udf(T.StructType([T.StructField(name, T.LongType()) for name in MEASURES]))

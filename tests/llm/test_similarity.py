@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from credence.llm import near_dedup, substring_dedup
+from credence.llm import exact_dedup, line_dedup, near_dedup, quality_rules, substring_dedup
 from credence.llm.components import components
 from test_exact_and_quality import table
 
@@ -59,6 +59,37 @@ def test_near_groups(spark):
     assert near_dedup.near_groups(table(spark, [])).count() == 0
 
 
+def doubled_turns(a, b, times):
+    """Two sequences whose sums of powers modulo 2**64 are equal for every odd multiplier."""
+    x, y = [a], [b]
+    for _ in range(times):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_built_collisions_stay_apart(spark):
+    letters = ["".join(x) for x in doubled_turns("a", "b", 10)]
+    words = [" ".join(x) for x in doubled_turns("a", "b", 10)]
+    tail = [f" {w} x y q {v} x y" for w, v in (letters, letters[::-1])]
+    for pair in (letters, words, tail):
+        docs = list(enumerate(pair))
+        rows = near_dedup.near_groups(table(spark, docs)).collect()
+        want = brute_components(docs)
+        assert {r["doc_id"]: r["component_id"] for r in rows} == want
+        assert near_dedup.near_dedup(table(spark, docs)).count() == len(set(want.values()))
+        assert [r["n_removed"] for r in line_dedup.line_report(table(spark, docs)).collect()] == [0, 0]
+        assert line_dedup.drop_repeated_lines(table(spark, docs)).orderBy("doc_id").select("text").collect() == [(t,) for t in pair]
+    assert quality_rules.measure(f"{letters[0]} x y q {letters[1]} x y")[4] == 0
+    assert quality_rules.measure(f"{letters[0]} x y q {letters[0]} x y")[4] == 6
+
+
+def test_names_with_dots_and_clashes(spark):
+    frame = table(spark, [(1, "a b"), (2, "a  b"), (3, "c")]).withColumn("meta.lang", F.lit("x")).withColumn("record", F.lit("r")).withColumn("carried", F.lit("c"))
+    for out in (exact_dedup.exact_dedup(frame), near_dedup.near_dedup(frame), line_dedup.drop_repeated_lines(frame)):
+        assert out.columns == frame.columns and {r["doc_id"] for r in out.collect()} >= {1, 3}
+        assert {r["meta.lang"] for r in out.collect()} == {"x"}
+
+
 def all_against_all(sets, labels, **more):
     every = np.ones(len(sets), bool)
     same = np.zeros((len(sets), near_dedup.POSITIONS), np.uint16)
@@ -140,7 +171,7 @@ def test_blocks_of_any_size_find_all(spark):
     # no link known: the blocks alone must find the whole graph
     keyed = near_dedup.chunk_keys(np.zeros((1, near_dedup.POSITIONS), np.uint16))[0]
     members = spark.createDataFrame([(int(keyed[0]), i) for i, _ in docs], "key bigint, rep bigint")
-    sets = spark.createDataFrame([(i, sorted(hash(x) & (1 << 62) - 1 for x in shingles(t))) for i, t in docs], "rep bigint, shingles array<bigint>")
+    sets = spark.createDataFrame([(i, sorted(hash(x) & (1 << 62) - 1 for x in shingles(t)), " ".join(map(str, t.split())).encode()) for i, t in docs], "rep bigint, shingles array<bigint>, words binary")
     classes = spark.createDataFrame([(i, len(shingles(t)), bytes(2 * near_dedup.POSITIONS)) for i, t in docs], "rep bigint, n bigint, sig binary")
     none = spark.createDataFrame([], "node bigint, component bigint")
     for rows in (1000, 7):
