@@ -1,8 +1,9 @@
 """Quality rules with host-level verdicts.
 
 Every document is measured in one pass. Two fixed rules reject a document outright. Further
-soft rules are evidence: each has a stated ratio of how much likelier a bad document fails
-it than a good one. Soft failures are summed by host (the `source` column), the host's
+soft rules are evidence: each has a ratio of how much likelier a bad document fails it than a
+good one, counted on labelled documents that pass the fixed rules; a rule that is no sign of a
+bad document there has no part in verdicts. Soft failures are summed by host (the `source` column), the host's
 failure rate is shrunk towards the corpus rate by a beta prior whose two parameters are
 estimated from the hosts themselves (moments, less the variance that sampling alone gives),
 and the host's verdict is joined back: its rate is the prior of each of its documents. A
@@ -30,9 +31,11 @@ from credence.llm.common import documents, materialize
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]")
-#: How many times likelier a bad document fails a soft rule than a good one: many symbols,
-#: many repeated lines, very short words, very long words on average.
+#: How many times likelier a bad document fails a soft rule than a good one, for tables without labels:
+#: many symbols, many repeated lines, very short words, very long words on average.
 RATIOS = {"symbols": 40.0, "lines": 4.0, "short": 10.0, "long": 10.0}
+#: A rule that fewer labelled documents fail has a ratio of 1.
+LEAST_FAILURES = 10
 #: Up to so many bytes of hosts' names and rates they are sent to all tasks; beyond, documents are dealt by host.
 SENT_BYTES = 32 << 20
 #: A document goes if the odds against it are at least this.
@@ -86,13 +89,41 @@ def soft_rules() -> dict:
             "short": F.col("m.word_chars") < 3 * F.col("m.n_words"), "long": F.col("m.word_chars") > 12 * F.col("m.n_words")}
 
 
-def measured(docs: DataFrame, text_col: str = "text", host_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """carried, host, m, base_failed and the product of the failed soft rules' ratios (1 without one)."""
-    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"), F.col(host_col).alias("host"), _measures(F.col(text_col).cast("string")).alias("m"))
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """carried, id, host, m, base_failed and, as a struct `soft`, whether each soft rule fails."""
+    named = lambda c: F.col(f"`{c}`")
+    found = docs.select(F.struct(*map(named, carry)).alias("carried"), named(id_col).cast("bigint").alias("id"), named(host_col).alias("host"),
+                        _measures(named(text_col).cast("string")).alias("m"))
+    return found.withColumns({"base_failed": base_failed(), "soft": F.struct(*[failed.alias(name) for name, failed in soft_rules().items()])})
+
+
+def rule_ratios(rows: DataFrame, labels: DataFrame) -> dict[str, float]:
+    """For each soft rule how many times likelier a bad document fails it, by the labels of documents that pass the fixed rules.
+
+    `rows` as `measured` has them; `labels` has doc_id and quality. A third of the ids (crc32 of the id as
+    text, modulo 3, is 1) is held out and not used. Halves of a document are added on either side, so a
+    rule that no good document fails has a finite ratio. At least 1.
+    """
+    good = (labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(F.pmod(F.crc32(F.col("doc_id").cast("bigint").cast("string")), F.lit(3)) != 1)
+            .groupBy(F.bitwise_not(F.col("doc_id").cast("bigint")).alias("turned")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good")))
+    joined = rows.filter("NOT base_failed").select(F.bitwise_not("id").alias("turned"), "soft").join(good, "turned")
+    of = {r["good"]: r for r in joined.groupBy("good").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"soft.{name}")).alias(name) for name in RATIOS]).collect()}  # two rows
+    count = lambda side, what: of[side][what] if side in of else 0
+    out = {}
+    for name in RATIOS:
+        bad, good_ = count(0, name), count(1, name)
+        ratio = ((bad + 0.5) / (count(0, "n") + 1.0)) / ((good_ + 0.5) / (count(1, "n") + 1.0))
+        out[name] = max(1.0, ratio) if bad + good_ >= LEAST_FAILURES else 1.0
+    return out
+
+
+def _with_evidence(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """`rows` with the product of the failed soft rules' ratios, 1 without one."""
+    ratios = RATIOS if labels is None else rule_ratios(rows, labels)
     evidence = F.lit(1.0)
-    for name, failed in soft_rules().items():
-        evidence = evidence * F.when(failed, RATIOS[name]).otherwise(1.0)
-    return found.withColumns({"base_failed": base_failed(), "evidence": evidence})
+    for name, ratio in ratios.items():
+        evidence = evidence * F.when(F.col(f"soft.{name}"), ratio).otherwise(1.0)
+    return rows.withColumn("evidence", evidence)
 
 
 def host_verdicts(rows: DataFrame) -> tuple[DataFrame, bool]:
@@ -119,8 +150,9 @@ def host_verdicts(rows: DataFrame) -> tuple[DataFrame, bool]:
     return hosts.withColumn("host_rate", shrunk), (sums["bytes"] or 0) <= SENT_BYTES
 
 
-def judge(rows: DataFrame) -> DataFrame:
-    """`rows` with host_rate and kept."""
+def judge(rows: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """`rows` with evidence, host_rate and kept."""
+    rows = _with_evidence(rows, labels)
     hosts, small = host_verdicts(rows)
     hosts = hosts.select(F.col("host").alias("host_name"), "host_rate")
     hosts = F.broadcast(hosts) if small else hosts
@@ -130,23 +162,30 @@ def judge(rows: DataFrame) -> DataFrame:
     return joined.withColumn("kept", ~F.col("base_failed") & ~((F.col("evidence") > 1) & against))
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     host_col: str = "source") -> DataFrame:
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *, labels: DataFrame | None = None) -> DataFrame:
     """One row per input row: id, measures, base_failed, soft_failed, host_rate, kept.
 
     Null and empty texts have no words and so fail; a null host is a host of its own.
+    `labels` (doc_id, quality) give the soft rules' ratios; without them they are RATIOS.
     """
-    rows = materialize(measured(docs, text_col, host_col, (id_col,)), "measures")
-    return judge(rows).select("carried.*", "m.*", "base_failed", (F.col("evidence") > 1).alias("soft_failed"), "host_rate", "kept")
+    rows = materialize(measured(docs, id_col, text_col, host_col, (id_col,)), "measures")
+    return judge(rows, labels).select("carried.*", "m.*", "base_failed", (F.col("evidence") > 1).alias("soft_failed"), "host_rate", "kept")
 
 
-def quality_filter(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *, labels: DataFrame | None = None) -> DataFrame:
     """The rows of `docs` that pass, with their own columns, whatever their names."""
-    return judge(materialize(measured(docs, text_col, host_col, tuple(docs.columns)), "measures")).filter("kept").select("carried.*")
+    return judge(materialize(measured(docs, id_col, text_col, host_col, tuple(docs.columns)), "measures"), labels).filter("kept").select("carried.*")
+
+
+def labels_of(spark, sf_dir: str) -> DataFrame | None:
+    """The labels beside the documents, None where there are none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/labels.parquet")
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.parquet(f"{sf_dir}/labels.parquet") if there else None
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_verdicts(documents(spark, sf_dir)).select(
+    return quality_verdicts(documents(spark, sf_dir), labels=labels_of(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -165,9 +204,20 @@ m AS (SELECT x.doc_id, x.source, len(ws) AS n_words, length(regexp_replace(t, '[
              len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines,
              coalesce(n_repeat_words, 0) AS n_repeat_words
       FROM x LEFT JOIN rep USING (r)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-             CASE WHEN 10 * n_symbols > n_words THEN 40.0::DOUBLE ELSE 1.0 END * CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 4.0 ELSE 1.0 END
-             * CASE WHEN word_chars < 3 * n_words THEN 10.0 ELSE 1.0 END * CASE WHEN word_chars > 12 * n_words THEN 10.0 ELSE 1.0 END AS evidence FROM m),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 10 * n_symbols > n_words AS symbols,
+             10 * n_dup_lines > 3 * n_lines AS lines, word_chars < 3 * n_words AS short, word_chars > 12 * n_words AS long FROM m),
+crc AS (SELECT doc_id, quality, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+             lambda y, z: list_reduce([xor(y, z)] || range(8), lambda u, k: CASE WHEN u & 1 = 1 THEN xor(u >> 1, 3988292384::BIGINT) ELSE u >> 1 END)), 4294967295::BIGINT) AS crc
+        FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good FROM crc WHERE crc % 3 <> 1 GROUP BY doc_id),
+j AS (SELECT good, symbols, lines, short, long FROM b JOIN lab USING (doc_id) WHERE NOT base_failed),
+t AS (SELECT count(*) FILTER (good = 0) + 1.0::DOUBLE AS bad, count(*) FILTER (good = 1) + 1.0::DOUBLE AS good FROM j),
+k AS (SELECT name, count(*) FILTER (fails AND good = 0) AS bf, count(*) FILTER (fails AND good = 1) AS gf
+      FROM (SELECT good, unnest(['symbols', 'lines', 'short', 'long']) AS name, unnest([symbols, lines, short, long]) AS fails FROM j) GROUP BY name),
+q AS (SELECT name, CASE WHEN bf + gf >= 10 THEN greatest(1.0::DOUBLE, ((bf + 0.5::DOUBLE) / bad) / ((gf + 0.5::DOUBLE) / good)) ELSE 1.0::DOUBLE END AS ratio FROM k, t),
+g4 AS (SELECT coalesce(max(ratio) FILTER (name = 'symbols'), 1.0) AS r1, coalesce(max(ratio) FILTER (name = 'lines'), 1.0) AS r2,
+             coalesce(max(ratio) FILTER (name = 'short'), 1.0) AS r3, coalesce(max(ratio) FILTER (name = 'long'), 1.0) AS r4 FROM q),
+f AS (SELECT b.*, CASE WHEN symbols THEN r1 ELSE 1.0 END * CASE WHEN lines THEN r2 ELSE 1.0 END * CASE WHEN short THEN r3 ELSE 1.0 END * CASE WHEN long THEN r4 ELSE 1.0 END AS evidence FROM b, g4),
 h AS (SELECT source, count(*)::DOUBLE AS n, (count(*) FILTER (evidence > 1))::DOUBLE AS failed FROM f GROUP BY source),
 s AS (SELECT count(*) - 1 AS free, sum(n) AS n, sum(failed) / sum(n) AS mean, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS wide,
              sum(failed * failed / n) AS squares FROM h),

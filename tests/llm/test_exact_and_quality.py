@@ -59,6 +59,8 @@ def test_measures(text):
 def sql_rows(query, folder):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    if (folder / "labels.parquet").exists():
+        con.execute(f"CREATE VIEW labels AS SELECT * FROM '{folder}/labels.parquet/*.parquet'")
     return con.execute(query).fetchall()
 
 
@@ -82,7 +84,24 @@ def test_host_verdicts(spark, tmp_path):
     assert quality_rules.quality_verdicts(table(spark, [])).count() == 0 and quality_rules.quality_filter(table(spark, [])).count() == 0
     null_host = table(spark, [(1, GOOD), (1, GOOD), (None, POOR)]).withColumn("source", F.lit(None).cast("string"))
     assert len(quality_rules.quality_verdicts(null_host).collect()) == 3
-    table(spark, docs).union(null_host).write.parquet(str(tmp_path / "documents.parquet"))
+    # with labels: symbols are a sign of bad documents, repeated lines of good ones
+    every = table(spark, docs).union(null_host)
+    labels = [(i, 0 if t == POOR else 1, 0) for i, t in docs] + [(i, 1, 0) for i, t in docs if t == LINES] + [(None, 0, 0), (5, None, 0)]
+    held = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = quality_rules.measured(table(spark, docs))
+    used = [(i, t) for i, t in docs if t and zlib.crc32(str(i).encode()) % 3 != 1]
+    bad, good = (sum(t == x for _, t in used) for x in (POOR, GOOD))
+    ratios = quality_rules.rule_ratios(rows, held)
+    assert ratios == {"symbols": ((bad + 0.5) / (bad + 1)) / (0.5 / (good + sum(t == LINES for _, t in used) + 1)), "lines": 1.0, "short": 1.0, "long": 1.0}
+    assert set(quality_rules.rule_ratios(rows, held.limit(0)).values()) == {1.0}
+    verdicts = {r["doc_id"]: r for r in quality_rules.quality_verdicts(table(spark, docs), labels=held).collect()}
+    assert all(verdicts[3000 + k]["kept"] for k in range(3)) and not verdicts[0]["kept"]
+    # what the hosts change: of the documents with symbols those on the cleanest host stay, with one rate for all hosts none does
+    one_host = {r["doc_id"]: r["kept"] for r in quality_rules.quality_verdicts(table(spark, docs).withColumn("source", F.lit("all"))).collect()}
+    by_host = {r["doc_id"]: r["kept"] for r in quality_rules.quality_verdicts(table(spark, docs)).collect()}
+    assert {i for i in by_host if by_host[i] != one_host[i]} == {3000, 3005}
+    every.write.parquet(str(tmp_path / "documents.parquet"))
+    held.write.parquet(str(tmp_path / "labels.parquet"))
     order = lambda r: (r[0] is None, r[0] or 0, r)
     got = sorted((tuple(r) for r in quality_rules.op7_quality_rules(spark, str(tmp_path)).collect()), key=order)
     assert got == sorted(sql_rows(quality_rules.SQL, tmp_path), key=order)
