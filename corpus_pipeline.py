@@ -14,8 +14,8 @@ from credence.llm.common import documents, drop_files, materialize, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_rules.quality_filter(docs)
+    """Documents that the quality rules reject go; labels, where there are any, say what the soft rules are worth."""
+    return quality_rules.quality_filter(docs, labels=quality_rules.labels_of(spark, sf_dir))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
