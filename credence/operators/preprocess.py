@@ -12,17 +12,13 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.storagelevel import StorageLevel
 
 from credence.functions import parses_as_number
 from credence.functions.parsing import _number
-
-
-#: Ranges of values among which a median is looked for.
-MEDIAN_RANGES = 256
+from credence.operators import selection
 
 
 @dataclass(frozen=True)
@@ -79,39 +75,6 @@ def _long(rows: DataFrame, values: list, kind: str) -> DataFrame:
     return rows.select(every).select("s.*").filter("value IS NOT NULL").groupBy("k", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _medians(rows: DataFrame, values: list) -> dict[int, float]:
-    """The exact median of each column, by its place: the middle ranks of the counts of distinct
-    values, looked for in the one range of values that holds them."""
-    counts = _long(rows, values, "double").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _middle(counts)
-    finally:
-        counts.unpersist()
-
-
-def _middle(counts: DataFrame) -> dict[int, float]:
-    marks = counts.groupBy("k").agg(F.percentile_approx("value", [i / MEDIAN_RANGES for i in range(1, MEDIAN_RANGES)], 10_000).alias("marks"))
-    # one row per column
-    ranged = counts.join(F.broadcast(marks), "k").select("k", "value", "n", F.size(F.filter("marks", lambda m: m < F.col("value"))).alias("range"))
-    sums: dict[int, list[tuple[int, int]]] = {}
-    for r in ranged.groupBy("k", "range").agg(F.sum("n").alias("n")).collect():  # MEDIAN_RANGES rows per column at most
-        sums.setdefault(r["k"], []).append((r["range"], r["n"]))
-    wanted: list[tuple[int, int, int, int]] = []
-    for k, parts in sums.items():
-        total, before = sum(n for _, n in parts), 0
-        for part, n in sorted(parts):
-            wanted += [(k, part, rank - before, rank) for rank in {(total - 1) // 2, total // 2} if before <= rank < before + n]
-            before += n
-    if not wanted:
-        return {}
-    asked = counts.sparkSession.createDataFrame(wanted, "k int, range int, within bigint, rank bigint")
-    inside = ranged.join(F.broadcast(asked.select("k", "range").distinct()), ["k", "range"], "left_semi")
-    until = F.sum("n").over(Window.partitionBy("k", "range").orderBy("value"))
-    found = (inside.select("k", "range", "value", (until - F.col("n")).alias("start"), until.alias("until")).join(F.broadcast(asked), ["k", "range"])
-             .filter("within >= start AND within < until").groupBy("k").agg(F.min("value").alias("low"), F.max("value").alias("high")).collect())
-    return {r["k"]: r["low"] if r["low"] == r["high"] else 0.5 * r["low"] + 0.5 * r["high"] for r in found}
-
-
 def _modes(rows: DataFrame, values: list) -> dict[int, str]:
     """The most frequent value of each column, by its place; of equally frequent ones the smallest."""
     best = _long(rows, values, "string").groupBy("k").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value"))
@@ -119,9 +82,9 @@ def _modes(rows: DataFrame, values: list) -> dict[int, str]:
 
 
 def medians_and_modes(rows: DataFrame, routing: Routing) -> dict[str, float | str]:
-    """The value that a missing one becomes, by column, from counts per distinct value: no task
-    holds the values of a column."""
-    medians = _medians(rows, [_as_double(rows, c) for c in routing.numeric]) if routing.numeric else {}
+    """The value that a missing one becomes, by column: medians by narrowing brackets, modes from
+    counts per distinct value. No task holds the values of a column."""
+    medians = selection.medians(rows, [_as_double(rows, c) for c in routing.numeric])
     modes = _modes(rows, [F.col(f"`{c}`") for c in routing.categorical]) if routing.categorical else {}
     return {c: medians.get(k) for k, c in enumerate(routing.numeric)} | {c: modes.get(k) for k, c in enumerate(routing.categorical)}
 
