@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from credence.functions import parses_as_number
 from credence.functions.parsing import _number
 from credence.operators import selection
+from credence.operators.categories import CategoryEncoder, build_dictionary
 
 
 @dataclass(frozen=True)
@@ -123,7 +124,7 @@ def _literal(value) -> str:
 
 def fit_preprocessor(rows: DataFrame, *, exclude: tuple[str, ...] = (), output: str = "features",
                      numeric: list[str] | None = None, categorical: list[str] | None = None) -> PipelineModel:
-    """Two passes over the training rows, then the categories' counts."""
+    """A few passes over the training rows: routes, medians and modes, scales, the dictionary of categories."""
     routing = route_columns(rows, exclude=exclude, numeric=numeric, categorical=categorical)
     fill = medians_and_modes(rows, routing)
     scale = scales(rows, routing, fill)
@@ -134,16 +135,10 @@ def fit_preprocessor(rows: DataFrame, *, exclude: tuple[str, ...] = (), output:
         inputs.append(f"_n{k}")
     for k, c in enumerate(routing.categorical):
         parts.append(f"coalesce(cast(`{c}` AS string), {_literal(str(fill[c]))}) AS _c{k}")
-    stages = [SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")]
-    if routing.categorical:
-        held = range(len(routing.categorical))
-        stages += [
-            StringIndexer(inputCols=[f"_c{k}" for k in held], outputCols=[f"_i{k}" for k in held], handleInvalid="keep", stringOrderType="alphabetAsc"),
-            # the slot that is left out is that of unseen values
-            OneHotEncoder(inputCols=[f"_i{k}" for k in held], outputCols=[f"_o{k}" for k in held], dropLast=True)]
-        inputs += [f"_o{k}" for k in held]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=output))
-    return Pipeline(stages=stages).fit(rows)
+    held = build_dictionary(rows, [F.col(f"`{c}`").cast("string") for c in routing.categorical], routing.categorical) if routing.categorical else None
+    encoder = CategoryEncoder(numericCols=inputs, categoryCols=[f"_c{k}" for k in range(len(routing.categorical))], outputCol=output,
+                              **({"sizes": held.sizes, "bytes": held.bytes, "dictionary": held.path} if held else {}))
+    return PipelineModel([SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__"), encoder])
 
 
 def one_hot_long(rows: DataFrame, train: DataFrame, columns: list[str], id_column: str) -> DataFrame:

@@ -209,6 +209,20 @@ def one_hot_long(spark, sf_dir):
     return preprocess.one_hot_long(test, train, list(_CATEGORICAL), "loan_id")
 
 
+_SLOTS = ", ".join(f"({k}, '{c}')" for k, c in enumerate(_CATEGORICAL))
+
+
+@_query("one_hot_fitted", ORACLE_SQL["one_hot_long"].split("SELECT loan_id, col AS")[0] + f""", places(k, col) AS (VALUES {_SLOTS}),
+  slots AS (SELECT col, category, row_number() OVER (ORDER BY k, category) - 1 + {len(_NUMERIC)} AS slot FROM seen JOIN places USING (col))
+  SELECT loan_id, CAST(slot AS INT) AS slot FROM long JOIN slots USING (col, category)""")
+def one_hot_fitted(spark, sf_dir):
+    """The slots of the fitted preprocessor's vectors that stand for categories and are 1."""
+    train, test = _split(spark, sf_dir)
+    model = preprocess.fit_preprocessor(train, exclude=("loan_id", "default_flag"))
+    slots = model.transform(test).select("loan_id", F.posexplode(vector_to_array("features")).alias("slot", "x"))
+    return slots.filter((F.col("slot") >= len(_NUMERIC)) & (F.col("x") == 1)).select("loan_id", "slot")
+
+
 @_query("class_weights", f"""WITH {_TRAIN_SQL}, c AS (SELECT default_flag AS label, count(*) AS total FROM train GROUP BY 1)
   SELECT CAST(label AS INT) AS label, total, round((SELECT sum(total) FROM c) / (2 * total), 6) AS weight FROM c""")
 def class_weights(spark, sf_dir):
