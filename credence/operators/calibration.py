@@ -5,16 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.operators.evaluation import score_counts
-from credence.operators.prefix import Profile, profile, running_totals, with_range
+from credence.operators.isotonic import fit_isotonic
+from credence.operators.prefix import Profile, profile, running_totals
 
 
 def order_statistics(counts: DataFrame, ranks: list[int], known: Profile | None = None) -> dict[int, float]:
@@ -79,33 +78,6 @@ def _raw_score(use_margin: bool):
     return vector_to_array(F.col("rawPrediction" if use_margin else "probability"))[1]
 
 
-def _pooled(table: pd.DataFrame) -> pd.DataFrame:
-    """Blocks of one range: neighbours whose rates fall are pooled, until rates rise."""
-    table = table.sort_values("_score")
-    blocks: list[list] = []  # first score, last score, positives, total
-    for score, positives, total in zip(table["_score"], table["positives"], table["total"]):
-        blocks.append([score, score, int(positives), int(total)])
-        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
-            _, last, positives, total = blocks.pop()
-            blocks[-1][1:] = [last, blocks[-1][2] + positives, blocks[-1][3] + total]
-    rows = []
-    for first, last, positives, total in blocks:
-        ends = [first] if first == last else [first, last]
-        rows += [(e, positives / total, total / len(ends)) for e in ends]
-    return pd.DataFrame(rows, columns=["_score", "rate", "weight"])
-
-
-def pooled(counts: DataFrame) -> DataFrame:
-    """(_score, rate, weight): the ends of blocks, pooled range by range.
-
-    Pooling within ranges first leaves the isotonic fit of all as it is, and few rows for
-    the final fit, which is one task's.
-    """
-    marks = profile(counts, "_score").marks
-    return with_range(counts, "_score", marks).groupBy("_range").applyInPandas(
-        lambda table: _pooled(table), "_score double, rate double, weight double")
-
-
 def calibrate_scores(scored: DataFrame, *, method: str = "isotonic", label: str = "label", score: str = "score") -> Any:
     """A calibrator of column `_score` fitted on distinct scores with weights.
 
@@ -116,8 +88,7 @@ def calibrate_scores(scored: DataFrame, *, method: str = "isotonic", label: str
         raise ValueError("Unknown calibration method; there are `isotonic` and `sigmoid`.")
     counts = score_counts(scored, label, score).withColumnRenamed("score", "_score")
     if method == "isotonic":
-        rows = pooled(counts)
-        return IsotonicRegression(featuresCol="_score", labelCol="rate", weightCol="weight", predictionCol="_calibrated").fit(rows)
+        return fit_isotonic(counts, score="_score")
     sums = counts.agg(F.sum("positives").alias("p"), F.sum("total").alias("n")).first()
     p, n = sums["p"] or 0, sums["n"] or 0
     high, low = (p + 1) / (p + 2), 1 / (n - p + 2)

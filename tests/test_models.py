@@ -10,7 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from credence.operators import calibration, evaluation, models, preprocess
+from credence.operators import calibration, evaluation, isotonic, models, preprocess
 from credence.operators.evaluation import CostMatrix
 from credence.operators.prefix import running_totals
 from credence.operators.split import time_split
@@ -222,12 +222,61 @@ def test_parameters_go_through(spark):
         models.train_boosted_trees(train, config={"reg_lambda": 2})
 
 
+def test_chains_merge_to_the_fit_of_all():
+    """Blocks of any split into segments, against one pass with a stack; worst cases and equal rates included."""
+    rng = random.Random(1)
+    for trial in range(600):
+        n = rng.randint(1, 40)
+        total = [rng.randint(1, rng.choice([1, 3, 50])) for _ in range(n)]
+        positives = [rng.randint(0, t) for t in total]
+        if trial % 7 == 0:  # rising rates and a last one that pools many
+            total, positives = [100] * n, [*sorted(positives)[:-1], 0]
+        stack = []
+        for p, t in zip(positives, total):
+            stack.append([p, t, 1])
+            while len(stack) > 1 and stack[-2][0] * stack[-1][1] >= stack[-1][0] * stack[-2][1]:
+                stack[-2:] = [[x + y for x, y in zip(*stack[-2:])]]
+        for segment in (1, 3, 256):
+            held = isotonic.chain(np.arange(n, dtype=float), np.array(positives), np.array(total), segment)
+            blocks = []
+            for p, t, size in zip(held.positives.tolist(), held.total.tolist(), (held.last - held.first + 1).astype(int).tolist()):
+                if blocks and blocks[-1][0] * t == p * blocks[-1][1]:  # equal rates may stay apart
+                    p, t, size = (x + y for x, y in zip(blocks.pop(), (p, t, size)))
+                blocks.append([p, t, size])
+            assert blocks == stack
+    # the most blocks that rows can make: every fraction once
+    fractions = sorted((p / t, p, t) for t in range(1, 60) for p in range(t + 1) if math.gcd(p, t) == 1)
+    rows = sum(t for _, _, t in fractions)
+    held = isotonic.chain(np.arange(len(fractions), dtype=float), *(np.array([f[k] for f in fractions]) for k in (1, 2)))
+    assert len(held) == len(fractions) <= 0.9 * rows ** (2 / 3) + 10
+
+
+def test_isotonic_points_are_saved(spark, tmp_path):
+    counts = spark.createDataFrame([(0.1, 0, 4), (0.2, 3, 4), (0.3, 1, 4), (0.9, 4, 4)], "score double, positives long, total long")
+    fitted = isotonic.fit_isotonic(counts)
+    fitted.save(spark, str(tmp_path / "points"))
+    rows = spark.createDataFrame([(0.0,), (0.15,), (0.25,), (0.6,), (2.0,), (None,)], "_score double")
+    for held in (fitted, isotonic.IsotonicCalibrator.load(spark, str(tmp_path / "points"))):
+        assert [r["_calibrated"] for r in held.transform(rows).collect()] == [0.0, pytest.approx(0.25), 0.5, pytest.approx(0.75), 1.0, None]
+    with pytest.raises(ValueError):
+        isotonic.fit_isotonic(counts.limit(0))
+
+
 def test_pooling_by_ranges_keeps_the_isotonic_fit(spark):
     rng = random.Random(2)
     pairs = [(int(rng.random() < s), s) for s in (round(rng.random(), 4) for _ in range(3000))]
     counts = evaluation.score_counts(spark.createDataFrame(pairs, "label int, score double")).withColumnRenamed("score", "_score")
-    few = calibration.pooled(counts)
-    assert few.count() < counts.count() / 3 and few.agg(F.sum("weight")).first()[0] == pytest.approx(3000)
+    few = isotonic.minorant(counts, score="_score")
+    assert few.count() < counts.count() / 3 and few.agg(F.sum("total")).first()[0] == 3000
+
+    def rates(blocks):
+        out = {}
+        for r in blocks.collect():  # blocks of one rate may stay apart
+            p, t = out.get(round(r["positives"] / r["total"], 12), (0, 0))
+            out[round(r["positives"] / r["total"], 12)] = (p + r["positives"], t + r["total"])
+        return out
+
+    assert rates(isotonic.minorant(counts, score="_score", ranges=40)) == rates(few)
     want, merged = [], []
     for score, positives, total in counts.orderBy("_score").select("_score", "positives", "total").collect():
         merged.append([positives, total, [score]])
