@@ -28,11 +28,13 @@ def split_stats(loans: DataFrame, *, date_column: str, train_end_date: str, test
         F.count_if(date.isNull()).alias("missing_dates"))
 
 
-def time_split(loans: DataFrame, *, date_column: str, train_end_date: str, test_start_date: str, check: bool = True) -> TimeSplit:
+def time_split(loans: DataFrame, *, date_column: str, train_end_date: str, test_start_date: str, check: bool = True, year_column: str | None = None) -> TimeSplit:
     """Rows up to the train end (that moment included) and rows from the test start on.
 
     Rows between the two are in neither. The date column is dropped. With `check`, one
-    aggregation finds missing dates and empty sides and raises ValueError.
+    aggregation finds missing dates and empty sides and raises ValueError. `year_column`: the
+    year of the date, by which the table is partitioned; then each side reads just its years'
+    files, and that column is dropped too.
     """
     if date_column not in loans.columns:
         raise KeyError(f"There is no date column `{date_column}`.")
@@ -47,5 +49,10 @@ def time_split(loans: DataFrame, *, date_column: str, train_end_date: str, test_
             raise ValueError(f"One side of the split has no rows. {seen}"
                              f"Rows by side: train {s['train_rows']}, test {s['test_rows']}.")
     date = F.col(date_column).try_cast("timestamp_ntz")
-    end, start = F.lit(_moment(train_end_date)).cast("timestamp_ntz"), F.lit(_moment(test_start_date)).cast("timestamp_ntz")
-    return TimeSplit(loans.filter(date <= end).drop(date_column), loans.filter(date >= start).drop(date_column))
+    end, start = _moment(train_end_date), _moment(test_start_date)
+    of_train, of_test = date <= F.lit(end).cast("timestamp_ntz"), date >= F.lit(start).cast("timestamp_ntz")
+    drop = [date_column]
+    if year_column is not None:
+        of_train, of_test = of_train & (F.col(year_column) <= end.year), of_test & (F.col(year_column) >= start.year)
+        drop.append(year_column)
+    return TimeSplit(loans.filter(of_train).drop(*drop), loans.filter(of_test).drop(*drop))

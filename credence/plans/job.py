@@ -8,6 +8,7 @@ import sys
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -19,10 +20,11 @@ from credence.operators.features import feature_matrix
 from credence.operators.labels import default_target, with_target
 from credence.operators.models import TRAINERS, score, train_model
 from credence.operators.policy import exclude_leaky_columns, select_origination_columns
-from credence.operators.split import time_split
+from credence.operators.split import TimeSplit, time_split
+from credence.plans.stages import Stages, input_files
 from credence.sources.config import config_argument
 from credence.sources.loans import load_loans
-from credence.sources.reports import write_curated, write_reports
+from credence.sources.reports import YEAR, read_curated, write_curated, write_reports
 
 
 def curate(loans: DataFrame) -> DataFrame:
@@ -31,39 +33,56 @@ def curate(loans: DataFrame) -> DataFrame:
             .transform(select_origination_columns).transform(feature_matrix))
 
 
-def curate_file(spark: SparkSession, path: str, output: str, *, schema_config: Mapping[str, Any] | None = None, date_column: str = "issue_d") -> None:
-    loans = load_loans(spark, path, column_aliases=(schema_config or {}).get("column_aliases"), date_column=date_column)
-    write_curated(curate(loans), output, date_column=date_column)
-
-
 def run_baseline(spark: SparkSession, raw_data_path: str, *, train_end_date: str, test_start_date: str, date_column: str = "issue_d",
                  output_dir: str = "reports", model_type: str = "logistic_regression", model_config: Mapping[str, Any] | None = None,
-                 schema_config: Mapping[str, Any] | None = None, cost_matrix: CostMatrix | None = None) -> ClassificationMetrics:
-    """Load, curate, split by date, fit, score the later loans, write model and reports."""
+                 schema_config: Mapping[str, Any] | None = None, cost_matrix: CostMatrix | None = None, merge_schema: bool = False) -> ClassificationMetrics:
+    """Load, curate, split by date, fit, score the later loans, write model and reports.
+
+    Curated loans, model and scores are stages below `output_dir`/stages: a run that is started again,
+    with the same input files and parameters, takes what is done and goes on from there. What
+    a stage reads is on disk, so a lost executor costs a re-read.
+    """
     if schema_config is not None and not isinstance(schema_config, Mapping):
         raise ValueError("Schema configuration must be a mapping.")
     if model_type not in TRAINERS:
         raise ValueError(f"Unknown model type; there are {sorted(TRAINERS)}.")
     cost_matrix = cost_matrix or CostMatrix()
-    loans = load_loans(spark, raw_data_path, column_aliases=(schema_config or {}).get("column_aliases"), date_column=date_column)
-    curated = curate(loans).persist(StorageLevel.MEMORY_AND_DISK)
-    counts = scored = None
+    output = output_dir.rstrip("/")
+    aliases = (schema_config or {}).get("column_aliases")
+    files = input_files(spark, raw_data_path)
+    if not files:
+        raise FileNotFoundError(f"There is no input at {raw_data_path}")
+    stages = Stages(spark, f"{output}/stages", files)
+
+    def curated_stage(path: str) -> None:
+        curated = curate(load_loans(spark, raw_data_path, column_aliases=aliases, date_column=date_column, merge_schema=merge_schema))
+        if date_column not in curated.columns:
+            raise KeyError(f"There is no date column `{date_column}`.")
+        write_curated(curated, path, date_column=date_column)
+
+    curated = stages.stage("curated", curated_stage, {"aliases": aliases, "date_column": date_column, "merge_schema": merge_schema})
+    dates = {"date_column": date_column, "train_end_date": train_end_date, "test_start_date": test_start_date}
+
+    def split(check: bool) -> TimeSplit:
+        return time_split(read_curated(spark, curated), **dates, year_column=YEAR, check=check)
+
+    fitted = stages.stage("model", lambda path: train_model(split(True).train, model_type, config=model_config).write().overwrite().save(path),
+                          {**dates, "model_type": model_type, "config": model_config})
+    model = PipelineModel.load(fitted)
+    model.write().overwrite().save(f"{output}/models/{model_type}")
+    scores = stages.stage("scores", lambda path: score(model, split(False).test).select(
+        F.col("default_flag").alias("label"), F.col("default_probability").alias("score")).write.parquet(path))
+    scored = spark.read.parquet(scores)
+    counts = score_counts(scored).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        split = time_split(curated, date_column=date_column, train_end_date=train_end_date, test_start_date=test_start_date)
-        model = train_model(split.train, model_type, config=model_config)
-        model.write().overwrite().save(f"{output_dir.rstrip('/')}/models/{model_type}")
-        scored = score(model, split.test).select(F.col("default_flag").alias("label"), F.col("default_probability").alias("score")).persist(StorageLevel.MEMORY_AND_DISK)
-        counts = score_counts(scored).persist(StorageLevel.MEMORY_AND_DISK)
         costs = threshold_costs(scored, cost_matrix=cost_matrix)
         # a report of one row
         row = metrics_report(counts, selected_threshold(costs)).first().asDict()
         payload = row | {"false_negative_cost": float(cost_matrix.false_negative_cost), "false_positive_cost": float(cost_matrix.false_positive_cost), "model_type": model_type}
         metrics = spark.createDataFrame([tuple(payload.values())], list(payload))
-        write_reports(output_dir, model_type, metrics=metrics, calibration=calibration_curve(counts), thresholds=costs)
+        write_reports(output, model_type, metrics=metrics, calibration=calibration_curve(counts), thresholds=costs)
     finally:
-        for frame in (counts, scored, curated):
-            if frame is not None:
-                frame.unpersist()
+        counts.unpersist()
     return ClassificationMetrics(**{k: row[k] for k in ClassificationMetrics.__dataclass_fields__})
 
 

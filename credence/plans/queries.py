@@ -17,9 +17,11 @@ from credence.operators.schema import normalize_credit_schema
 from credence.plans import job
 from credence.plans.job import curate
 from credence.plans.loan_view import LOANS_SQL, RAW_SQL, SCORED, SCORED_SQL, TEST_START, TRAIN_END, raw_loans
-from credence.sources import load_loans, read_metrics, read_raw_loans, read_report_rows, write_curated, write_reports
+from credence.plans.stages import input_files, newest_stage
+from credence.sources import load_loans, read_curated, read_metrics, read_raw_loans, read_report_rows, write_curated, write_reports
 from credence.sources.reports import CALIBRATION_SCHEMA, THRESHOLD_SCHEMA
 from credence.sources.storage import shared_folder
+from credence.streaming import landing
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -338,6 +340,37 @@ def curated_parquet(spark, sf_dir):
         F.avg("credit_utilization").alias("utilization"), F.count("loan_to_income_ratio").alias("with_income")))
 
 
+_REPLACED = 1998
+
+
+@_query("curated_replaced", f"""WITH {LOANS_SQL} SELECT CAST(year(issue_d) AS INT) AS issue_year, count(*) AS loans, count(*) FILTER (year(issue_d) = {_REPLACED}) AS corrected,
+  year(issue_d) <> {_REPLACED} AS same_files FROM loans GROUP BY year(issue_d)""")
+def curated_replaced(spark, sf_dir):
+    """One year of the curated table is replaced; the files of the others stay."""
+    path = _place(spark)
+    features = curate(_closed(spark, sf_dir))
+    write_curated(features, path)
+    files = lambda: read_curated(spark, path).select("issue_year", F.col("_metadata.file_name").alias("file")).groupBy("issue_year").agg(F.sort_array(F.collect_set("file")).alias("files"))
+    before = {r["issue_year"]: r["files"] for r in files().collect()}  # a row per year
+    write_curated(features.filter(F.year("issue_d") == _REPLACED).withColumn("grade", F.lit("Z")), path, replace_years=True)
+    same = [(r["issue_year"], before[r["issue_year"]] == r["files"]) for r in files().collect()]
+    found = read_curated(spark, path).groupBy("issue_year").agg(F.count(F.lit(1)).alias("loans"), F.count_if(F.col("grade") == "Z").alias("corrected"))
+    return found.join(spark.createDataFrame(same, "issue_year int, same_files boolean"), "issue_year")
+
+
+for _side in ("train", "test"):
+    _query(f"split_curated_{_side}", f"""WITH {_TRAIN_SQL} SELECT grade, fico_band, count(*) AS loans, sum(default_flag)::BIGINT AS defaults, round(sum(loan_amnt), 2) AS amount
+      FROM {_side} GROUP BY ALL""")(lambda spark, sf_dir, side=_side: _split_curated(spark, sf_dir, side))
+
+
+def _split_curated(spark, sf_dir, side: str) -> DataFrame:
+    """A split of the written table, which reads the files of its own years."""
+    path = _place(spark)
+    write_curated(curate(_closed(spark, sf_dir)), path)
+    rows = getattr(split.time_split(read_curated(spark, path), date_column="issue_d", train_end_date=TRAIN_END, test_start_date=TEST_START, year_column="issue_year"), side)
+    return rows.groupBy("grade", "fico_band").agg(F.count(F.lit(1)).alias("loans"), F.sum("default_flag").alias("defaults"), F.round(F.sum("loan_amnt"), 2).alias("amount"))
+
+
 def _written(spark, sf_dir) -> dict[str, str]:
     """The reports of the scored loans."""
     scored = SCORED["loans"](spark, sf_dir)
@@ -441,24 +474,36 @@ _query("sigmoid_calibration", f"""WITH RECURSIVE {_COUNTS.format(SCORED_SQL["loa
 
 # ---------------------------------------------------------------- whole jobs
 
-_JOB_SQL = f"""WITH {_TRAIN_SQL} SELECT 'MODEL' AS model_type, 5.0::DOUBLE AS false_negative_cost, round(avg(default_flag), 6) AS default_rate, true AS bounded, 99 AS thresholds,
-  sum(default_flag)::BIGINT AS defaults, count(*) AS loans, true AS curve FROM test"""
+#: The metrics of scores in SQL, by windows over their order: what the reports of a job must say.
+_SCORES_SQL = """WITH ordered AS (
+  SELECT label, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS place, sum(label) OVER (ORDER BY score DESC) AS tp,
+    count(*) OVER (ORDER BY score DESC) AS above, row_number() OVER (PARTITION BY score ORDER BY label) AS first FROM scores),
+  sums AS (SELECT sum(label) AS p, count(*) - sum(label) AS n FROM scores),
+  steps AS (SELECT score, max(tp) AS tp, max(above) AS above, sum(label) AS own FROM ordered GROUP BY score)
+  SELECT (SELECT (sum(CASE WHEN label = 1 THEN place END) - max(p) * (max(p) + 1) / 2) / max(p) / max(n) FROM ordered, sums) AS auc_roc,
+    (SELECT sum(own / p * tp / above) FROM steps, sums) AS average_precision, (SELECT max(abs(tp / p - (above - tp) / n)) FROM steps, sums) AS ks_statistic,
+    (SELECT avg(power(score - label, 2)) FROM scores) AS brier_score"""
+_CHECKED = ("auc_roc", "average_precision", "ks_statistic", "brier_score")
+_JOB_SQL = f"""WITH {_TRAIN_SQL} SELECT 'MODEL' AS model_type, 5.0::DOUBLE AS false_negative_cost, round(avg(default_flag), 6) AS default_rate, 99 AS thresholds,
+  sum(default_flag)::BIGINT AS defaults, count(*) AS loans, true AS curve, count(*) AS scores, sum(default_flag)::BIGINT AS labels, {", ".join(f"true AS {c}" for c in _CHECKED)}, true AS better_than_chance FROM test"""
 
 
 def _reports(spark, output: str, model_type: str) -> DataFrame:
-    """What the reports of a run say of the later loans, and whether its metrics are within 0 and 1."""
+    """What the reports of a run say of the later loans, and whether its metrics are those that SQL finds in the scores it wrote."""
     at = f"{output}/metrics/{model_type}_"
     metrics = read_metrics(spark, f"{at}metrics.json")
-    rates = ("auc_roc", "average_precision", "ks_statistic", "brier_score", "default_rate", "approval_rate", "selected_threshold")
+    scores = spark.read.parquet(newest_stage(spark, f"{output}/stages", "scores"))
+    again = spark.sql(_SCORES_SQL.replace("FROM scores", "FROM {scores}"), scores=scores).select(*[F.col(c).alias(f"sql_{c}") for c in _CHECKED])
     costs = read_report_rows(spark, f"{at}threshold_costs.csv", THRESHOLD_SCHEMA).agg(
         F.count(F.lit(1)).cast("int").alias("thresholds"), F.max(F.col("true_positives") + F.col("false_negatives")).alias("defaults"),
         F.min(F.col("true_positives") + F.col("false_negatives") + F.col("true_negatives") + F.col("false_positives")).alias("loans"))
     curve = read_report_rows(spark, f"{at}calibration.csv", CALIBRATION_SCHEMA).agg((F.count(F.lit(1)).between(1, 10)).alias("curve"))
-    bounded = F.lit(True)
-    for r in rates:
-        bounded = bounded & F.col(r).between(0, 1)
-    one = metrics.select("model_type", "false_negative_cost", F.round("default_rate", 6).alias("default_rate"), bounded.alias("bounded"))
-    return one.join(F.broadcast(costs), F.lit(True)).join(F.broadcast(curve), F.lit(True))  # one row each
+    sums = scores.agg(F.count(F.lit(1)).alias("scores"), F.sum("label").cast("bigint").alias("labels"))
+    joined = metrics
+    for one in (again, costs, curve, sums):  # one row each
+        joined = joined.join(F.broadcast(one), F.lit(True))
+    return joined.select("model_type", "false_negative_cost", F.round("default_rate", 6).alias("default_rate"), "thresholds", "defaults", "loans", "curve", "scores", "labels",
+                         *[(F.abs(F.col(c) - F.col(f"sql_{c}")) < 1e-9).alias(c) for c in _CHECKED], (F.col("auc_roc") > 0.4).alias("better_than_chance"))
 
 
 _DATES = {"train_end_date": TRAIN_END, "test_start_date": TEST_START}
@@ -476,13 +521,40 @@ def submitted_job(spark, sf_dir):
     """The command line, with parameters of its own."""
     output = _place(spark)
     code = job.main([_landed(spark, sf_dir, "csv"), "--train-end-date", TRAIN_END, "--test-start-date", TEST_START, "--output-dir", output,
-                     "--model-type", "boosted_trees", "--model-config", '{"n_estimators": 5}'])
+                     "--model-type", "boosted_trees", "--model-config", '{"max_depth": 3}'])
     if code:
         raise RuntimeError("The job failed.")
     return _reports(spark, output, "boosted_trees")
 
 
-@_query("landed_csv_job", f"""WITH {_TRAIN_SQL} SELECT unnest(['auc_roc', 'average_precision', 'ks_statistic']) AS metric, count(*) > 0 AS bounded FROM test""")
+@_query("landed_csv_job", _JOB_SQL.replace("MODEL", "logistic_regression"))
 def landed_csv_job(spark, sf_dir):
-    found = job.refresh_reports(spark, _landed(spark, sf_dir, "csv"), output_dir=_place(spark), model_config={"max_iter": 20}, **_DATES)
-    return spark.createDataFrame([(k, 0 <= v <= 1) for k, v in found.items()], "metric string, bounded boolean")
+    output = _place(spark)
+    job.refresh_reports(spark, _landed(spark, sf_dir, "csv"), output_dir=output, **_DATES)
+    return _reports(spark, output, "logistic_regression")
+
+
+@_query("landing_folder", _JOB_SQL.replace("MODEL", "logistic_regression").replace(" FROM test", """,
+  (SELECT count(*) FROM raw) AS taken_in, (SELECT count(*) FROM raw WHERE k % 40 = 0) AS odd_records, 1::BIGINT AS odd_files FROM test"""))
+def landing_folder(spark, sf_dir):
+    """Loans land in two lots, one of which lands again under another name; records that do not fit and a file without a header go to quarantine."""
+    folder, table, output, checkpoint = (_place(spark) for _ in range(4))
+    rows, k = raw_loans(spark, sf_dir), F.col("loan_id")
+    for name, lot in (("first", rows.filter(k % 2 == 0)), ("second", rows.filter(k % 2 == 1))):
+        lot.write.csv(f"{folder}/{name}", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    odd = rows.filter(k % 40 == 0).select(F.concat_ws(",", k.cast("string"), F.lit("Current"), F.lit("one too many")).alias("value"))
+    head = spark.createDataFrame([("loan_id,status",)], "value string")
+    head.union(odd).coalesce(1).write.text(f"{folder}/odd")
+    spark.createDataFrame([("nothing",), ("1",)], "value string").coalesce(1).write.text(f"{folder}/plain")
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    system = files.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in ("odd", "plain"):  # texts as .csv files
+        for f in input_files(spark, f"{folder}/{name}"):
+            if f[0].endswith(".txt"):
+                system.rename(files.Path(f[0]), files.Path(f[0].removesuffix(".txt") + ".csv"))
+    landing.take_in_folder(spark, folder, table, checkpoint)
+    files.FileUtil.copy(system, files.Path(f"{folder}/first"), system, files.Path(f"{folder}/again"), False, spark.sparkContext._jsc.hadoopConfiguration())
+    landing.refresh_from_folder(spark, folder, table, checkpoint, output_dir=output, **_DATES)
+    taken = spark.read.option("mergeSchema", True).parquet(f"{table}/loans.parquet").agg(F.count(F.lit(1)).alias("taken_in"))
+    rejects = spark.read.parquet(f"{table}/rejects.parquet").agg(F.count_if(F.col("reason") == "record").alias("odd_records"), F.count_if(F.col("reason") == "header").alias("odd_files"))
+    return _reports(spark, output, "logistic_regression").join(F.broadcast(taken), F.lit(True)).join(F.broadcast(rejects), F.lit(True))  # one row each

@@ -42,21 +42,21 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return records.select([missing_to_null(F.get("fields", F.lit(k))).alias(name) for k, name in enumerate(csv_columns(header))])
 
 
-def read_raw_loans(spark: SparkSession, path: str) -> DataFrame:
-    """By suffix, case aside: .csv, or .parquet / .pq."""
+def read_raw_loans(spark: SparkSession, path: str, *, merge_schema: bool = False) -> DataFrame:
+    """By suffix, case aside: .csv, or .parquet / .pq. `merge_schema`: Parquet files may differ in their columns."""
     if not _exists(spark, path):
         raise FileNotFoundError(f"There is no input at {path}")
     suffix = path.rstrip("/").rpartition(".")[2].lower()
     if suffix == "csv":
         return read_csv(spark, path)
     if suffix in ("parquet", "pq"):
-        return spark.read.parquet(path)
+        return spark.read.option("mergeSchema", merge_schema).parquet(path)
     raise ValueError("A raw loan table must end in .csv, .parquet or .pq.")
 
 
 def load_loans(spark: SparkSession, path: str, *, closed_statuses: Iterable[str] = CLOSED_STATUSES,
-               column_aliases: Mapping[str, Any] | None = None, date_column: str = "issue_d") -> DataFrame:
+               column_aliases: Mapping[str, Any] | None = None, date_column: str = "issue_d", merge_schema: bool = False) -> DataFrame:
     """Closed loans under canonical names with parsed issue dates."""
-    raw = read_raw_loans(spark, path)
+    raw = read_raw_loans(spark, path, merge_schema=merge_schema)
     return closed_loans(normalize_credit_schema(raw, column_aliases=column_aliases, date_column=date_column),
                         closed_statuses=closed_statuses)

@@ -34,10 +34,22 @@ def read_report_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows
 
 
-def write_curated(features: DataFrame, path: str, *, date_column: str = "issue_d", rows_per_file: int = 2_000_000) -> None:
-    """Parquet by issue year. Rows are rebalanced by year, so that files are few and of an
-    even size: adaptive execution gives a year with most of the loans as many tasks as its
-    size needs. Files have a bounded number of rows."""
-    dated = features.withColumn("issue_year", F.year(date_column))
-    (dated.hint("rebalance", "issue_year").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
-     .partitionBy("issue_year").parquet(path))
+YEAR = "issue_year"
+
+
+def write_curated(features: DataFrame, path: str, *, date_column: str = "issue_d", rows_per_file: int = 2_000_000, replace_years: bool = False) -> None:
+    """Parquet by issue year, files sorted by date and with a bounded number of rows.
+
+    Rows are rebalanced by year, so that files are few and of an even size: adaptive execution
+    gives a year with most of the loans as many tasks as its size needs. With `replace_years`
+    just the years of `features` are replaced, and other years' files stay as they are.
+    """
+    dated = features.withColumn(YEAR, F.year(date_column))
+    rows = dated.hint("rebalance", YEAR).sortWithinPartitions(YEAR, date_column)
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if replace_years else "static")
+     .option("maxRecordsPerFile", rows_per_file).partitionBy(YEAR).parquet(path))
+
+
+def read_curated(spark: SparkSession, path: str) -> DataFrame:
+    """The curated table, its partitions as the column `issue_year`: a split by date should be given that column and takes it off."""
+    return spark.read.parquet(path)
