@@ -111,7 +111,7 @@ def average_precision(counts: DataFrame) -> DataFrame:
 
 
 def precision_recall(counts: DataFrame) -> DataFrame:
-    """One row per distinct score as threshold, and the end point without one; by threshold.
+    """One row per distinct score as threshold, ascending, and last the end point without one.
 
     Without positives the recall is 1 throughout.
     """
@@ -123,7 +123,7 @@ def precision_recall(counts: DataFrame) -> DataFrame:
     points = over.select(F.col("score").alias("threshold"), (F.col("above_positives") / F.col("above")).alias("precision"), recall.alias("recall"))
     end = counts.sparkSession.createDataFrame([(None, 1.0, 0.0)], "threshold double, precision double, recall double")
     one = F.broadcast(ap.withColumn("_one", F.lit(1)))
-    return points.union(end).withColumn("_one", F.lit(1)).join(one, "_one").drop("_one")
+    return points.union(end).withColumn("_one", F.lit(1)).join(one, "_one").drop("_one").orderBy(F.asc_nulls_last("threshold"))
 
 
 def brier_score(counts: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from credence.plans.stages import input_files, newest_stage
 from credence.sources import load_loans, read_curated, read_metrics, read_raw_loans, read_report_rows, write_curated, write_reports
 from credence.sources.reports import CALIBRATION_SCHEMA, THRESHOLD_SCHEMA
 from credence.sources.storage import shared_folder
-from credence.streaming import landing
+from credence.streaming import curate_stream, landing
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -340,6 +340,17 @@ def curated_parquet(spark, sf_dir):
         F.avg("credit_utilization").alias("utilization"), F.count("loan_to_income_ratio").alias("with_income")))
 
 
+@_query("curated_stream", f"""WITH {LOANS_SQL} SELECT grade, fico_band, term, count(*) AS loans, sum(default_flag)::BIGINT AS defaults, round(avg(dti_clean), 6) AS dti FROM loans GROUP BY ALL""")
+def curated_stream(spark, sf_dir):
+    """Raw loans that arrive as files are curated by a stream, which takes in what is there and ends."""
+    landed, path = _landed(spark, sf_dir, "parquet"), _place(spark)
+    raw = spark.readStream.schema(spark.read.parquet(landed).schema).parquet(landed)
+    query = (curate_stream(raw).writeStream.format("parquet").option("path", path).option("checkpointLocation", _place(spark)).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return _rounded(spark.read.parquet(path).groupBy("grade", "fico_band", "term").agg(
+        F.count(F.lit(1)).alias("loans"), F.sum("default_flag").alias("defaults"), F.avg("dti_clean").alias("dti")))
+
+
 _REPLACED = 1998
 
 
