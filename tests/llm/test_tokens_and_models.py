@@ -400,6 +400,26 @@ def test_pipeline(spark, tmp_path):
     assert near_dedup.SIMILARITY == 75 and quality_rules.REJECT_ODDS == 1
 
 
+def test_pipeline_with_names_that_clash(spark, tmp_path):
+    """Further columns, with dots and with names that stages use themselves, go through all stages and change nothing."""
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(90))
+    docs = [*enumerate([text(), text(), text() + " token = abcdef0123456789"]), (7, "short"), (8, None)]
+    docs.append((9, docs[0][1]))
+    plain = table(spark, docs)
+    extra = plain
+    for name in ("meta.lang", "record", "carried", "h", "row", "kept", "`q`"[1:-1], "x y", "id", "n", "soft"):
+        extra = extra.withColumn(name, F.lit(f"own {name}"))
+    plain.write.parquet(str(tmp_path / "plain" / "documents.parquet"))
+    extra.write.parquet(str(tmp_path / "extra" / "documents.parquet"))
+    frame = spark.read.parquet(str(tmp_path / "extra" / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, str(tmp_path / "extra"))
+        assert frame.columns == extra.columns and {r["meta.lang"] for r in frame.collect()} == {"own meta.lang"}
+    want, got = (sorted((*tuple(r)[:4], bytes(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path / k)).collect()) for k in ("plain", "extra"))
+    assert want == got and len(got) == 3
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     for k, docs in enumerate(([], [(1, None), (1, None), (None, "")])):
         table(spark, docs).write.parquet(str(tmp_path / f"{k}" / "documents.parquet"))
