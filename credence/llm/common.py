@@ -13,11 +13,13 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _delete(spark, shared_dir(spark) + name)
 
 
+def finished(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query whose result is written, after which the tables that it needed on the way are deleted."""
+    @wraps(make)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scratch(spark):
+            return materialize(make(spark, sf_dir), "result", scoped=False)
+
+    return query
+
+
 def drop_files(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
     spark = df.sparkSession
@@ -131,30 +143,19 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(raw ^ ((ends - starts).astype(np.uint64) * _Q))
 
 
-class _Digests(dict):
-    """64 bits of BLAKE2 of each word that is asked for; short words are kept up to a number."""
-
-    KEPT, LONGEST = 1 << 18, 64
-
-    def __missing__(self, word: bytes) -> int:
-        digest = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= self.LONGEST:
-            if len(self) >= self.KEPT:
-                self.clear()
-            self[word] = digest
-        return digest
-
-
-_digests = _Digests()
+#: Key of the words' digests: sixteen characters.
+_KEY = "credence-corpora"
 
 
 def word_digests(words: list[bytes]) -> np.ndarray:
-    """A 64-bit digest of each word, without structure that a text could be built to exploit.
+    """64 bits of SipHash of each word, without structure that a text could be built to exploit.
 
     Where a hash decides, use these: sums of powers modulo 2**64, as in `word_hashes`, are equal
     for some pairs of long words whatever the multiplier.
     """
-    return np.fromiter(map(_digests.__getitem__, words), np.uint64, len(words))
+    if not words:
+        return np.zeros(0, np.uint64)
+    return pd.util.hash_array(np.array(words, object), hash_key=_KEY, categorize=False)
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -25,20 +25,20 @@ and lose the same lines.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credence.llm.common import documents, materialize, mix, text_digest, word_digests
+from credence.llm.common import documents, finished, materialize, mix, text_digest, white_space, word_digests, word_spans
 
 UNITS = 8
-#: Words of lines that are hashed together.
-TOGETHER = 1 << 15
+#: Bytes of short texts that are taken together.
+TOGETHER = 1 << 18
 _PRIME = (1 << 61) - 1
 #: Multipliers of the two polynomials.
 _BASES = (0x0B7E151628AED2A7, 0x1C90FDAA22168C23)
@@ -106,12 +106,11 @@ class _Sums:
     def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix(_times(self._between(start, end), self.inverse[start]) + ((end - start).astype(np.uint64) << _61) + (end - start).astype(np.uint64) * _SECOND)
 
-    def without(self, n: int) -> np.ndarray:
-        """Hashes of all n units with each one left out in turn, as `part` has them."""
-        gap = np.arange(n)
-        raw = _folded(self._between(0, gap) + _times(self._between(gap + 1, n), self.inverse[1]))
-        left = np.full(n, n - 1, np.uint64)
-        return mix(raw + (left << _61) + left * _SECOND)
+    def without(self, first: np.ndarray, last: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """Hashes of first..last with the unit at the gap left out, as `part` has them."""
+        raw = _folded(self._between(first, gap) + _times(self._between(gap + 1, last), self.inverse[1]))
+        left = (last - first - 1).astype(np.uint64)
+        return mix(_times(raw, self.inverse[first]) + (left << _61) + left * _SECOND)
 
 
 def _halves(sums: _Sums, first: np.ndarray, last: np.ndarray, kind: int) -> np.ndarray:
@@ -125,47 +124,55 @@ def _halves(sums: _Sums, first: np.ndarray, last: np.ndarray, kind: int) -> np.n
     return np.stack(out, axis=1)
 
 
+def _spaced(buf: np.ndarray) -> tuple[np.ndarray, bytes, np.ndarray]:
+    """Where the words of a text start, the words with one space after each, and where each begins there."""
+    starts, ends = word_spans(buf)
+    white = white_space(buf)
+    kept = ~white
+    kept[1:] |= ~white[:-1]
+    spaced = np.where(white, 32, buf).astype(np.uint8)[kept].tobytes() + b" "
+    return starts, spaced, np.append(0, np.cumsum(ends - starts + 1))
+
+
 def _lines(docs: DataFrame, units: int) -> DataFrame:
     """id, h, line, 128 bits of digest, keys of the halves of lines that may have near ones."""
-    def hashed(rows: list[int], numbers: list[int], lines: list[list[bytes]]) -> tuple[pa.Array, list[pa.Array]]:
-        last = np.cumsum([len(words) for words in lines])
-        first = np.append(0, last[:-1])
-        texts = [b" ".join(words) for words in lines]
-        one, two = zip(*map(text_digest, texts))
-        halves = _halves(_Sums(word_digests(list(chain.from_iterable(lines)))), first, last, 0)
+    def hashed(texts: list[bytes]) -> tuple[np.ndarray, list[pa.Array]] | None:
+        """Of some texts end to end, each from a new line on: the text and the columns of each line with words."""
+        together = b"\n".join(texts)
+        buf = np.frombuffer(together, np.uint8)
+        starts, spaced, at = _spaced(buf)
+        if not len(starts):
+            return None
+        breaks = np.flatnonzero(buf == 10)
+        lines, first = np.unique(np.searchsorted(breaks, starts), return_index=True)
+        last = np.append(first[1:], len(starts))
+        sizes = np.array([len(t) for t in texts], np.int64)
+        new = np.searchsorted(breaks, np.cumsum(sizes + 1) - sizes - 1)  # the line that each text begins with
+        row = np.searchsorted(new, lines, side="right") - 1
+        own = [spaced[s : e - 1] for s, e in zip(at[first].tolist(), at[last].tolist())]
+        one, two = zip(*map(text_digest, own))
+        halves = _halves(_Sums(word_digests(together.split())), first, last, 0)
         few = last - first < units
         told = ~few
         if few.any():  # the characters of all short lines end to end
-            marks = [_decoded(texts[k]) for k in np.flatnonzero(few).tolist()]
-            last = np.cumsum([len(m) for m in marks])
-            first = np.append(0, last[:-1])
-            halves[few] = _halves(_Sums(_characters("".join(marks))), first, last, 1)
-            told[few] = last - first >= units
+            marks = [_decoded(own[k]) for k in np.flatnonzero(few).tolist()]
+            until = np.cumsum([len(m) for m in marks])
+            since = np.append(0, until[:-1])
+            halves[few] = _halves(_Sums(_characters("".join(marks))), since, until, 1)
+            told[few] = until - since >= units
         offsets = np.append(0, np.cumsum(np.where(told, halves.shape[1], 0))).astype(np.int32)
         held = pa.ListArray.from_arrays(pa.array(offsets), pa.array(halves[told].ravel().view(np.int64)))
-        return pa.array(rows), [pa.array(numbers, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), held]
+        return row, [pa.array(lines - new[row], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), held]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "h", "line", "h1", "h2", "halves"]
         for batch in batches:
-            rows, numbers, lines, size = [], [], [], 0
-
-            def done() -> pa.RecordBatch:
-                taken, columns = hashed(rows, numbers, lines)
-                ids = batch.select([0, 1]).take(taken)
-                return pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), *columns], names=names)
-
-            for row, text in enumerate(batch.column(2)):
-                for number, words in _lines_of(text.as_py()):
-                    rows.append(row)
-                    numbers.append(number)
-                    lines.append(words)
-                    size += len(words)
-                    if size >= TOGETHER:
-                        yield done()
-                        rows, numbers, lines, size = [], [], [], 0
-            if rows:
-                yield done()
+            sizes = np.array(pc.fill_null(pc.binary_length(batch.column(2)), 0), np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // TOGETHER)) + 1
+            for at, until in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                made = hashed([x or b"" for x in batch.column(2)[at:until].to_pylist()])
+                if made:
+                    ids = batch.select([0, 1]).take(pa.array(made[0] + at))
+                    yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), *made[1]], names=["id", "h", "line", "h1", "h2", "halves"])
 
     return docs.mapInArrow(found, "id bigint, h bigint, line bigint, h1 bigint, h2 bigint, halves array<bigint>")
 
@@ -202,21 +209,24 @@ def _variants(sequences: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                keys: tuple[list, list] = ([], [])
-                sizes = []
-                for kind, line in zip(part.column(3).to_pylist(), part.column(4).to_pylist()):
-                    units = _characters(_decoded(line)) if kind else word_digests(line.split(b" "))
-                    n = len(units)
-                    for second, out in enumerate(keys):
-                        sums = _Sums(units, bool(second))
-                        # kinds differ in a bit of every key
-                        out.append(np.concatenate([sums.part(np.array([0]), np.array([n])), sums.without(n)]) & ~np.uint64(1) | np.uint64(kind))
-                    sizes.append(n + 1)
-                own = part.select([0, 1, 2]).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-                yield pa.RecordBatch.from_arrays(
-                    [*own.columns, pa.array(np.concatenate([np.arange(-1, s - 1) for s in sizes]).astype(np.int32)),
-                     *(pa.array(np.concatenate(x).view(np.int64)) for x in keys)],
-                    names=["id", "h", "line", "gap", "v1", "v2"])
+                kinds, lines = part.column(3).to_pylist(), part.column(4).to_pylist()
+                units = [_characters(_decoded(line)) if kind else word_digests(line.split(b" ")) for kind, line in zip(kinds, lines)]
+                sizes = np.array([len(u) for u in units])
+                last = np.cumsum(sizes)
+                first = last - sizes
+                # the whole line, then each unit of it
+                row = np.repeat(np.arange(len(sizes)), sizes + 1)
+                gap = np.arange(len(row)) - np.repeat(np.cumsum(sizes + 1) - sizes, sizes + 1)
+                some, kind = gap >= 0, np.array(kinds, np.uint64)[row]
+                keys = []
+                for second in (False, True):
+                    sums = _Sums(np.concatenate(units), second)
+                    key = np.empty(len(row), np.uint64)
+                    key[~some] = sums.part(first, last)
+                    key[some] = sums.without(first[row[some]], last[row[some]], first[row[some]] + gap[some])
+                    keys.append(pa.array((key & ~np.uint64(1) | kind).view(np.int64)))  # kinds differ in a bit of every key
+                own = part.select([0, 1, 2]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(gap.astype(np.int32)), *keys], names=["id", "h", "line", "gap", "v1", "v2"])
 
     return sequences.mapInArrow(found, "id bigint, h bigint, line bigint, gap int, v1 bigint, v2 bigint")
 
@@ -322,6 +332,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.select(*[F.col("text").alias(c) if c == text_col else F.col("record")[c].alias(c) for c in docs.columns])
 
 
+@finished
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     return line_report(documents(spark, sf_dir)).select(
         "doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
