@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import documents, materialize, mix, text_digest, window_hashes, word_digests
+from credence.llm.common import documents, finished, materialize, mix, text_digest, window_hashes, word_digests
 from credence.llm.components import components
 
 WIDTH = 5
@@ -383,6 +383,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return stay.unionByName(one.select("record.*"))
 
 
+@finished
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir))
 
