@@ -417,6 +417,18 @@ def gbt_scores(spark, sf_dir):
     return models.score(model, test, keep=("loan_id", "default_flag"))
 
 
+# one tree of depth 1 on one column: the cut between two values that leaves the least variance, and the means of its sides
+@_query("gbt_stump", f"""WITH {_TRAIN_SQL}, v AS (SELECT fico_midpoint AS x, count(*)::DOUBLE AS n, sum(2 * default_flag - 1)::DOUBLE AS s FROM train GROUP BY 1),
+  o AS (SELECT (x + lead(x) OVER (ORDER BY x)) / 2 AS cut, sum(n) OVER (ORDER BY x) AS nl, sum(s) OVER (ORDER BY x) AS sl, sum(n) OVER () AS n, sum(s) OVER () AS s FROM v),
+  best AS (SELECT *, sl / nl AS low, (s - sl) / (n - nl) AS high FROM o WHERE cut IS NOT NULL ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC LIMIT 1)
+  SELECT loan_id, round(1 / (1 + exp(-2 * CASE WHEN fico_midpoint <= cut THEN low ELSE high END)), 6) AS default_probability FROM test, best""")
+def gbt_stump(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    model = models.train_boosted_trees(train.select("default_flag", "fico_midpoint"), config={
+        "n_estimators": 1, "max_depth": 1, "subsample": 1.0, "colsample_bytree": 1.0, "max_bin": 128})
+    return _rounded(models.score(model, test, keep=("loan_id",)))
+
+
 @_query("lr_optimality", f"""WITH {_TRAIN_SQL}, slots AS (SELECT {len(_NUMERIC)} + {" + ".join(f"(SELECT count(DISTINCT {c}) FROM train)" for c in _CATEGORICAL)} AS n)
   SELECT CAST(unnest(range(-1, n)) AS INT) AS slot, true AS optimal FROM slots""")
 def lr_optimality(spark, sf_dir):
