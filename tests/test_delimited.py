@@ -56,6 +56,22 @@ def test_many_ranges_of_one_file(spark, tmp_path, seed):
             spark.conf.set(k, v)
 
 
+def test_folder_with_cut_and_whole_files(spark, tmp_path):
+    """Files of which only some have a record across ranges; the size of the ranges hangs on all files."""
+    folder = tmp_path / "some.csv"
+    folder.mkdir()
+    broken = [[str(k), "line one\nline two\n" * 40] for k in range(300)]
+    plain = [[str(k), "x" * 100] for k in range(1000, 3000)]
+    _write(folder / "1.csv", [["id", "desc"], *broken])
+    _write(folder / "2.csv", [["id", "desc"], *plain])
+    held = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert _rows(read_csv(spark, str(folder))) == sorted(map(tuple, broken + plain))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", held)
+
+
 def test_odd_files(spark, tmp_path):
     odd = tmp_path / "odd.csv"
     odd.write_bytes(b'\xef\xbb\xbf"a, b",c,c\n\n1,5" pipe,"x"y"z\n  \n2\n3,4,5,6\n"",NA, "q"\n')
