@@ -121,3 +121,17 @@ def test_stream(spark, tmp_path):
 def test_reports_skip_rows_that_are_not_finite(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a,b\n1,2\nNaN,1\nInfinity,3\n,4\n")
     assert read_report_rows(spark, str(tmp_path / "t.csv"), "a double, b double").count() == 1
+
+
+def test_numbers_are_not_read_from_text_again(spark):
+    """Columns of numbers give what their texts give, without a pattern over them; a date's text is made once."""
+    from credence.functions import coerced
+
+    rows = spark.sql("SELECT * FROM VALUES (1, 2L, 1.5D, 0.1F, 1.10BD, ' 7% ', true), (null, null, double('NaN'), float('NaN'), null, '1,000', null), "
+                     "(-3, 9007199254740993L, double('-Infinity'), float('Infinity'), -0.07BD, '12d', false) AS t(i, l, d, f, m, s, b)")
+    found = rows.select(*[coerced(rows, c).alias(c) for c in rows.columns], *[coerce_numeric(F.col(c)).alias(f"_{c}") for c in rows.columns]).collect()
+    assert all(r[c] == r[f"_{c}"] for r in found for c in rows.columns)
+    plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan(rows.select(*[coerced(rows, c) for c in "ildm"]))
+    made = spark.range(3).select(parse_issue_date(F.date_format(F.timestamp_seconds("id"), "MMM-yyyy")).alias("x"))
+    assert plan(made).count("date_format") == 1
