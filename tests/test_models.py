@@ -317,3 +317,12 @@ def test_configuration_files(spark, tmp_path):
         load_config(str(tmp_path / "l.json"))
     with pytest.raises(FileNotFoundError):
         load_config(str(tmp_path / "none.json"))
+
+
+def test_optimality_sums_before_it_deals_slots(spark):
+    """The rows are summed as vectors; no row is dealt into one row per slot."""
+    from credence.plans.queries import QUERIES
+
+    found = QUERIES["lr_optimality"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") > plan.index("Generate") and all(r["optimal"] for r in found.collect())
