@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from credence.sources.loans import csv_columns
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 #: Files that one batch takes in.
 BATCH_FILES = 100
+#: Files that are taken in at the same time: one alone has too few tasks for a cluster.
+AT_ONCE = 8
 
 
 def _digest(spark: SparkSession, path: str) -> str:
@@ -32,15 +35,15 @@ def _rejected(rows: DataFrame, reason: str, table: str, digest: str, mode: str =
     rows.select(F.lit(reason).alias("reason"), "record").write.mode(mode).parquet(f"{table}/rejects.parquet/digest={digest}")
 
 
-def take_in(spark: SparkSession, path: str, table: str, *, column_aliases: Mapping[str, Any] | None = None, date_column: str = "issue_d") -> None:
+def take_in(spark: SparkSession, path: str, table: str, *, column_aliases: Mapping[str, Any] | None = None, date_column: str = "issue_d", digest: str | None = None) -> None:
     """One file into `table`/loans.parquet and `table`/rejects.parquet.
 
     Both have a folder per contents, which is written whole: a file that is taken in again, after
     a failure or under another name, replaces its own rows. A header without a comma, and a quoted field
     that does not end, reject the file; a record whose number of fields is not the header's is
-    rejected alone.
+    rejected alone. `digest`: the name of its contents, if it is known.
     """
-    digest = _digest(spark, path)
+    digest = digest or _digest(spark, path)
     whole = spark.read.text(path).limit(1).select(F.col("value").alias("record"))
     try:
         header, records = read_records(spark, path)
@@ -59,8 +62,11 @@ def take_in(spark: SparkSession, path: str, table: str, *, column_aliases: Mappi
 def take_in_folder(spark: SparkSession, folder: str, table: str, checkpoint: str, *, batch_files: int = BATCH_FILES, **options) -> None:
     """Every file of the folder and its subfolders that has not been taken in before; `checkpoint` remembers which."""
     def batch(files: DataFrame, _: int) -> None:
-        for row in sorted(files.collect()):  # names, as many as a batch has
-            take_in(spark, row["path"], table, **options)
+        paths = sorted(row["path"] for row in files.collect())  # names, as many as a batch has
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            # files of the same contents share a folder: one of them is written
+            contents = dict(zip(pool.map(lambda path: _digest(spark, path), paths), paths))
+            list(pool.map(lambda held: take_in(spark, held[1], table, digest=held[0], **options), contents.items()))
 
     landed = (spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
               .option("maxFilesPerTrigger", batch_files).load(folder).select("path"))

@@ -112,3 +112,17 @@ def test_curated_years_are_replaced_and_pruned(spark, tmp_path):
         kept = re.search(r"PartitionFilters: \[(.*?)\]", a._jdf.queryExecution().executedPlan().toString())[1]
         assert "issue_year" in kept
     assert len(pruned.train.inputFiles()) and {re.search(r"issue_year=(\d+)", r[0])[1] for r in pruned.test.select(F.col("_metadata.file_path")).distinct().collect()} == {"2017", "2018"}
+
+
+def test_equal_files_of_a_batch_are_taken_in_once(spark, tmp_path, monkeypatch):
+    from credence.streaming import landing
+
+    folder, table = tmp_path / "in", tmp_path / "table"
+    folder.mkdir()
+    for name, last in (("a", 1), ("b", 1), ("c", 2), ("d", 3)):
+        (folder / f"{name}.csv").write_text(f"loan_id,loan_status\n{last},Current\n")
+    seen, take_in = [], landing.take_in
+    monkeypatch.setattr(landing, "take_in", lambda spark, path, *rest, **options: (seen.append(path[-5:]), take_in(spark, path, *rest, **options)))
+    landing.take_in_folder(spark, str(folder), str(table), str(tmp_path / "checkpoint"))
+    assert sorted(seen) == ["b.csv", "c.csv", "d.csv"]
+    assert sorted(r["loan_id"] for r in spark.read.parquet(f"{table}/loans.parquet").collect()) == ["1", "2", "3"]
