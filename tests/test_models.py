@@ -326,3 +326,22 @@ def test_optimality_sums_before_it_deals_slots(spark):
     found = QUERIES["lr_optimality"](spark, "/root/testdata/sf0.001")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") > plan.index("Generate") and all(r["optimal"] for r in found.collect())
+
+
+def test_text_is_parsed_once_for_the_passes(spark):
+    """Medians, scales and categories are found in columns that were parsed before, not in the texts."""
+    rows = spark.createDataFrame([(f" {k} ", "ab"[k % 2], None if k % 3 else f"{k}e1", k % 2) for k in range(40)], "s string, c string, t string, default_flag int")
+    parsed = spark.sparkContext.accumulator(0)
+
+    def seen(text: str) -> str:
+        parsed.add(1)
+        return text
+
+    seen = F.udf(seen).asNondeterministic()
+    model = preprocess.fit_preprocessor(rows.select(seen("s").alias("s"), "c", "t"))
+    assert parsed.value <= 2 * 40  # once for the routes, once for all else
+    typed = preprocess.typed_columns(rows, preprocess.Routing(["s", "t"], ["c"]))
+    assert dict(typed.dtypes) == {"s": "double", "t": "double", "c": "string"}
+    of_text, of_typed = preprocess.fit_typed(rows.schema, typed, preprocess.Routing(["s", "t"], ["c"]))
+    vectors = [m.transform(r).select(vector_to_array("features")).collect() for m, r in ((model, rows), (of_text, rows), (of_typed, typed))]
+    assert vectors[0] == vectors[1] == vectors[2] and len(vectors[0][0][0]) == 4
