@@ -334,7 +334,8 @@ def _tree(rows: Any, trees: list[tuple[float, Node]], number: int, layout: _Layo
     cells = 3 * (int(layout.starts[-1]) + 1)
     root: Node | None = None
     tasks = rows.getNumPartitions()
-    for _ in range(params.getMaxDepth()):
+    depth = params.getMaxDepth()
+    for _ in range(max(1, depth)):  # a tree of depth 0 is one leaf, whose sums are asked for too
         open_ = [None] if root is None else list(_frontier(root))
         fit = max(1, SUM_BYTES // (8 * cells))
         groups = [range(at, min(at + fit, len(open_))) for at in range(0, len(open_), fit)]
@@ -349,7 +350,7 @@ def _tree(rows: Any, trees: list[tuple[float, Node]], number: int, layout: _Layo
             allowed = np.ones(slots, bool)
             if asked < slots:
                 allowed[rng.permutation(slots)[asked:]] = False
-            if not _cut(node, own, layout, allowed, params.getMinInstancesPerNode(), params.getMinInfoGain()):
+            if not depth or not _cut(node, own, layout, allowed, params.getMinInstancesPerNode(), params.getMinInfoGain()):
                 node.column = -2  # closed
         if not any(True for _ in _frontier(root)):
             break

@@ -78,3 +78,11 @@ def test_levels_in_several_passes(spark, monkeypatch):
     assert np.allclose(fit(), plain, atol=1e-9)
     with pytest.raises(Exception, match="labels of 0 and 1"):
         models.train_boosted_trees(train.withColumn("default_flag", F.lit(2)), config={"n_estimators": 1})
+
+
+def test_a_tree_of_one_leaf(spark):
+    train = _rows(spark, 400)
+    model = models.train_boosted_trees(train, config={"n_estimators": 2, "max_depth": 0, "subsample": 1.0})
+    share = train.agg(F.avg("default_flag")).first()[0]
+    found = {r[0] for r in models.score(model, train, keep=()).collect()}
+    assert len(found) == 1 and (found.pop() > 0.5) == (share > 0.5)
